@@ -20,9 +20,10 @@ COMMON_WORDS = {
     "de": ["der", "die", "und", "in", "den", "von", "zu", "das", "mit", "sich", "des", "auf"],
     "es": ["de", "la", "que", "el", "en", "y", "a", "los", "se", "del", "las", "un"],
 }
-#: Farthest allowed Jensen-Shannon distances (base 2, so within 0..1), and the least lengths for which they are asked.
-MOST_CHAR_DISTANCE, MOST_WORD_DISTANCE = 0.30, 0.55
-LEAST_WORDS, LEAST_CHARS = 50, 200
+#: Farthest allowed Jensen-Shannon distances (base 2, so within 0..1), alone and added up, and the least lengths for
+#: which they are asked: histograms of shorter texts are too coarse.
+MOST_CHAR_DISTANCE, MOST_WORD_DISTANCE, MOST_SUM = 0.30, 0.45, 0.50
+LEAST_WORDS, LEAST_CHARS = 80, 400
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 
@@ -89,7 +90,7 @@ def features(docs: DataFrame) -> DataFrame:
     )
 
 
-def judge(docs: DataFrame, most_char: float = MOST_CHAR_DISTANCE, most_word: float = MOST_WORD_DISTANCE, least_words: int = LEAST_WORDS, least_chars: int = LEAST_CHARS) -> DataFrame:
+def judge(docs: DataFrame, most_char: float = MOST_CHAR_DISTANCE, most_word: float = MOST_WORD_DISTANCE, most_sum: float = MOST_SUM, least_words: int = LEAST_WORDS, least_chars: int = LEAST_CHARS) -> DataFrame:
     """Every row of docs under __doc with its counts, distances, __base_failed and __kept.
 
     A null text is empty and fails; a null or unknown language has the reference of its own rows and no common words.
@@ -106,7 +107,8 @@ def judge(docs: DataFrame, most_char: float = MOST_CHAR_DISTANCE, most_word: flo
     words = max(map(len, COMMON_WORDS.values())) + 1
     references = good.groupBy("__lang").agg(mean("__p", 7).alias("__rp"), mean("__q", words).alias("__rq"))
     near = held.join(references, "__lang", "left").withColumns({"__char_distance": jensen_shannon(F.col("__p"), F.col("__rp")), "__word_distance": jensen_shannon(F.col("__q"), F.col("__rq"))})
-    far = enough & ((F.coalesce("__char_distance", F.lit(0.0)) > most_char) | (F.coalesce("__word_distance", F.lit(0.0)) > most_word))
+    by_char, by_word = (F.coalesce(c, F.lit(0.0)) for c in ("__char_distance", "__word_distance"))
+    far = enough & ((by_char > most_char) | (by_word > most_word) | (by_char + by_word > most_sum))
     return near.withColumn("__kept", ~F.col("__base_failed") & ~far)
 
 
