@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from .plans import scalars, votes
+
 FLAGSHIP = "vote_words"
+PLANS = (scalars, votes)
 
 
 def queries() -> dict:
-    return {}
+    return {name: pair[0] for plan in PLANS for name, pair in plan.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: pair[1] for plan in PLANS for name, pair in plan.QUERIES.items() if pair[1]}
