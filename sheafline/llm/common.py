@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import ship
+
 #: Rows and bytes of one Arrow batch sent to a Python worker; a single longer row still travels whole.
 BATCH_ROWS, BATCH_BYTES = 1024, 8 << 20
 
@@ -19,7 +21,9 @@ SPACES = "\\x20\\x09-\\x0D"
 
 
 def arrow_limits(spark: SparkSession) -> None:
-    """Bound what one Arrow batch holds, so that a worker's memory does not grow with the length of texts."""
+    """Bound what one Arrow batch holds, so that a worker's memory does not grow with the length of texts, and see that
+    workers can import the package."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
