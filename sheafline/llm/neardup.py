@@ -6,9 +6,11 @@ Sketches merge by maximum, and equal registers are likely for similar sets.  Ban
 a joint likelihood over all registers and both set sizes drops hopeless ones, and the full sets decide.
 
 Documents with equal sets form one class.  Within a band's bucket each class is compared with a pivot, the member that
-shares most buckets with others; what the pivot does not settle, that is members of other components than the
-pivot's, is compared with all members of other components.  So no pair of a bucket is left open, yet a group of copies
-around one original costs a row per copy.
+shares most buckets with others, so a group of copies around one original costs a row per copy.  The members that share
+a pivot are its family; those that are not in the pivot's component are compared with all of the family that are in
+another one.  Families are cut into blocks of a bounded size, every pair of blocks is a cell of its own, and a cell
+counts intersections of full sets by matrix products and returns a spanning forest of its links, never its pairs.  So
+no pair of a bucket is left open.
 """
 
 from __future__ import annotations
@@ -25,9 +27,11 @@ from .common import arrow_limits, binary, chunks, stage, text_or_empty
 from .components import connected_components
 from .lm import Hashes, mix, words_of
 
-#: Sketch: registers, base b, scale a and bands.  With 4 registers a band, a pair of similarity 0.85 misses all 32
-#: bands with a probability below 1e-10 (0.8: below 1e-7).
-REGISTERS, BANDS, BASE, SCALE = 128, 32, 1.02, 16.0
+#: Sketch: registers, base b, scale a and bands.  A band takes as many registers as leave a pair at the threshold a
+#: probability below MOST_MISSED to share none of the bands.
+REGISTERS, BANDS, BASE, SCALE, MOST_MISSED = 128, 48, 1.02, 16.0, 1e-7
+#: Members of a block of a family.
+BLOCK = 1024
 #: A candidate is dropped if its best similarity over the threshold is this much less likely than its best of all.
 LOG_MARGIN = 14.0
 FILTER_BITS = 1 << 24
@@ -125,19 +129,33 @@ def could_reach(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, le
 SKETCHED = "doc_id long, k1 long, k2 long, n_shingles long, fp binary, sketch binary, bands array<long>"
 
 
-def sketch_documents(docs: DataFrame, width: int) -> DataFrame:
+def rows_a_band(least: float) -> int:
+    fit = [r for r in range(1, 33) if (1 - least**r) ** BANDS <= MOST_MISSED]
+    return max(fit, default=1)
+
+
+def band_registers(rows: int) -> np.ndarray:
+    """Which registers each band takes: every permutation of all registers gives as many bands as it can."""
+    rng = np.random.default_rng(2021)
+    a_turn = REGISTERS // rows
+    turns = [rng.permutation(REGISTERS)[: a_turn * rows].reshape(a_turn, rows) for _ in range(-(-BANDS // a_turn))]
+    return np.concatenate(turns)[:BANDS]
+
+
+def sketch_documents(docs: DataFrame, width: int, least: float) -> DataFrame:
     """Narrow rows: keys of the text, size and fingerprint of the shingle set, sketch and band hashes."""
+    taken = band_registers(rows_a_band(least))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, rows_a_band = Hashes(), REGISTERS // BANDS
+        hashes = Hashes()
         salt = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0xE7037ED1A0B428DB)
         for batch in batches:
             for first, texts in chunks(batch.column("text").to_pylist()):
                 sets = shingle_hashes(texts, width, hashes)
                 sketches = [sketch(s) for s in sets]
-                bands = np.array(sketches).astype(np.uint64).reshape(len(sets), BANDS, rows_a_band)
+                bands = np.array(sketches).astype(np.uint64)[:, taken]
                 h = np.broadcast_to(salt, (len(sets), BANDS)).copy()
-                for k in range(rows_a_band):
+                for k in range(taken.shape[1]):
                     h = mix(h ^ (bands[:, :, k] + np.uint64(k << 32)))
                 h = h.view(np.int64).tolist()
                 n = len(texts)
@@ -181,16 +199,15 @@ def likely(pairs: DataFrame, classes: DataFrame, numerator: int, denominator: in
     return near.mapInArrow(run, "a binary, b binary, ka struct<k1:long,k2:long>, kb struct<k1:long,k2:long>")
 
 
-def verified(docs: DataFrame, pairs: DataFrame, width: int, numerator: int, denominator: int) -> DataFrame:
-    """Links (a, b) whose full sets reach the threshold; only texts that some pair names are read into the shuffle."""
-    spark = docs.sparkSession
-    keys = pairs.select(F.explode(F.array("ka", "kb")).alias("k")).select("k.k1", "k.k2").distinct()
+def sets_of(docs: DataFrame, keys: DataFrame, width: int) -> DataFrame:
+    """k1, k2, items: the full shingle sets of the texts that keys(k1, k2, distinct) name; only those are shuffled."""
     slot = F.pmod(F.xxhash64("k1"), F.lit(FILTER_BITS))
     marks = keys.select(slot.alias("slot")).groupBy(F.expr("slot div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(slot % 64 as int)))").alias("bits"))
     texts = keyed(docs).withColumn("slot", slot).withColumn("word", F.expr("slot div 64"))
     # at most FILTER_BITS / 64 rows; a full filter lets all texts pass and the join decides
-    texts = texts.join(F.broadcast(marks), "word").where("getbit(bits, cast(slot % 64 as int)) = 1")
-    texts = texts.join(keys, ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.first("text").alias("text"))
+    texts = texts.join(F.broadcast(marks), "word").where("getbit(bits, cast(slot % 64 as int)) = 1").select("k1", "k2", "text")
+    # an inner join: Spark would move a semi join before the filter
+    texts = texts.groupBy("k1", "k2").agg(F.first("text").alias("text")).join(keys, ["k1", "k2"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
@@ -199,6 +216,13 @@ def verified(docs: DataFrame, pairs: DataFrame, width: int, numerator: int, deno
                 packed = [s.tobytes() for s in shingle_hashes(some, width, hashes)]
                 yield pa.record_batch([batch.column("k1").slice(first, len(some)), batch.column("k2").slice(first, len(some)), binary(packed)], names=["k1", "k2", "items"])
 
+    return stage(texts.mapInArrow(sets, "k1 long, k2 long, items binary"), "dup-sets")
+
+
+def verified(docs: DataFrame, pairs: DataFrame, width: int, numerator: int, denominator: int) -> DataFrame:
+    """Links (a, b) whose full sets reach the threshold."""
+    held = sets_of(docs, pairs.select(F.explode(F.array("ka", "kb")).alias("k")).select("k.k1", "k.k2").distinct(), width)
+
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = []
@@ -208,15 +232,94 @@ def verified(docs: DataFrame, pairs: DataFrame, width: int, numerator: int, deno
                 ok.append(denominator * both >= numerator * (len(x) + len(y) - both))
             yield batch.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
 
-    held = stage(texts.mapInArrow(sets, "k1 long, k2 long, items binary"), "dup-sets")
     side = lambda k, x: held.select(F.struct("k1", "k2").alias(k), F.col("items").alias(x))
     return pairs.join(side("ka", "xa"), "ka").join(side("kb", "xb"), "kb").select("a", "b", "xa", "xb").mapInArrow(check, "a binary, b binary")
 
 
+def cell_links(sets: list[np.ndarray], roots: list, is_open: np.ndarray, numerator: int, denominator: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links of a cell between members of different components, at least one of them open."""
+    n = len(sets)
+    sizes = np.array([len(s) for s in sets])
+    _, at, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(n), sizes)
+    shared = counts > 1
+    column = (np.cumsum(shared) - 1)[at]
+    keep = shared[at]
+    row, column = row[keep], column[keep]
+    rows = np.flatnonzero(is_open)
+    both = np.zeros((len(rows), n), dtype=np.float32)
+    for low in range(0, int(shared.sum()), 4096):
+        some = (column >= low) & (column < low + 4096)
+        width = min(4096, int(shared.sum()) - low)
+        dense = np.zeros((n, width), dtype=np.float32)
+        dense[row[some], column[some] - low] = 1
+        both += dense[rows] @ dense.T
+    both = np.rint(both).astype(np.int64)
+    linked = denominator * both >= numerator * (sizes[rows][:, None] + sizes[None, :] - both)
+    names = {r: i for i, r in enumerate(dict.fromkeys(roots))}
+    root = np.array([names[r] for r in roots])
+    linked &= root[rows][:, None] != root[None, :]
+    near = np.zeros((n, n), dtype=bool)
+    near[rows] = linked
+    near |= near.T
+    seen, out = np.zeros(n, dtype=bool), []
+    for start in np.flatnonzero(near.any(axis=1)).tolist():
+        if seen[start]:
+            continue
+        seen[start], todo = True, [start]
+        while todo:
+            x = todo.pop()
+            new = np.flatnonzero(near[x] & ~seen).tolist()
+            seen[new] = True
+            out += [(x, y) for y in new]
+            todo += new
+    return out
+
+
+def family_links(docs: DataFrame, named: DataFrame, classes: DataFrame, width: int, numerator: int, denominator: int) -> DataFrame:
+    """named(pivot, fp, root, main), distinct -> links (a, b) that the pivots left open."""
+    size = named.groupBy("pivot").agg(F.count("*").alias("k"), F.count(F.when(F.col("root") != F.col("main"), 1)).alias("open"))
+    blocks = size.where("open > 0 and k > 2").select("pivot", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks"))
+    members = named.join(blocks, "pivot").join(classes.select("fp", "k"), "fp")
+    members = stage(members.select("pivot", "fp", "root", "k.k1", "k.k2", "blocks", (F.col("root") != F.col("main")).alias("open"), F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int").alias("block")), "dup-families")
+    held = sets_of(docs, members.select("k1", "k2").distinct(), width)
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    cells = members.select("*", other).select("fp", "root", "open", "k1", "k2", F.xxhash64("pivot", F.least("block", "other"), F.greatest("block", "other")).alias("cell"))
+    cells = cells.join(held, ["k1", "k2"]).select("cell", "fp", "root", "open", "items")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, rows, found = None, [], []
+
+        def close():
+            if len(rows) > 2:
+                for a, b in cell_links([np.frombuffer(r["items"], dtype=np.uint64) for r in rows], [r["root"] for r in rows], np.array([r["open"] for r in rows]), numerator, denominator):
+                    found.append((rows[a]["fp"], rows[b]["fp"]))
+            rows.clear()
+
+        def flush():
+            out = pa.record_batch([binary([a for a, _ in found]), binary([b for _, b in found])], names=["a", "b"])
+            found.clear()
+            return out
+
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["cell"] != cell:
+                    close()
+                    cell = r["cell"]
+                rows.append(r)
+            if found:
+                yield flush()
+        close()
+        if found:
+            yield flush()
+
+    return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a binary, b binary")
+
+
 def labelled(docs: DataFrame, width: int, numerator: int, denominator: int) -> DataFrame:
     """doc_id, k1, k2, n_shingles, fp and root for every row of docs; root, a fingerprint, names the component and is
     null for rows without shingles."""
-    sketched = stage(sketch_documents(docs, width), "dup-sketches")
+    sketched = stage(sketch_documents(docs, width, numerator / denominator), "dup-sketches")
     full = sketched.where("fp is not null")
     classes = stage(full.groupBy("fp").agg(F.min(F.struct("k1", "k2")).alias("k"), F.max("n_shingles").alias("n"), F.max("sketch").alias("sketch"), F.max("bands").alias("bands")), "dup-classes")
     spread = classes.select("fp", F.explode("bands").alias("band"))
@@ -227,18 +330,11 @@ def labelled(docs: DataFrame, width: int, numerator: int, denominator: int) -> D
     links = stage(verified(docs, stage(likely(first_pairs, classes, numerator, denominator), "dup-pairs"), width, numerator, denominator), "dup-links")
     roots = connected_components(links)
 
-    # members of other components than their pivot's, against all members of the bucket that are in a third one
-    named = pivoted.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    named = pivoted.select("pivot", "fp").distinct().join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = named.join(roots.select(F.col("node").alias("pivot"), F.col("root").alias("main")), "pivot", "left").withColumn("main", F.coalesce("main", "pivot"))
-    named = stage(named.select("band", "fp", "root", "main"), "dup-named")
-    open_ones = named.where("root <> main").select("band", F.col("fp").alias("x"), F.col("root").alias("rx"))
-    rest = open_ones.join(named.select("band", F.col("fp").alias("y"), F.col("root").alias("ry")), "band").where("rx <> ry")
-    rest = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(first_pairs, ["a", "b"], "left_anti")
-    pairs = stage(likely(rest, classes, numerator, denominator), "dup-pairs")
-    if not pairs.isEmpty():
-        more = stage(verified(docs, pairs, width, numerator, denominator), "dup-links")
-        if not more.isEmpty():
-            roots = connected_components(links.unionByName(more))
+    more = stage(family_links(docs, stage(named, "dup-named"), classes, width, numerator, denominator), "dup-links")
+    if not more.isEmpty():
+        roots = connected_components(links.unionByName(more))
     out = sketched.select("doc_id", "k1", "k2", "n_shingles", "fp").join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left")
     return out.withColumn("root", F.coalesce("root", "fp"))
 
