@@ -27,10 +27,10 @@ from .common import arrow_limits, binary, chunks, stage, text_or_empty
 
 #: Parameters of the model, documented in the README.
 LEAST_PAIR = 2  # pairs seen less often than this are not kept, the usual count cut-off of n-gram models
-PROBES, BITS_PER_LEVEL = 7, 10
+PROBES, BITS_PER_LEVEL = 5, 7.5
 SLAB_BITS = 1 << 23
-SEGMENT_SLABS = 64  # one broadcast holds at most this many MB
-TOP_TOKENS = 300_000  # tokens whose exact counts are broadcast
+SEGMENT_SLABS = 128  # one broadcast holds at most this many MB
+TOP_TOKENS = 200_000  # tokens whose exact counts are broadcast
 LAMBDAS = (0.01, 0.03, 0.1, 0.2, 0.35, 0.5, 0.7, 0.9)
 CONTEXT_EDGES = (1, 4, 16, 128, 2048)  # classes of context counts that have a weight of their own
 
@@ -66,12 +66,12 @@ def slab_of(keys: np.ndarray, slabs: int) -> np.ndarray:
 class Filter:
     """A segment of the filter: the slabs it holds, probed for quantised counts."""
 
-    def __init__(self, slabs: int, held: dict[int, bytes]):
+    def __init__(self, slabs: int, held: list[int], bits: bytes):
+        """held: the slabs whose bits follow one another in bits."""
         self.slabs = slabs
         self.place = np.full(slabs, -1, dtype=np.int64)
-        for i, k in enumerate(sorted(held)):
-            self.place[k] = i
-        self.bits = np.frombuffer(b"".join(held[k] for k in sorted(held)), dtype=np.uint8)
+        self.place[held] = np.arange(len(held))
+        self.bits = np.frombuffer(bits, dtype=np.uint8)
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
         """The level of each key; 0 for those of other segments."""
@@ -117,30 +117,43 @@ def context_of(ids: np.ndarray, lengths: np.ndarray, start) -> np.ndarray:
     return before
 
 
-COUNTED = pa.schema([("token", pa.binary()), ("bucket", pa.int32()), ("keys", pa.binary()), ("c", pa.int64()), ("counts", pa.binary())])
+COUNTED = "bucket int, words boolean, keys binary, counts binary"
+
+
+def edges_of(keys: np.ndarray, buckets: int) -> list[int]:
+    """Where each bucket of sorted keys begins, and the end: a bucket is a range of the keys' high bits."""
+    if buckets == 1:
+        return [0, len(keys)]
+    bounds = np.arange(1, buckets, dtype=np.uint64) << np.uint64(65 - buckets.bit_length())
+    return [0, *np.searchsorted(keys, bounds).tolist(), len(keys)]
 
 
 def count_batches(buckets: int):
-    """Per task: a row per token and flush, and per flush and bucket one row of packed pair keys and counts."""
+    """Per flush and bucket one row of packed pair keys, or of tokens joined by spaces, and their counts."""
+
+    def packed(keys: np.ndarray, counts: np.ndarray, words: bool, names: list[bytes] | None = None) -> pa.RecordBatch:
+        edges, counts = edges_of(keys, buckets), counts.astype("<u4")
+        full = [b for b in range(buckets) if edges[b] < edges[b + 1]]
+        blob = (lambda a, b: b" ".join(names[a:b])) if names is not None else (lambda a, b: keys[a:b].tobytes())
+        columns = [pa.array(full, pa.int32()), pa.array([words] * len(full), pa.bool_()), binary([blob(edges[b], edges[b + 1]) for b in full]), binary([counts[edges[b] : edges[b + 1]].tobytes() for b in full])]
+        return pa.record_batch(columns, names=["bucket", "words", "keys", "counts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, tokens, held, size = Hashes(), Counter(), [], 0
         first = np.uint64(xxhash.xxh3_64_intdigest(START))
 
-        def flush_tokens():
+        def flush_tokens() -> pa.RecordBatch:
             names = list(tokens)
-            none = pa.nulls(len(names), pa.binary())
-            yield pa.record_batch([binary(names), pa.nulls(len(names), pa.int32()), none, pa.array([tokens[x] for x in names], type=pa.int64()), none], schema=COUNTED)
+            keys = np.array([xxhash.xxh3_64_intdigest(x) for x in names], dtype=np.uint64)
+            counts = np.fromiter(tokens.values(), dtype=np.int64, count=len(names))
+            order = np.argsort(keys, kind="stable")
             tokens.clear()
+            return packed(keys[order], counts[order], True, [names[i] for i in order.tolist()])
 
-        def flush_pairs():
+        def flush_pairs() -> pa.RecordBatch:
             keys, counts = np.unique(np.concatenate(held), return_counts=True)
             held.clear()
-            edges = np.searchsorted(keys, (np.arange(1, buckets, dtype=np.uint64) << np.uint64(64 - buckets.bit_length() + 1))) if buckets > 1 else np.array([], dtype=np.int64)
-            edges = np.concatenate([[0], edges, [len(keys)]])
-            full = [b for b in range(buckets) if edges[b] < edges[b + 1]]
-            counts = counts.astype("<u4")
-            yield pa.record_batch([pa.nulls(len(full), pa.binary()), pa.array(full, type=pa.int32()), binary([keys[edges[b] : edges[b + 1]].tobytes() for b in full]), pa.nulls(len(full), pa.int64()), binary([counts[edges[b] : edges[b + 1]].tobytes() for b in full])], schema=COUNTED)
+            return packed(keys, counts, False)
 
         for batch in batches:
             for _, texts in chunks(batch.column("text").to_pylist()):
@@ -151,37 +164,44 @@ def count_batches(buckets: int):
                 ids = np.fromiter(map(hashes.__getitem__, flat), dtype=np.uint64, count=len(flat))
                 held.append(pair_keys(context_of(ids, np.array([len(x) for x in lists]), first), ids))
                 size += len(ids)
-                if size > 3_000_000:
-                    yield from flush_pairs()
+                if size > 2_500_000:
+                    yield flush_pairs()
                     size = 0
                 if len(tokens) > 300_000:
-                    yield from flush_tokens()
+                    yield flush_tokens()
         if size:
-            yield from flush_pairs()
+            yield flush_pairs()
         if tokens:
-            yield from flush_tokens()
+            yield flush_tokens()
 
     return run
 
 
-PAIRS = pa.schema([("key", pa.int64()), ("level", pa.int32())])
+MERGED = "token binary, c long, key long, level int"
 
 
-def merge_pairs(table: pa.Table) -> pa.Table:
-    keys = np.frombuffer(b"".join(table.column("keys").to_pylist()), dtype=np.uint64)
-    counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), dtype="<u4")
+def merge_bucket(table: pa.Table) -> pa.Table:
+    """All of a bucket: its tokens with their counts, and its pairs that are seen often enough."""
+    words = table.column("words").to_numpy(zero_copy_only=False)
+    blobs, counts = table.column("keys").to_pylist(), table.column("counts").to_pylist()
+    tokens: Counter = Counter()
+    for i in np.flatnonzero(words).tolist():
+        for name, c in zip(blobs[i].split(b" "), np.frombuffer(counts[i], dtype="<u4").tolist()):
+            tokens[name] += c
+    pairs = np.flatnonzero(~words).tolist()
+    keys = np.frombuffer(b"".join(blobs[i] for i in pairs), dtype=np.uint64)
+    many = np.frombuffer(b"".join(counts[i] for i in pairs), dtype="<u4")
     order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    sums = np.add.reduceat(counts.astype(np.int64), starts)
+    keys, many = keys[order], many[order]
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, dtype=np.int64)
+    sums = np.add.reduceat(many.astype(np.int64), starts) if len(keys) else np.zeros(0, dtype=np.int64)
     kept = sums >= LEAST_PAIR
-    return pa.table([pa.array(keys[starts][kept].view(np.int64)), pa.array(levels_of(sums[kept]).astype(np.int32))], schema=PAIRS)
-
-
-def token_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keys = np.array([xxhash.xxh3_64_intdigest(x) for x in batch.column("token").to_pylist()], dtype=np.uint64)
-        yield pa.record_batch([pa.array(keys.view(np.int64)), pa.array(levels_of(batch.column("c").to_numpy()).astype(np.int32))], schema=PAIRS)
+    names = list(tokens)
+    found = np.array([tokens[x] for x in names], dtype=np.int64)
+    every = np.concatenate([np.array([xxhash.xxh3_64_intdigest(x) for x in names], dtype=np.uint64), keys[starts][kept]])
+    levels = np.concatenate([levels_of(found), levels_of(sums[kept])]).astype(np.int32)
+    n = int(kept.sum())
+    return pa.table([pa.array(names + [None] * n, pa.binary()), pa.array(found.tolist() + [None] * n, pa.int64()), pa.array(every.view(np.int64)), pa.array(levels)], names=["token", "c", "key", "level"])
 
 
 def place_in_slabs(slabs: int):
@@ -240,8 +260,8 @@ def score_batches(shared, total: int, distinct: int, last: bool):
     n_lambda, n_class = len(LAMBDAS), len(CONTEXT_EDGES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        top, slabs, held = shared.value
-        found = Filter(slabs, held)
+        top, slabs, held, bits = shared.value
+        found = Filter(slabs, held, bits)
         size = float(total + distinct + 1)
         lam = np.array(LAMBDAS)
         tokens = Tokens()
@@ -267,7 +287,7 @@ def score_batches(shared, total: int, distinct: int, last: bool):
             rows, ids, flags = (batch.column(x).to_pylist() for x in ("row", "doc_id", "held_out"))
             prior = batch.column("levels").to_pylist() if "levels" in batch.schema.names else None
             for first, texts in chunks(batch.column("text").to_pylist()):
-                if len(tokens) > 500_000:
+                if len(tokens) > 300_000:
                     tokens = Tokens()
                     hashes, exact, uni = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint8)
                 begin = tokens[START]
@@ -333,10 +353,9 @@ def language_model_scores(docs: DataFrame, held_out, buckets_of: int = 8 << 20,
     train = rows.where("not held_out").select("text")
     size = train.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     buckets = 1 << max(0, min(16, int(size / buckets_of).bit_length()))
-    counted = stage(train.mapInArrow(count_batches(buckets), "token binary, bucket int, keys binary, c long, counts binary"), "lm-counted")
-    tokens = stage(counted.where("token is not null").groupBy("token").agg(F.sum("c").alias("c")), "lm-tokens")
-    pairs = counted.where("bucket is not null").select("bucket", "keys", "counts").groupBy("bucket").applyInArrow(merge_pairs, "key long, level int")
-    items = stage(tokens.mapInArrow(token_items, "key long, level int").unionByName(pairs), "lm-items")
+    counted = train.mapInArrow(count_batches(buckets), COUNTED)
+    items = stage(counted.groupBy("bucket").applyInArrow(merge_bucket, MERGED), "lm-counts")
+    tokens = items.where("token is not null").select("token", "c")
 
     edges = F.array(*[F.lit(int(x)) for x in THRESHOLDS])
     real = tokens.where(F.col("token") != F.lit(START))
@@ -351,13 +370,13 @@ def language_model_scores(docs: DataFrame, held_out, buckets_of: int = 8 << 20,
     top = dict(zip(frequent["token"].to_pylist(), frequent["c"].to_pylist())) if frequent is not None else {}
 
     weight = items.agg(F.sum("level")).first()[0] or 1
-    slabs = -(-weight * BITS_PER_LEVEL // SLAB_BITS)
-    built = stage(items.mapInArrow(place_in_slabs(slabs), "slab int, keys binary, levels binary").groupBy("slab").applyInArrow(build_slab, "slab int, bits binary"), "lm-filter")
+    slabs = int(-(-weight * BITS_PER_LEVEL // SLAB_BITS))
+    built = stage(items.select("key", "level").mapInArrow(place_in_slabs(slabs), "slab int, keys binary, levels binary").groupBy("slab").applyInArrow(build_slab, "slab int, bits binary"), "lm-filter")
     now = rows
     for start in range(0, slabs, segment_slabs):
-        part = built.where((F.col("slab") >= start) & (F.col("slab") < start + segment_slabs)).toArrow()
+        part = built.where((F.col("slab") >= start) & (F.col("slab") < start + segment_slabs)).toArrow()  # at most segment_slabs MB
         last = start + segment_slabs >= slabs
-        shared = spark.sparkContext.broadcast((top if last else {}, slabs, dict(zip(part["slab"].to_pylist(), part["bits"].to_pylist()))))
+        shared = spark.sparkContext.broadcast((top if last else {}, slabs, part["slab"].to_pylist(), b"".join(part["bits"].to_pylist())))
         if last:
             now = now.mapInArrow(score_batches(shared, total, distinct, True), "row long, doc_id long, held_out boolean, n_tokens long, n_top long, base_top double, rare array<struct<token:binary,f:int>>, plain double, parts array<double>, loo array<double>")
         else:
