@@ -30,7 +30,7 @@ def detect_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     best = counts.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("m"), "pos", "lang"))).alias("r"))
     score = -F.col("r")[0]["m"] / F.greatest(F.coalesce(-F.get("r", F.lit(1))["m"], F.lit(0)), F.lit(1))
     found = best.where(-F.col("r")[0]["m"] >= text.LEAST_HITS).select("doc_id", F.col("r")[0]["lang"].alias("lang"), F.round(score, 6).alias("score"))
-    return table(spark, sf_dir, "documents").select("doc_id").join(found, "doc_id", "left").select("doc_id", "lang", F.coalesce("score", F.lit(0.0)).alias("score"))
+    return table(spark, sf_dir, "documents").select("doc_id").join(found, "doc_id", "left").select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
 DETECT_SQL = f"""
@@ -38,7 +38,7 @@ WITH listed(token, lang, pos) AS (VALUES {", ".join(f"({sql_text(w)}, '{lang}',
 t AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_'']+'), lambda x: lower(x)) AS ts FROM documents),
 c AS (SELECT doc_id, lang, pos, count(*) AS n FROM (SELECT doc_id, unnest(ts) AS token FROM t WHERE len(ts) >= 20) JOIN listed USING (token) GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, pos) AS k, lead(n) OVER (PARTITION BY doc_id ORDER BY n DESC, pos) AS second FROM c)
-SELECT d.doc_id, r.lang, coalesce(round(r.n / greatest(coalesce(r.second, 0), 1), 6), 0.0)::DOUBLE AS score
+SELECT d.doc_id, coalesce(r.lang, '') AS lang, coalesce(round(r.n / greatest(coalesce(r.second, 0), 1), 6), 0.0)::DOUBLE AS score
 FROM documents d LEFT JOIN r ON r.doc_id = d.doc_id AND r.k = 1 AND r.n >= 5
 """
 
@@ -132,9 +132,10 @@ PARSE_SQL = """
 WITH o AS (SELECT o_orderkey, o_orderkey % 8 AS k, o_orderdate::DATE AS d FROM orders),
 p AS (SELECT *, month(d) || '/' || day(d) || '/' || year(d) AS us, day(d) || '.' || month(d) || '.' || year(d) AS eu, strftime(d, '%B %Y') AS my FROM o)
 SELECT o_orderkey,
-  CASE WHEN k = 7 THEN '' WHEN k = 4 THEN '19' || strftime(d, '%y-%m-%d') WHEN k = 5 THEN strftime(d, '%Y-%m')
+  CASE WHEN k = 7 OR k = 4 AND strftime(d, '%y-%m-%d') = '00-02-29' THEN '' WHEN k = 4 THEN '19' || strftime(d, '%y-%m-%d') WHEN k = 5 THEN strftime(d, '%Y-%m')
     WHEN k = 6 AND day(d) <= 12 THEN year(d) || '-' || lpad(day(d)::VARCHAR, 2, '0') || '-' || lpad(month(d)::VARCHAR, 2, '0') ELSE strftime(d, '%Y-%m-%d') END AS iso,
   CASE WHEN k = 3 THEN 'numeric date ''' || us || ''' read as US month/day'
+    WHEN k = 4 AND strftime(d, '%y-%m-%d') = '00-02-29' THEN ''
     WHEN k = 4 THEN 'two-digit year ''''' || strftime(d, '%y') || ''' assumed to be 19' || strftime(d, '%y')
     WHEN k = 5 THEN '''' || my || ''' has no day'
     WHEN k = 6 AND day(d) <= 12 THEN 'numeric date ''' || eu || ''' read as US month/day'

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import scalars, votes
+from .plans import records, scalars, sequences, votes
 
 FLAGSHIP = "vote_words"
-PLANS = (scalars, votes)
+PLANS = (scalars, votes, sequences, records)
 
 
 def queries() -> dict:
