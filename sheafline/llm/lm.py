@@ -9,21 +9,21 @@ leave-one-out likelihood over all training documents.
 The filter is built in slabs of 1 MB by separate tasks.  One broadcast never exceeds `segment_slabs` slabs; a larger
 filter is probed in several passes over the documents, each with its own segment, which gives the same levels.
 Exact token counts (for the base score) come from a broadcast table of the most frequent tokens, of a fixed largest
-size, and from a join for all others.
+size, and from a join for all others.  Tokens are known by 64-bit hashes; of ten million different tokens two share one
+with a probability of about 3e-6.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_limits, binary, chunks, stage, text_or_empty
+from .tokenhash import mix, with_ends, word_hashes
 
 #: Parameters of the model, documented in the README.
 LEAST_PAIR = 2  # pairs seen less often than this are not kept, the usual count cut-off of n-gram models
@@ -31,10 +31,11 @@ PROBES, BITS_PER_LEVEL = 5, 7.5
 SLAB_BITS = 1 << 23
 SEGMENT_SLABS = 128  # one broadcast holds at most this many MB
 TOP_TOKENS = 200_000  # tokens whose exact counts are broadcast
-LAMBDAS = (0.01, 0.03, 0.1, 0.2, 0.35, 0.5, 0.7, 0.9)
+LAMBDAS = (0.01, 0.05, 0.15, 0.35, 0.6, 0.85)
 CONTEXT_EDGES = (1, 4, 16, 128, 2048)  # classes of context counts that have a weight of their own
 
-END, START = b"\n", b"\n\n"  # no word holds white space
+#: Hashes of the end of a text and of what stands before its first word.
+END, START = np.uint64(0x6A09E667F3BCC908), np.uint64(0xBB67AE8584CAA73B)
 THRESHOLDS = np.unique(np.floor(2.0 ** (np.arange(4 * 50) / 4.0)).astype(np.int64))
 #: What a level stands for: the middle of its range; exact for small counts.
 MEANING = np.concatenate([[0.0], np.where(np.diff(THRESHOLDS, append=THRESHOLDS[-1] * 2) == 1, THRESHOLDS, (THRESHOLDS + np.append(THRESHOLDS[1:], THRESHOLDS[-1] * 2) - 1) / 2)])
@@ -44,13 +45,6 @@ def levels_of(counts: np.ndarray) -> np.ndarray:
     return np.searchsorted(THRESHOLDS, counts, side="right").astype(np.uint8)
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """A full-avalanche permutation of 64-bit integers."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def pair_keys(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return mix(left * np.uint64(0x9E3779B97F4A7C15) + (right ^ np.uint64(0x5851F42D4C957F2D)))
 
@@ -93,21 +87,6 @@ class Filter:
         return out
 
 
-def words_of(text: str) -> list[bytes]:
-    """bytes.lower() touches A-Z only and bytes.split() splits on \\x20 and \\x09-\\x0D only, as the contract asks."""
-    return text.encode("utf-8", "replace").lower().split()
-
-
-class Hashes(dict):
-    """Token to 64-bit hash, remembered up to a bound."""
-
-    def __missing__(self, token: bytes) -> int:
-        if len(self) > 400_000:
-            self.clear()
-        value = self[token] = xxhash.xxh3_64_intdigest(token)
-        return value
-
-
 def context_of(ids: np.ndarray, lengths: np.ndarray, start) -> np.ndarray:
     """What stands before each token; `start` before the first of each document."""
     before = np.empty_like(ids)
@@ -129,79 +108,55 @@ def edges_of(keys: np.ndarray, buckets: int) -> list[int]:
 
 
 def count_batches(buckets: int):
-    """Per flush and bucket one row of packed pair keys, or of tokens joined by spaces, and their counts."""
+    """Per flush and bucket one row of packed keys of pairs, or of tokens, and their counts."""
 
-    def packed(keys: np.ndarray, counts: np.ndarray, words: bool, names: list[bytes] | None = None) -> pa.RecordBatch:
+    def packed(held: list[np.ndarray], words: bool) -> pa.RecordBatch:
+        keys, counts = np.unique(np.concatenate(held), return_counts=True)
+        held.clear()
         edges, counts = edges_of(keys, buckets), counts.astype("<u4")
         full = [b for b in range(buckets) if edges[b] < edges[b + 1]]
-        blob = (lambda a, b: b" ".join(names[a:b])) if names is not None else (lambda a, b: keys[a:b].tobytes())
-        columns = [pa.array(full, pa.int32()), pa.array([words] * len(full), pa.bool_()), binary([blob(edges[b], edges[b + 1]) for b in full]), binary([counts[edges[b] : edges[b + 1]].tobytes() for b in full])]
+        columns = [pa.array(full, pa.int32()), pa.array([words] * len(full), pa.bool_()), binary([keys[edges[b] : edges[b + 1]].tobytes() for b in full]), binary([counts[edges[b] : edges[b + 1]].tobytes() for b in full])]
         return pa.record_batch(columns, names=["bucket", "words", "keys", "counts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, tokens, held, size = Hashes(), Counter(), [], 0
-        first = np.uint64(xxhash.xxh3_64_intdigest(START))
-
-        def flush_tokens() -> pa.RecordBatch:
-            names = list(tokens)
-            keys = np.array([xxhash.xxh3_64_intdigest(x) for x in names], dtype=np.uint64)
-            counts = np.fromiter(tokens.values(), dtype=np.int64, count=len(names))
-            order = np.argsort(keys, kind="stable")
-            tokens.clear()
-            return packed(keys[order], counts[order], True, [names[i] for i in order.tolist()])
-
-        def flush_pairs() -> pa.RecordBatch:
-            keys, counts = np.unique(np.concatenate(held), return_counts=True)
-            held.clear()
-            return packed(keys, counts, False)
-
+        tokens, pairs, size = [], [], 0
         for batch in batches:
             for _, texts in chunks(batch.column("text").to_pylist()):
-                lists = [words_of(t) + [END] for t in texts]
-                flat = [x for one in lists for x in one]
-                tokens.update(flat)
-                tokens[START] += len(lists)
-                ids = np.fromiter(map(hashes.__getitem__, flat), dtype=np.uint64, count=len(flat))
-                held.append(pair_keys(context_of(ids, np.array([len(x) for x in lists]), first), ids))
+                ids, lengths = with_ends(*word_hashes(texts), END)
+                tokens += [ids, np.full(len(texts), START)]
+                pairs.append(pair_keys(context_of(ids, lengths, START), ids))
                 size += len(ids)
                 if size > 2_500_000:
-                    yield flush_pairs()
+                    yield packed(tokens, True)
+                    yield packed(pairs, False)
                     size = 0
-                if len(tokens) > 300_000:
-                    yield flush_tokens()
         if size:
-            yield flush_pairs()
-        if tokens:
-            yield flush_tokens()
+            yield packed(tokens, True)
+            yield packed(pairs, False)
 
     return run
 
 
-MERGED = "token binary, c long, key long, level int"
+MERGED = "key long, c long, level int"
 
 
 def merge_bucket(table: pa.Table) -> pa.Table:
-    """All of a bucket: its tokens with their counts, and its pairs that are seen often enough."""
+    """All of a bucket: its tokens with their counts, and (c null) its pairs that are seen often enough."""
     words = table.column("words").to_numpy(zero_copy_only=False)
     blobs, counts = table.column("keys").to_pylist(), table.column("counts").to_pylist()
-    tokens: Counter = Counter()
-    for i in np.flatnonzero(words).tolist():
-        for name, c in zip(blobs[i].split(b" "), np.frombuffer(counts[i], dtype="<u4").tolist()):
-            tokens[name] += c
-    pairs = np.flatnonzero(~words).tolist()
-    keys = np.frombuffer(b"".join(blobs[i] for i in pairs), dtype=np.uint64)
-    many = np.frombuffer(b"".join(counts[i] for i in pairs), dtype="<u4")
-    order = np.argsort(keys, kind="stable")
-    keys, many = keys[order], many[order]
-    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, dtype=np.int64)
-    sums = np.add.reduceat(many.astype(np.int64), starts) if len(keys) else np.zeros(0, dtype=np.int64)
-    kept = sums >= LEAST_PAIR
-    names = list(tokens)
-    found = np.array([tokens[x] for x in names], dtype=np.int64)
-    every = np.concatenate([np.array([xxhash.xxh3_64_intdigest(x) for x in names], dtype=np.uint64), keys[starts][kept]])
-    levels = np.concatenate([levels_of(found), levels_of(sums[kept])]).astype(np.int32)
-    n = int(kept.sum())
-    return pa.table([pa.array(names + [None] * n, pa.binary()), pa.array(found.tolist() + [None] * n, pa.int64()), pa.array(every.view(np.int64)), pa.array(levels)], names=["token", "c", "key", "level"])
+    out = []
+    for kind, least in ((True, 1), (False, LEAST_PAIR)):
+        some = np.flatnonzero(words == kind).tolist()
+        keys = np.frombuffer(b"".join(blobs[i] for i in some), dtype=np.uint64)
+        many = np.frombuffer(b"".join(counts[i] for i in some), dtype="<u4")
+        order = np.argsort(keys, kind="stable")
+        keys, many = keys[order], many[order]
+        starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, dtype=np.int64)
+        sums = np.add.reduceat(many.astype(np.int64), starts) if len(keys) else np.zeros(0, dtype=np.int64)
+        kept = sums >= least
+        c = pa.array(sums[kept]) if kind else pa.nulls(int(kept.sum()), pa.int64())
+        out.append(pa.table([pa.array(keys[starts][kept].view(np.int64)), c, pa.array(levels_of(sums[kept]).astype(np.int32))], names=["key", "c", "level"]))
+    return pa.concat_tables(out)
 
 
 def place_in_slabs(slabs: int):
@@ -231,115 +186,87 @@ def build_slab(table: pa.Table) -> pa.Table:
     return pa.table([pa.array([table.column("slab")[0].as_py()], type=pa.int32()), binary([np.packbits(bits, bitorder="little").tobytes()])], names=["slab", "bits"])
 
 
-class Tokens(dict):
-    """Token to its place in growing arrays of what is known of it."""
-
-    def __init__(self):
-        super().__init__()
-        self.new: list[bytes] = []
-
-    def __missing__(self, token: bytes) -> int:
-        value = self[token] = len(self)
-        self.new.append(token)
-        return value
+SCORED = "row long, doc_id long, held_out boolean, n_tokens long, n_top long, base_top double, rare array<struct<key:long,f:int>>, plain double, parts array<double>, loo array<double>"
+PROBED = "row long, doc_id long, held_out boolean, text string, levels binary"
 
 
-SCORED = pa.schema([
-    ("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_top", pa.int64()), ("base_top", pa.float64()),
-    ("rare", pa.list_(pa.struct([("token", pa.binary()), ("f", pa.int32())]))), ("plain", pa.float64()), ("parts", pa.list_(pa.float64())), ("loo", pa.list_(pa.float64())),
-])
-PROBED = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("text", pa.string()), ("levels", pa.binary())])
+def rows_of(values: np.ndarray, kept: np.ndarray | None = None) -> pa.Array:
+    """A matrix as a list per row; rows not kept are null."""
+    offsets = np.arange(len(values) + 1, dtype=np.int32) * np.int32(values.shape[1])
+    mask = None if kept is None else pa.array(~kept)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.ravel()), mask=mask)
 
 
 def score_batches(shared, total: int, distinct: int, last: bool):
     """Map documents to score parts; with last=False only to the levels found so far.
 
     parts and loo: for each class of context counts and each weight, the sum of log10 probabilities of the tokens in
-    such a context; loo leaves the document's own occurrence out of each count and is empty for held-out documents.
+    such a context; loo leaves the document's own occurrence out of each count and is null for held-out documents.
     """
     n_lambda, n_class = len(LAMBDAS), len(CONTEXT_EDGES)
+    size, ten = float(total + distinct + 1), np.log(10.0)
+
+    def sums(cw, cv, c2, doc, docs):
+        """Sums per document, class and weight; tokens without a known context have the plain estimate."""
+        p1 = (cw + 1.0) / size
+        log1 = np.log(p1)
+        usable = cv > 0
+        plain = np.bincount(doc[~usable], weights=log1[~usable], minlength=docs)
+        kind = np.clip(np.searchsorted(CONTEXT_EDGES, cv, side="right") - 1, 0, n_class - 1)
+        cell = doc * n_class + kind
+        hit = usable & (c2 > 0)
+        miss = usable & ~hit
+        lows = np.bincount(cell[miss], weights=log1[miss], minlength=docs * n_class)
+        many = np.bincount(cell[miss], minlength=docs * n_class)
+        cell, q = cell[hit], p1[hit]
+        ml = np.minimum(c2[hit], cv[hit]) / cv[hit]
+        out = np.empty((docs * n_class, n_lambda))
+        for i, x in enumerate(LAMBDAS):
+            out[:, i] = lows + many * np.log(1 - x) + np.bincount(cell, weights=np.log((1 - x) * q + x * ml), minlength=docs * n_class)
+        return plain / ten, out.reshape(docs, n_class * n_lambda) / ten
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        top, slabs, held, bits = shared.value
+        top_keys, top_counts, slabs, held, bits = shared.value
         found = Filter(slabs, held, bits)
-        size = float(total + distinct + 1)
-        lam = np.array(LAMBDAS)
-        tokens = Tokens()
-        hashes, exact, uni = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint8)
-
-        def sums(cw, cv, c2, doc, docs, known):
-            """Sums per document, class and weight; tokens without a known context have the plain estimate."""
-            p1 = (cw + 1.0) / size
-            usable = known & (cv > 0)
-            plain = np.bincount(doc[~usable], weights=np.log10(p1[~usable]), minlength=docs)
-            kind = np.searchsorted(CONTEXT_EDGES, cv[usable], side="right") - 1
-            cell = doc[usable] * n_class + np.clip(kind, 0, n_class - 1)
-            ml = np.minimum(c2[usable], cv[usable]) / cv[usable]
-            q, hit = p1[usable], ml > 0
-            lows = np.bincount(cell[~hit], weights=np.log10(q[~hit]), minlength=docs * n_class)
-            many = np.bincount(cell[~hit], minlength=docs * n_class)
-            out = np.empty((docs * n_class, n_lambda))
-            for i, x in enumerate(lam):
-                out[:, i] = lows + many * np.log10(1 - x) + np.bincount(cell[hit], weights=np.log10((1 - x) * q[hit] + x * ml[hit]), minlength=docs * n_class)
-            return plain, out.reshape(docs, n_class * n_lambda)
-
         for batch in batches:
-            rows, ids, flags = (batch.column(x).to_pylist() for x in ("row", "doc_id", "held_out"))
             prior = batch.column("levels").to_pylist() if "levels" in batch.schema.names else None
             for first, texts in chunks(batch.column("text").to_pylist()):
-                if len(tokens) > 300_000:
-                    tokens = Tokens()
-                    hashes, exact, uni = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint8)
-                begin = tokens[START]
-                lists = [words_of(t) + [END] for t in texts]
-                flat = [x for one in lists for x in one]
-                at = np.fromiter(map(tokens.__getitem__, flat), dtype=np.int64, count=len(flat))
-                if tokens.new:
-                    new = np.array([xxhash.xxh3_64_intdigest(x) for x in tokens.new], dtype=np.uint64)
-                    hashes = np.concatenate([hashes, new])
-                    exact = np.concatenate([exact, np.array([top.get(x, -1) for x in tokens.new], dtype=np.int64)])
-                    uni = np.concatenate([uni, found.levels(new)])
-                    tokens.new.clear()
-                lengths = np.array([len(x) for x in lists])
-                docs = len(lists)
-                before = context_of(at, lengths, begin)
-                keys, back = np.unique(pair_keys(hashes[before], hashes[at]), return_inverse=True)
+                docs = len(texts)
+                ids, lengths = with_ends(*word_hashes(texts), END)
+                uniq, at = np.unique(ids, return_inverse=True)
+                before = context_of(at, lengths, len(uniq))
+                uni = found.levels(np.append(uniq, START))
+                keys, back = np.unique(pair_keys(np.append(uniq, START)[before], ids), return_inverse=True)
                 level = np.stack([uni[at], uni[before], found.levels(keys)[back]])
                 ends = np.cumsum(lengths)
                 if prior is not None:
                     level = np.maximum(level, np.concatenate([np.frombuffer(prior[first + i], np.uint8).reshape(3, -1) for i in range(docs)], axis=1))
-                some = slice(first, first + docs)
+                carried = [batch.column(c).slice(first, docs) for c in ("row", "doc_id", "held_out")]
                 if not last:
                     packed = [level[:, a:b].tobytes() for a, b in zip(ends - lengths, ends)]
-                    yield pa.record_batch([pa.array(rows[some], pa.int64()), pa.array(ids[some], pa.int64()), pa.array(flags[some], pa.bool_()), pa.array(texts, pa.string()), binary(packed)], schema=PROBED)
+                    yield pa.record_batch([*carried, pa.array(texts, pa.string()), binary(packed)], names=["row", "doc_id", "held_out", "text", "levels"])
                     continue
                 doc = np.repeat(np.arange(docs), lengths)
                 cw, cv, c2 = (MEANING[x] for x in level)
-                plain, parts = sums(cw, cv, c2, doc, docs, cv > 0)
-                train = ~np.array(flags[some], dtype=bool)
+                plain, parts = sums(cw, cv, c2, doc, docs)
+                train = ~np.array(carried[2].to_pylist(), dtype=bool)
                 own = train[doc]
-                _, loo = sums(np.maximum(cw - 1, 0), np.maximum(cv - 1, 0), np.maximum(c2 - 1, 0), doc, docs, own)
-                c = exact[at]
-                in_top = c >= 0
-                base = np.bincount(doc[in_top], weights=np.log10((c[in_top] + 1) / size), minlength=docs)
-                n_top = np.bincount(doc[in_top], minlength=docs)
-                rare: list[list] = [[] for _ in range(docs)]
-                for k, f in _rare(flat, doc, in_top):
-                    rare[k[0]].append({"token": k[1], "f": f})
-                yield pa.record_batch([
-                    pa.array(rows[some], pa.int64()), pa.array(ids[some], pa.int64()), pa.array(flags[some], pa.bool_()), pa.array(lengths, pa.int64()), pa.array(n_top, pa.int64()), pa.array(base), pa.array(rare, SCORED.field("rare").type),
-                    pa.array(plain), pa.array(parts.tolist(), pa.list_(pa.float64())), pa.array([x if t else None for x, t in zip(loo.tolist(), train)], pa.list_(pa.float64())),
-                ], schema=SCORED)
+                loo = sums(*(np.maximum(x[own] - 1, 0) for x in (cw, cv, c2)), doc[own], docs)[1]
+                where = np.searchsorted(top_keys, uniq)
+                where[where == len(top_keys)] = 0
+                known = top_keys[where] == uniq if len(top_keys) else np.zeros(len(uniq), dtype=bool)
+                gain = np.where(known, np.log10((top_counts[where] + 1) / size), 0.0) if len(top_keys) else np.zeros(len(uniq))
+                in_top = known[at]
+                base, n_top = np.bincount(doc, weights=gain[at], minlength=docs), np.bincount(doc[in_top], minlength=docs)
+                code, f = np.unique(doc[~in_top] * len(uniq) + at[~in_top], return_counts=True)
+                edges = np.searchsorted(code, np.arange(docs + 1) * len(uniq)).astype(np.int32)
+                pairs = pa.StructArray.from_arrays([pa.array(uniq[code % len(uniq)].view(np.int64)), pa.array(f.astype(np.int32))], names=["key", "f"])
+                rare = pa.ListArray.from_arrays(pa.array(edges), pairs)
+                yield pa.record_batch([*carried, pa.array(lengths), pa.array(n_top), pa.array(base), rare, pa.array(plain), rows_of(parts), rows_of(loo, train)], names=[x.split()[0] for x in SCORED.split(", ")])
 
     return run
 
 
-def _rare(flat: list[bytes], doc: np.ndarray, in_top: np.ndarray):
-    """Occurrences of the tokens whose exact counts were not broadcast, by document and token."""
-    where = np.flatnonzero(~in_top)
-    return Counter(zip(doc[where].tolist(), [flat[i] for i in where.tolist()])).items()
-
-
 def language_model_scores(docs: DataFrame, held_out, buckets_of: int = 8 << 20, segment_slabs: int = SEGMENT_SLABS, top_tokens: int = TOP_TOKENS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs.
 
@@ -355,10 +282,10 @@ def language_model_scores(docs: DataFrame, held_out, buckets_of: int = 8 << 20,
     buckets = 1 << max(0, min(16, int(size / buckets_of).bit_length()))
     counted = train.mapInArrow(count_batches(buckets), COUNTED)
     items = stage(counted.groupBy("bucket").applyInArrow(merge_bucket, MERGED), "lm-counts")
-    tokens = items.where("token is not null").select("token", "c")
+    tokens = items.where("c is not null").select("key", "c")
 
     edges = F.array(*[F.lit(int(x)) for x in THRESHOLDS])
-    real = tokens.where(F.col("token") != F.lit(START))
+    real = tokens.where(F.col("key") != F.lit(int(START.astype(np.int64))))
     spread = real.groupBy(F.aggregate(edges, F.lit(0), lambda n, x: n + (x <= F.col("c")).cast("int")).alias("level")).agg(F.count("*").alias("n"), F.sum("c").alias("c")).collect()
     total, distinct = sum(r["c"] for r in spread), sum(r["n"] for r in spread)
     least, held = None, 0
@@ -367,7 +294,8 @@ def language_model_scores(docs: DataFrame, held_out, buckets_of: int = 8 << 20,
             break
         held, least = held + r["n"], int(THRESHOLDS[r["level"] - 1])
     frequent = real.where(F.col("c") >= least).toArrow() if least is not None else None  # at most top_tokens rows
-    top = dict(zip(frequent["token"].to_pylist(), frequent["c"].to_pylist())) if frequent is not None else {}
+    order = np.argsort(frequent["key"].to_numpy().view(np.uint64)) if frequent is not None else np.zeros(0, dtype=np.int64)
+    top = (frequent["key"].to_numpy().view(np.uint64)[order], frequent["c"].to_numpy()[order]) if frequent is not None else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
     weight = items.agg(F.sum("level")).first()[0] or 1
     slabs = int(-(-weight * BITS_PER_LEVEL // SLAB_BITS))
@@ -376,11 +304,11 @@ def language_model_scores(docs: DataFrame, held_out, buckets_of: int = 8 << 20,
     for start in range(0, slabs, segment_slabs):
         part = built.where((F.col("slab") >= start) & (F.col("slab") < start + segment_slabs)).toArrow()  # at most segment_slabs MB
         last = start + segment_slabs >= slabs
-        shared = spark.sparkContext.broadcast((top if last else {}, slabs, part["slab"].to_pylist(), b"".join(part["bits"].to_pylist())))
+        shared = spark.sparkContext.broadcast((*top, slabs, part["slab"].to_pylist(), b"".join(part["bits"].to_pylist())))
         if last:
-            now = now.mapInArrow(score_batches(shared, total, distinct, True), "row long, doc_id long, held_out boolean, n_tokens long, n_top long, base_top double, rare array<struct<token:binary,f:int>>, plain double, parts array<double>, loo array<double>")
+            now = now.mapInArrow(score_batches(shared, total, distinct, True), SCORED)
         else:
-            now = stage(now.mapInArrow(score_batches(shared, total, distinct, False), "row long, doc_id long, held_out boolean, text string, levels binary"), "lm-levels")
+            now = stage(now.mapInArrow(score_batches(shared, total, distinct, False), PROBED), "lm-levels")
     scored = stage(now, "lm-scored")
 
     n, k = len(LAMBDAS), len(CONTEXT_EDGES)
@@ -390,7 +318,7 @@ def language_model_scores(docs: DataFrame, held_out, buckets_of: int = 8 << 20,
     for c in range(k):
         score = score + F.col("parts")[c * n + best[c]]
     size = float(total + distinct + 1)
-    rare = scored.select("row", F.explode("rare").alias("r")).select("row", F.col("r.token").alias("token"), F.col("r.f").alias("f")).join(tokens, "token", "left")
+    rare = scored.select("row", F.explode("rare").alias("r")).select("row", F.col("r.key").alias("key"), F.col("r.f").alias("f")).join(tokens, "key", "left")
     rare = rare.groupBy("row").agg(F.sum(F.when(F.col("c").isNotNull(), F.col("f")).otherwise(0)).alias("known"), F.sum(F.col("f") * F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(size))).alias("base"))
     return scored.join(rare, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_top") + F.coalesce("known", F.lit(0))).cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import arrow_limits, binary, chunks, stage, text_or_empty
 from .components import connected_components
-from .lm import Hashes, mix, words_of
+from .tokenhash import mix, word_hashes
 
 #: Sketch: registers, base b, scale a and bands.  A band takes as many registers as leave a pair at the threshold a
 #: probability below MOST_MISSED to share none of the bands.
@@ -37,21 +37,21 @@ LOG_MARGIN = 14.0
 FILTER_BITS = 1 << 24
 
 
-def shingle_hashes(texts: list[str], width: int, hashes: dict) -> list[np.ndarray]:
+def shingle_hashes(texts: list[str], width: int) -> list[np.ndarray]:
     """The distinct 64-bit hashes of each text's word shingles, in order; texts shorter than a shingle have one."""
-    lists = [words_of(t) for t in texts]
-    flat = [x for one in lists for x in one]
-    ids = np.fromiter(map(hashes.__getitem__, flat), dtype=np.uint64, count=len(flat))
+    ids, counts = word_hashes(texts)
     rolled = np.zeros(max(0, len(ids) - width + 1), dtype=np.uint64)
     for k in range(width):
         rolled = mix(rolled * np.uint64(0x9E3779B97F4A7C15) + ids[k : len(ids) - width + 1 + k])
     out, at = [], 0
-    for words in lists:
-        n = len(words)
+    for n in counts.tolist():
         if n >= width:
             out.append(np.unique(rolled[at : at + n - width + 1]))
         elif n:
-            out.append(np.array([xxhash.xxh3_64_intdigest(b"\n".join(words), seed=7)], dtype=np.uint64))
+            whole = np.array([n], dtype=np.uint64)
+            for k in range(n):
+                whole = mix(whole * np.uint64(0x9E3779B97F4A7C15) + ids[at + k : at + k + 1])
+            out.append(whole)
         else:
             out.append(np.zeros(0, dtype=np.uint64))
         at += n
@@ -147,11 +147,10 @@ def sketch_documents(docs: DataFrame, width: int, least: float) -> DataFrame:
     taken = band_registers(rows_a_band(least))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
         salt = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0xE7037ED1A0B428DB)
         for batch in batches:
             for first, texts in chunks(batch.column("text").to_pylist()):
-                sets = shingle_hashes(texts, width, hashes)
+                sets = shingle_hashes(texts, width)
                 sketches = [sketch(s) for s in sets]
                 bands = np.array(sketches).astype(np.uint64)[:, taken]
                 h = np.broadcast_to(salt, (len(sets), BANDS)).copy()
@@ -210,10 +209,9 @@ def sets_of(docs: DataFrame, keys: DataFrame, width: int) -> DataFrame:
     texts = texts.groupBy("k1", "k2").agg(F.first("text").alias("text")).join(keys, ["k1", "k2"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
         for batch in batches:
             for first, some in chunks(batch.column("text").to_pylist()):
-                packed = [s.tobytes() for s in shingle_hashes(some, width, hashes)]
+                packed = [s.tobytes() for s in shingle_hashes(some, width)]
                 yield pa.record_batch([batch.column("k1").slice(first, len(some)), batch.column("k2").slice(first, len(some)), binary(packed)], names=["k1", "k2", "items"])
 
     return stage(texts.mapInArrow(sets, "k1 long, k2 long, items binary"), "dup-sets")
