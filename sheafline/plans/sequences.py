@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import days, listing, paging
+from ..operators import days, layout, listing, paging
 from ..runtime import ship
 from ..sources.tables import line_words, page_lines, table
 
@@ -268,7 +268,27 @@ def wrapped_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.mapInPandas(run, "page long, n_lines long, n_entries long")
 
 
+def body_start(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document as a typed page with a header and an indented body: where the body begins, and with which doubt."""
+    ship(spark)
+    k = F.col("doc_id")
+    head = F.element_at(F.array(*map(F.lit, ["FOR IMMEDIATE RELEASE", "Contact: the office, phone 555", "TOWN, N.Y. -- ", "TOWN, N.Y. "])), (k % 4 + 1).cast("int"))
+    pages = table(spark, sf_dir, "documents").select(k.alias("page"), F.concat(F.array(F.lit("News Office")), F.when(k % 4 < 2, F.concat(F.array(head), F.split("text", "\n"))).otherwise(F.split(F.concat(head, "text"), "\n"))).alias("lines"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for page, texts in zip(frame.page, frame.lines):
+                rows = [layout.typed_row(t, 100 + 12 * (5 if i == 2 else 0), 100 + 60 * i) for i, t in enumerate(texts) if t.split()]
+                start = layout.find_body(rows)
+                out.append((page, -1, -1, "could not find the article body") if start is None else (page, start.line, start.word, " | ".join(start.flags)))
+            yield pd.DataFrame(out, columns=["page", "line", "word", "flags"])
+
+    return pages.mapInPandas(run, "page long, line long, word long, flags string")
+
+
 QUERIES = {
+    "body_start": (body_start, None),
     "page_signals": (page_signals, SIGNALS_SQL), "group_pages": (group_pages, GROUP_SQL), "group_pages_by_slug": (group_pages_by_slug, None), "list_dates_filled": (list_dates_filled, FILLED_SQL),
     "ordered_days": (ordered_days, ORDERED_SQL), "list_year": (list_year, YEAR_SQL), "list_rows": (list_rows, LIST_ROWS_SQL), "line_geometry": (line_geometry, GEOMETRY_SQL), "words_in_regions": (words_in_regions, REGIONS_SQL),
     "split_dashes": (split_dashes, DASHES_SQL), "body_words_dehyphenated": (body_words_dehyphenated, BODY_SQL), "find_slug": (find_slug, SLUG_SQL), "vote_days": (vote_days, None), "wrapped_subjects": (wrapped_subjects, None),

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import records, scalars, sequences, votes
+from .plans import records, scalars, sequences, streams, votes
 
 FLAGSHIP = "vote_words"
-PLANS = (scalars, votes, sequences, records)
+PLANS = (scalars, votes, sequences, records, streams)
 
 
 def queries() -> dict:

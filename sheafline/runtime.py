@@ -23,3 +23,14 @@ def ship(spark: SparkSession) -> None:
         for path in sorted(here.rglob("*.py")):
             out.write(path, str(path.relative_to(here.parent)))
     context.addPyFile(str(target))
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path under the folder that driver and executors share; one of our own where the cluster names none."""
+    import uuid
+
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        named = "file://" + tempfile.mkdtemp(prefix="sheafline-")
+        spark.sparkContext.setCheckpointDir(named)
+    return f"{named.rstrip('/')}/{name}-{uuid.uuid4().hex}"
