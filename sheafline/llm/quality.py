@@ -45,11 +45,12 @@ def jensen_shannon(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(F.aggregate(each, F.lit(0.0), lambda a, x: a + x) / 2, F.lit(0.0)))
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """All columns of docs under __doc, and the counts and histograms under __ names."""
+def features(docs: DataFrame, carried: list[str]) -> DataFrame:
+    """The carried columns of docs under __doc, and the counts and histograms under __ names."""
     text = text_or_empty()
     lang = F.lower(F.col("lang").cast("string")) if "lang" in docs.columns else F.lit(None).cast("string")
-    one = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"), text.alias("__text"), F.coalesce(lang, F.lit("")).alias("__lang"))
+    known_lang = F.when(lang.isin(*COMMON_WORDS), lang).otherwise("")  # all others share one reference
+    one = docs.select(F.struct(*[F.col(f"`{c}`") for c in carried]).alias("__doc"), text.alias("__text"), known_lang.alias("__lang"))
     two = one.withColumns({
         "__words": F.array_remove(F.split("__text", f"[{SPACES}]+", -1), ""),
         "__lines": F.filter(F.split("__text", "\n", -1), lambda x: x.rlike(f"[^{SPACES}]")),
@@ -90,14 +91,14 @@ def features(docs: DataFrame) -> DataFrame:
     )
 
 
-def judge(docs: DataFrame, most_char: float = MOST_CHAR_DISTANCE, most_word: float = MOST_WORD_DISTANCE, most_sum: float = MOST_SUM, least_words: int = LEAST_WORDS, least_chars: int = LEAST_CHARS) -> DataFrame:
-    """Every row of docs under __doc with its counts, distances, __base_failed and __kept.
+def judge(docs: DataFrame, carried: list[str] | None = None, most_char: float = MOST_CHAR_DISTANCE, most_word: float = MOST_WORD_DISTANCE, most_sum: float = MOST_SUM, least_words: int = LEAST_WORDS, least_chars: int = LEAST_CHARS) -> DataFrame:
+    """Every row of docs with its counts, distances, __base_failed and __kept; its carried columns (all) under __doc.
 
-    A null text is empty and fails; a null or unknown language has the reference of its own rows and no common words.
+    A null text is empty and fails; null and unknown languages share one reference and have no common words.
     Repeated rows are judged alike; an empty table gives an empty result; other columns, whatever their names, are
     carried under __doc untouched.
     """
-    made = features(docs)
+    made = features(docs, carried or docs.columns)
     failed = (F.col("__n") < 20) | (F.col("__repeats") * 100 > F.col("__n") * 30)
     rest = F.col("__n") - F.aggregate("__hits", F.lit(0.0), lambda a, x: a + x)
     held = stage(made.select("*", failed.alias("__base_failed"), normalised(F.col("__classes")).alias("__p"), normalised(F.concat("__hits", F.array(F.greatest(rest, F.lit(0.0))))).alias("__q")), "quality-features")
@@ -106,7 +107,8 @@ def judge(docs: DataFrame, most_char: float = MOST_CHAR_DISTANCE, most_word: flo
     mean = lambda c, size: F.array(*[F.avg(F.col(c)[i]) for i in range(size)])
     words = max(map(len, COMMON_WORDS.values())) + 1
     references = good.groupBy("__lang").agg(mean("__p", 7).alias("__rp"), mean("__q", words).alias("__rq"))
-    near = held.join(references, "__lang", "left").withColumns({"__char_distance": jensen_shannon(F.col("__p"), F.col("__rp")), "__word_distance": jensen_shannon(F.col("__q"), F.col("__rq"))})
+    near = held.join(F.broadcast(references), "__lang", "left")  # a row per known language and one more
+    near = near.withColumns({"__char_distance": jensen_shannon(F.col("__p"), F.col("__rp")), "__word_distance": jensen_shannon(F.col("__q"), F.col("__rq"))})
     by_char, by_word = (F.coalesce(c, F.lit(0.0)) for c in ("__char_distance", "__word_distance"))
     far = enough & ((by_char > most_char) | (by_word > most_word) | (by_char + by_word > most_sum))
     return near.withColumn("__kept", ~F.col("__base_failed") & ~far)
@@ -114,8 +116,7 @@ def judge(docs: DataFrame, most_char: float = MOST_CHAR_DISTANCE, most_word: flo
 
 def quality_verdicts(docs: DataFrame, **limits) -> DataFrame:
     """doc_id, the counts, base_failed, kept and both distances for every row of docs."""
-    slim = docs.select("doc_id", "text", *(["lang"] if "lang" in docs.columns else []))
-    return judge(slim, **limits).select(
+    return judge(docs, ["doc_id"], **limits).select(
         F.col("__doc.doc_id").cast("long").alias("doc_id"), F.col("__n").alias("n_words"), F.col("__word_chars").alias("word_chars"), F.col("__symbols").alias("n_symbols"), F.col("__dup_lines").alias("n_dup_lines"), F.col("__repeats").alias("n_repeat_words"),
         F.col("__base_failed").alias("base_failed"), F.col("__kept").alias("kept"), F.col("__char_distance").alias("char_distance"), F.col("__word_distance").alias("word_distance"),
     )
