@@ -31,7 +31,7 @@ PROBES, BITS_PER_LEVEL = 5, 7.5
 SLAB_BITS = 1 << 23
 SEGMENT_SLABS = 128  # one broadcast holds at most this many MB
 TOP_TOKENS = 200_000  # tokens whose exact counts are broadcast
-LAMBDAS = (0.01, 0.05, 0.15, 0.35, 0.6, 0.85)
+LAMBDAS = (0.0, 0.02, 0.08, 0.2, 0.4, 0.65, 0.85)
 CONTEXT_EDGES = (1, 4, 16, 128, 2048)  # classes of context counts that have a weight of their own
 
 #: Hashes of the end of a text and of what stands before its first word.
@@ -222,7 +222,7 @@ def score_batches(shared, total: int, distinct: int, last: bool):
         ml = np.minimum(c2[hit], cv[hit]) / cv[hit]
         out = np.empty((docs * n_class, n_lambda))
         for i, x in enumerate(LAMBDAS):
-            out[:, i] = lows + many * np.log(1 - x) + np.bincount(cell, weights=np.log((1 - x) * q + x * ml), minlength=docs * n_class)
+            out[:, i] = lows + many * np.log1p(-x) + np.bincount(cell, weights=np.log((1 - x) * q + x * ml), minlength=docs * n_class)
         return plain / ten, out.reshape(docs, n_class * n_lambda) / ten
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,7 +251,9 @@ def score_batches(shared, total: int, distinct: int, last: bool):
                 plain, parts = sums(cw, cv, c2, doc, docs)
                 train = ~np.array(carried[2].to_pylist(), dtype=bool)
                 own = train[doc]
-                loo = sums(*(np.maximum(x[own] - 1, 0) for x in (cw, cv, c2)), doc[own], docs)[1]
+                # without the document's own occurrence a pair may fall below the cut-off
+                left = np.where(c2[own] - 1 >= LEAST_PAIR, c2[own] - 1, 0)
+                loo = sums(np.maximum(cw[own] - 1, 0), np.maximum(cv[own] - 1, 0), left, doc[own], docs)[1]
                 where = np.searchsorted(top_keys, uniq)
                 where[where == len(top_keys)] = 0
                 known = top_keys[where] == uniq if len(top_keys) else np.zeros(len(uniq), dtype=bool)
