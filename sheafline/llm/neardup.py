@@ -40,9 +40,10 @@ FILTER_BITS = 1 << 24
 def shingle_hashes(texts: list[str], width: int) -> list[np.ndarray]:
     """The distinct 64-bit hashes of each text's word shingles, in order; texts shorter than a shingle have one."""
     ids, counts = word_hashes(texts)
-    rolled = np.zeros(max(0, len(ids) - width + 1), dtype=np.uint64)
+    n = max(0, len(ids) - width + 1)
+    rolled = np.zeros(n, dtype=np.uint64)
     for k in range(width):
-        rolled = mix(rolled * np.uint64(0x9E3779B97F4A7C15) + ids[k : len(ids) - width + 1 + k])
+        rolled = mix(rolled * np.uint64(0x9E3779B97F4A7C15) + ids[k : k + n])
     out, at = [], 0
     for n in counts.tolist():
         if n >= width:
