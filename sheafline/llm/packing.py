@@ -213,23 +213,38 @@ def settle(capacity: int):
         starts = ends - sizes[order]
         first = np.concatenate([[True], bin_of[order][1:] != bin_of[order][:-1]])
         offset = starts - np.maximum.accumulate(np.where(first, starts, 0))
-        return pa.table([pa.array(rows[order]), pa.array((np.int64(block) << 32) + bin_of[order].astype(np.int64)), pa.array(offset)], names=["row", "sequence_id", "offset"])
+        emptiest = bin_of[order] == np.argmin(np.bincount(bin_of, weights=sizes))
+        return pa.table([pa.array(rows[order]), pa.array(sizes[order].astype(np.int64)), pa.array((np.int64(block) << 32) + bin_of[order].astype(np.int64)), pa.array(offset), pa.array(emptiest)], names=["row", "length", "sequence_id", "offset", "open"])
 
     return run
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, block_items: int = BLOCK_ITEMS, islands: int = ISLANDS, epochs: int = EPOCHS) -> DataFrame:
-    """Pieces (row, piece, length, ...), staged, with sequence_id and offset; at most one piece of a row is short."""
-    short = pieces.where(F.col("length") < capacity)
-    blocks = max(1, -(-short.count() // block_items))
-    dealt = short.select(F.pmod(F.xxhash64("row"), F.lit(blocks)).alias("block"), "row", "length")
+PLACED = "row long, length long, sequence_id long, offset long, open boolean"
+
+
+def solve(dealt: DataFrame, capacity: int, islands: int, epochs: int) -> DataFrame:
+    """dealt(block, row, length) -> every row's place, and whether it lies in its block's emptiest bin."""
     state = dealt.groupBy("block").applyInArrow(gather(islands), STATE)
     for epoch in range(epochs):
         if epoch:
             elite = state.select("block", F.pmod(F.col("island") + 1, F.lit(islands)).cast("int").alias("island"), F.lit(True).alias("migrant"), F.lit(None).cast("binary").alias("rows"), F.lit(None).cast("binary").alias("sizes"), F.slice("population", 1, 1).alias("population"))
             state = state.unionByName(elite)
         state = stage(state.groupBy("block", "island").applyInArrow(epoch_on(epoch, capacity), STATE), "pack-epoch")
-    placed = state.groupBy("block").applyInArrow(settle(capacity), "row long, sequence_id long, offset long")
+    return state.groupBy("block").applyInArrow(settle(capacity), PLACED)
+
+
+def pack(pieces: DataFrame, capacity: int = CAPACITY, block_items: int = BLOCK_ITEMS, islands: int = ISLANDS, epochs: int = EPOCHS) -> DataFrame:
+    """Pieces (row, piece, length, ...), staged, with sequence_id and offset; at most one piece of a row is short."""
+    short = pieces.where(F.col("length") < capacity)
+    blocks = max(1, -(-short.count() // block_items))
+    dealt = short.select(F.pmod(F.xxhash64("row"), F.lit(blocks)).alias("block"), "row", "length")
+    placed = stage(solve(dealt, capacity, islands, epochs), "pack-placed")
+    if blocks > 1:  # the emptiest bin of each block is opened again and packed with those of other blocks
+        loose = placed.where("open").select("row", "length")
+        again = max(1, -(-loose.count() // block_items))
+        dealt = loose.select((F.pmod(F.xxhash64("row"), F.lit(again)) + blocks).alias("block"), "row", "length")
+        placed = placed.where("not open").unionByName(solve(dealt, capacity, islands, epochs))
+    placed = placed.select("row", "sequence_id", "offset")
     full = pieces.where(F.col("length") >= capacity).withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
     return short.join(placed, "row").unionByName(full)
 
