@@ -7,7 +7,7 @@ Readings of a page are one array, so a vote is a row-wise expression and needs n
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import alnum
@@ -52,62 +52,59 @@ def low_confidence(reader: Column, texts: Column, confs: Column, agreed: Column)
     return F.transform(pairs, lambda x: F.concat(reader, F.lit(" confidence "), number(x["c"]), F.lit(" < "), number(floor), F.lit(" on '"), x["t"], F.lit("'")))
 
 
-def vote(readings: Column, has, same) -> Column:
-    """struct(primary index from 0 or null, supporters, dissenters, verified) over array<struct> in voting order."""
-    n = F.size(readings)
-    first = F.array_min(F.filter(F.transform(readings, lambda r, i: F.when(has(r), i)), lambda i: i.isNotNull()))
-    primary = F.get(readings, first)
-    supports = F.filter(readings, lambda r: has(r) & same(primary, r))
-    yes = F.when(first.isNull(), F.lit(0)).otherwise(F.size(supports))
-    return F.struct(first.alias("primary"), yes.alias("supporters"), (n - yes).alias("dissenters"), F.coalesce((first == 0) & (yes >= 2) & (yes > n - yes), F.lit(False)).alias("verified"))
-
-
-def reconcile_words(readings: Column, vote_of: Column) -> dict[str, Column]:
-    """readings: array<struct<reader, texts, confs, flags>>; value, confidence and reasons of the words."""
-    v = vote_of
-    primary = F.get(readings, v["primary"])
-    value = F.array_join(primary["texts"], " ")
-    supports = lambda r: (F.size(r["texts"]) > 0) & same_words(primary["texts"], r["texts"])
-    counted = F.when(v["verified"], F.filter(readings, supports)).otherwise(readings)
-    flags = merge_flags(counted)
-    only = F.when(v["primary"] > 0, F.array(F.concat(F.lit("first words only read by "), primary["reader"]))).otherwise(F.array().cast(NO_TEXTS))
-    differ = F.transform(F.filter(readings, lambda r: ~supports(r)), lambda r: F.concat(F.lit("engines disagree on first words: "), primary["reader"], F.lit(" '"), value, F.lit("' vs "), r["reader"], F.lit(" '"), F.array_join(r["texts"], " "), F.lit("'")))
-    doubts = F.when(v["verified"], F.array().cast(NO_TEXTS)).otherwise(F.concat(only, differ))
-    agreed = F.when(v["verified"] & (v["dissenters"] == 0), v["supporters"]).otherwise(F.lit(0))
-    low = F.flatten(F.transform(counted, lambda r: low_confidence(r["reader"], r["texts"], r["confs"], agreed)))
-    nothing = F.concat(merge_flags(readings), F.array(F.lit("no article words found")))
-    return {
-        "value": F.coalesce(F.when(v["primary"].isNotNull(), value), F.lit("")),
-        "confidence": F.when(v["verified"], F.array_min(primary["confs"])).otherwise(F.lit(0.0)),
-        "reasons": F.when(v["primary"].isNull(), nothing).otherwise(F.concat(flags, doubts, low)),
-    }
+def vote(frame: DataFrame, has, same, readings: str = "readings") -> DataFrame:
+    """Adds primary_at (from 0, null if no reader has a value), primary, backs (which readers support it), supporters,
+    dissenters and verified to rows with an array of readings in voting order.
+
+    Each step is a column of its own, so that later ones read it instead of repeating its expression.
+    """
+    filled = F.transform(readings, lambda r, i: F.when(has(r), i))
+    found = frame.withColumn("primary_at", F.array_min(filled)).withColumn("primary", F.get(F.col(readings), F.col("primary_at")))
+    backs = F.transform(readings, lambda r: F.coalesce(has(r) & same(F.col("primary"), r), F.lit(False)))
+    counted = found.withColumn("backs", backs).withColumn("supporters", F.size(F.filter("backs", lambda b: b)))
+    counted = counted.withColumn("dissenters", F.size(readings) - F.col("supporters"))
+    majority = (F.col("primary_at") == 0) & (F.col("supporters") >= 2) & (F.col("supporters") > F.col("dissenters"))
+    return counted.withColumn("verified", F.coalesce(majority, F.lit(False)))
+
+
+def _settle(voted: DataFrame, value: Column, differ, low, only: str, nothing: str, confidence: Column) -> DataFrame:
+    """value, confidence and reasons from a vote.  Doubts of all readings count unless a majority outvoted the odd ones."""
+    counted = voted.withColumn("counted", F.filter("readings", lambda r, i: ~F.col("verified") | F.get(F.col("backs"), i)))
+    counted = counted.withColumn("others", F.filter("readings", lambda r, i: ~F.get(F.col("backs"), i)))
+    counted = counted.withColumn("agreed", F.when(F.col("verified") & (F.col("dissenters") == 0), F.col("supporters")).otherwise(F.lit(0)))
+    none = F.array().cast(NO_TEXTS)
+    alone = F.when(F.col("primary_at") > 0, F.array(F.concat(F.lit(only), F.col("primary.reader")))).otherwise(none)
+    told = counted.withColumn("flags", merge_flags(F.col("counted"))).withColumn("low", F.flatten(F.transform("counted", low)))
+    told = told.withColumn("doubts", F.when(F.col("verified"), none).otherwise(F.concat(alone, F.transform("others", differ))))
+    empty = F.col("primary_at").isNull()
+    return told.withColumns({
+        "value": F.when(empty, F.lit("")).otherwise(value), "confidence": F.when(F.col("verified"), confidence).otherwise(F.lit(0.0)),
+        "reasons": F.when(empty, F.concat("flags", F.array(F.lit(nothing)))).otherwise(F.concat("flags", "doubts", "low")),
+    })
+
+
+def reconcile_words(frame: DataFrame) -> DataFrame:
+    """frame with readings array<struct<reader, texts, confs, flags>> -> with value, confidence, reasons and the vote."""
+    voted = vote(frame, lambda r: F.size(r["texts"]) > 0, lambda a, b: same_words(a["texts"], b["texts"]))
+    voted = voted.withColumn("said", F.array_join("primary.texts", " "))
+    quoted = lambda c: F.concat(F.lit("'"), c, F.lit("'"))
+    differ = lambda r: F.concat(F.lit("engines disagree on first words: "), F.col("primary.reader"), F.lit(" "), quoted(F.col("said")), F.lit(" vs "), r["reader"], F.lit(" "), quoted(F.array_join(r["texts"], " ")))
+    low = lambda r: low_confidence(r["reader"], r["texts"], r["confs"], F.col("agreed"))
+    return _settle(voted, F.col("said"), differ, low, "first words only read by ", "no article words found", F.array_min("primary.confs"))
 
 
 def same_date(a: Column, b: Column) -> Column:
     return (a["iso"] == b["iso"]) & (alnum(a["printed"]) == alnum(b["printed"]))
 
 
-def reconcile_date(readings: Column, vote_of: Column) -> dict[str, Column]:
-    """readings: array<struct<reader, iso, printed, conf, flags>>; value, confidence and reasons of the date."""
-    v = vote_of
-    primary = F.get(readings, v["primary"])
-    supports = lambda r: r["iso"].isNotNull() & same_date(primary, r)
-    counted = F.when(v["verified"], F.filter(readings, lambda r: F.coalesce(supports(r), F.lit(False)))).otherwise(readings)
-    only = F.when(v["primary"] > 0, F.array(F.concat(F.lit("date only read by "), primary["reader"]))).otherwise(F.array().cast(NO_TEXTS))
-    differ = F.transform(
-        F.filter(readings, lambda r: ~F.coalesce(supports(r), F.lit(False))),
-        lambda r: F.when(r["iso"].isNull(), F.concat(r["reader"], F.lit(" found no date"))).otherwise(
-            F.concat(F.lit("engines disagree on date: "), primary["reader"], F.lit(" '"), primary["printed"], F.lit("' vs "), r["reader"], F.lit(" '"), r["printed"], F.lit("'"))),
-    )
-    doubts = F.when(v["verified"], F.array().cast(NO_TEXTS)).otherwise(F.concat(only, differ))
-    agreed = F.when(v["verified"] & (v["dissenters"] == 0), v["supporters"]).otherwise(F.lit(0))
-    low = F.flatten(F.transform(F.filter(counted, lambda r: r["iso"].isNotNull()), lambda r: low_confidence(r["reader"], F.array(r["printed"]), F.array(r["conf"]), agreed)))
-    nothing = F.concat(merge_flags(readings), F.array(F.lit("no release date found")))
-    return {
-        "value": F.coalesce(F.when(v["primary"].isNotNull(), primary["iso"]), F.lit("")),
-        "confidence": F.when(v["verified"], primary["conf"]).otherwise(F.lit(0.0)),
-        "reasons": F.when(v["primary"].isNull(), nothing).otherwise(F.concat(merge_flags(counted), doubts, low)),
-    }
+def reconcile_date(frame: DataFrame) -> DataFrame:
+    """frame with readings array<struct<reader, iso, printed, conf, flags>> -> with value, confidence, reasons and the
+    vote."""
+    voted = vote(frame, lambda r: r["iso"].isNotNull(), same_date)
+    differ = lambda r: F.when(r["iso"].isNull(), F.concat(r["reader"], F.lit(" found no date"))).otherwise(
+        F.concat(F.lit("engines disagree on date: "), F.col("primary.reader"), F.lit(" '"), F.col("primary.printed"), F.lit("' vs "), r["reader"], F.lit(" '"), r["printed"], F.lit("'")))
+    low = lambda r: F.when(r["iso"].isNull(), F.array().cast(NO_TEXTS)).otherwise(low_confidence(r["reader"], F.array(r["printed"]), F.array(r["conf"]), F.col("agreed")))
+    return _settle(voted, F.col("primary.iso"), differ, low, "date only read by ", "no release date found", F.col("primary.conf"))
 
 
 def worse(missing: Column, reasons: Column) -> Column:

@@ -45,8 +45,9 @@ FROM documents d LEFT JOIN r ON r.doc_id = d.doc_id AND r.k = 1 AND r.n >= 5
 
 def opening(docs: DataFrame) -> DataFrame:
     """doc_id, lang, kept (the words left after leading articles, cleaned), cut (whether an article went)."""
-    cleaned = F.filter(F.transform(text.words(F.col("text")), text.clean_word), text.is_word)
-    head = docs.select("doc_id", "lang", F.slice(cleaned, 1, 40).alias("w"))
+    # cleaning takes no letter or digit away, so only the words that are kept need it
+    first = F.slice(F.filter(text.words(F.col("text")), text.is_word), 1, 40)
+    head = docs.select("doc_id", "lang", F.transform(first, text.clean_word).alias("w"))
     head = head.withColumns({"a": text.word_map(text.ARTICLES, F.col("lang")), "e": text.word_map(text.ELIDED, F.col("lang"))})
     cut = head.withColumn("s", text.strip_articles(F.col("w"), F.col("a"), F.col("e")))
     rest = F.slice("w", F.col("s.removed") + 2, 40)

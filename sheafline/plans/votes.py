@@ -24,15 +24,11 @@ def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def vote_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three readers' opening words settled by vote: value, verified, confidence and reasons; no shuffle."""
-    rows = readings(spark, sf_dir)
-    has = lambda r: F.size(r["texts"]) > 0
-    same = lambda a, b: voting.same_words(a["texts"], b["texts"])
-    voted = rows.withColumn("v", voting.vote(F.col("readings"), has, same))
-    result = voting.reconcile_words(F.col("readings"), F.col("v"))
-    told = F.array_join(result["reasons"], " | ")
+    voted = voting.reconcile_words(readings(spark, sf_dir))
+    clean = F.size("reasons") == 0
     return voted.select(
-        "doc_id", result["value"].alias("value"), F.when(F.col("v.verified") & (F.size(result["reasons"]) == 0), "YES").otherwise("NO").alias("words_verified"), result["confidence"].alias("confidence"), F.col("v.supporters").cast("long").alias("supporters"),
-        F.when(F.size(result["reasons"]) > 0, "YES").otherwise("no").alias("needs_review"), told.alias("review_reasons"),
+        "doc_id", "value", F.when(F.col("verified") & clean, "YES").otherwise("NO").alias("words_verified"), "confidence", F.col("supporters").cast("long").alias("supporters"),
+        F.when(clean, "no").otherwise("YES").alias("needs_review"), F.array_join("reasons", " | ").alias("review_reasons"),
     )
 
 
@@ -87,9 +83,8 @@ def vote_date(spark: SparkSession, sf_dir: str) -> DataFrame:
     conf = [85.0 + 0, 50.0, 70.0]
     one = lambda i: F.struct(F.lit(READERS[i]).alias("reader"), iso(days[i], gone[i]).alias("iso"), say(days[i], gone[i]).alias("printed"), (F.lit(conf[i]) + k % 15).alias("conf"), no_flags.alias("flags"))
     rows = orders.select("o_orderkey", F.array(*[one(i) for i in range(3)]).alias("readings"))
-    voted = rows.withColumn("v", voting.vote(F.col("readings"), lambda r: r["iso"].isNotNull(), voting.same_date))
-    result = voting.reconcile_date(F.col("readings"), F.col("v"))
-    return voted.select("o_orderkey", result["value"].alias("value"), F.col("v.verified").alias("majority"), result["confidence"].alias("confidence"), F.array_join(result["reasons"], " | ").alias("review_reasons"))
+    voted = voting.reconcile_date(rows)
+    return voted.select("o_orderkey", "value", F.col("verified").alias("majority"), "confidence", F.array_join("reasons", " | ").alias("review_reasons"))
 
 
 VOTE_DATE_SQL = """

@@ -9,10 +9,7 @@ SCHEMA = "readings array<struct<reader:string,texts:array<string>,confs:array<do
 
 def vote(spark, *texts, conf=99.0, flags=None):
     readings = [(READERS[i], t.split(), [conf] * len(t.split()), (flags or {}).get(i, [])) for i, t in enumerate(texts)]
-    frame = spark.createDataFrame([(readings,)], SCHEMA)
-    voted = frame.withColumn("v", voting.vote(F.col("readings"), lambda r: F.size(r["texts"]) > 0, lambda a, b: voting.same_words(a["texts"], b["texts"])))
-    result = voting.reconcile_words(F.col("readings"), F.col("v"))
-    return voted.select(F.col("v.verified").alias("verified"), *[v.alias(k) for k, v in result.items()]).first()
+    return voting.reconcile_words(spark.createDataFrame([(readings,)], SCHEMA)).select("verified", "value", "confidence", "reasons").first()
 
 
 @pytest.mark.parametrize(
