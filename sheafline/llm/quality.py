@@ -118,5 +118,5 @@ def quality_verdicts(docs: DataFrame, **limits) -> DataFrame:
     """doc_id, the counts, base_failed, kept and both distances for every row of docs."""
     return judge(docs, ["doc_id"], **limits).select(
         F.col("__doc.doc_id").cast("long").alias("doc_id"), F.col("__n").alias("n_words"), F.col("__word_chars").alias("word_chars"), F.col("__symbols").alias("n_symbols"), F.col("__dup_lines").alias("n_dup_lines"), F.col("__repeats").alias("n_repeat_words"),
-        F.col("__base_failed").alias("base_failed"), F.col("__kept").alias("kept"), F.col("__char_distance").alias("char_distance"), F.col("__word_distance").alias("word_distance"),
+        F.col("__base_failed").alias("base_failed"), F.col("__kept").alias("kept"), F.round("__char_distance", 6).alias("char_distance"), F.round("__word_distance", 6).alias("word_distance"),
     )

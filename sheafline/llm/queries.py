@@ -87,6 +87,30 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.c AS component_id, d.
 FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT node, min(reached) AS c FROM r GROUP BY 1) m ON m.node = d.doc_id
 """
 
+_COMMON = "CASE lang " + " ".join(f"WHEN '{k}' THEN [{', '.join(repr(w) for w in v)}]" for k, v in quality.COMMON_WORDS.items()) + " END"
+_CLASS = "len(regexp_replace(t, '[^{}]+', '', 'g'))::DOUBLE".format
+_SHARES = "CASE WHEN list_sum({0}) > 0 THEN list_transform({0}, lambda x: x / list_sum({0})) ELSE list_transform({0}, lambda x: 0.0::DOUBLE) END".format
+_PART = "CASE WHEN {0} > 0 THEN {0} * log2({0} / (({0} + {1}) / 2)) ELSE 0 END".format
+_DISTANCE = "sqrt(greatest(list_sum(list_transform(range(1, len({0}) + 1), lambda i: {2} + {3})) / 2, 0))".format
+OP6_SQL = rf"""
+WITH b AS (SELECT doc_id, coalesce(text, '') AS t, CASE WHEN lower(lang) IN ({", ".join(repr(k) for k in quality.COMMON_WORDS)}) THEN lower(lang) ELSE '' END AS lang FROM documents),
+w AS (SELECT *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM b),
+win AS (SELECT doc_id, i, array_to_string(ws[i:i + 7], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM w)),
+cov AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM win), range(8) r(k) WHERE c > 1 GROUP BY 1),
+f AS (SELECT w.doc_id, t, lang, ws, len(ws) AS n, len(array_to_string(ws, '')) AS wc, len(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS sy, len(ls) - len(list_distinct(ls)) AS dl, coalesce(cov.n, 0) AS rw, {_COMMON} AS cw FROM w LEFT JOIN cov ON cov.doc_id = w.doc_id),
+h AS (SELECT *, n < 20 OR 100 * rw > 30 * n AS bf, n >= {quality.LEAST_WORDS} AND len(t) >= {quality.LEAST_CHARS} AS enough,
+  [{_CLASS("A-Z")}, {_CLASS("a-z")}, {_CLASS("0-9")}, (len(t) - wc)::DOUBLE, {_CLASS(".,;:!?''" + '"' + "()-")}, sy::DOUBLE, len(regexp_replace(t, '[\x00-\x7F]+', '', 'g'))::DOUBLE] AS cs,
+  CASE WHEN cw IS NOT NULL THEN list_transform(cw, lambda c: len(list_filter(ws, lambda x: x = c))::DOUBLE) END AS hs FROM f),
+s AS (SELECT *, CASE WHEN hs IS NOT NULL THEN list_concat(hs, [greatest(n - list_sum(hs), 0)]) END AS qs FROM h),
+p AS (SELECT *, {_SHARES("cs")} AS p, CASE WHEN qs IS NOT NULL THEN {_SHARES("qs")} END AS q FROM s),
+good AS (SELECT lang, p, q FROM p WHERE NOT bf AND enough),
+rp AS (SELECT lang, list(v ORDER BY i) AS rp FROM (SELECT lang, i, avg(p[i]) AS v FROM good, range(1, 8) r(i) GROUP BY ALL) GROUP BY lang),
+rq AS (SELECT lang, list(v ORDER BY i) AS rq FROM (SELECT lang, i, avg(q[i]) AS v FROM good, range(1, 14) r(i) WHERE q IS NOT NULL GROUP BY ALL) GROUP BY lang),
+d AS (SELECT p.*, {_DISTANCE("p", "rp", _PART("p[i]", "rp[i]"), _PART("rp[i]", "p[i]"))} AS dc, {_DISTANCE("q", "rq", _PART("q[i]", "rq[i]"), _PART("rq[i]", "q[i]"))} AS dw FROM p LEFT JOIN rp USING (lang) LEFT JOIN rq USING (lang))
+SELECT doc_id, n AS n_words, wc AS word_chars, sy AS n_symbols, dl AS n_dup_lines, rw AS n_repeat_words, bf AS base_failed,
+  NOT bf AND NOT (enough AND (coalesce(dc, 0) > {quality.MOST_CHAR_DISTANCE} OR coalesce(dw, 0) > {quality.MOST_WORD_DISTANCE} OR coalesce(dc, 0) + coalesce(dw, 0) > {quality.MOST_SUM})) AS kept, round(dc, 6) AS char_distance, round(dw, 6) AS word_distance FROM d
+"""
+
 OP10_SQL = r"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -102,4 +126,4 @@ SELECT conv_id, n_turns, sha256(whole) AS turns_sha256, length(learnt)::BIGINT A
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_near_dedup": OP5_SQL, "op10_chat_formatting": OP10_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    return {"op5_near_dedup": OP5_SQL, "op6_quality_rules": OP6_SQL, "op10_chat_formatting": OP10_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

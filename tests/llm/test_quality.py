@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter
 
+from compare import duck, rows_of
 from sheafline.llm import quality, queries
 
 
@@ -37,6 +38,10 @@ def test_whole_table(spark, small):
     assert all(r.kept for r in rows if r.doc_id in clean and not r.base_failed)
 
 
+def test_query_equals_sql(spark, small):
+    assert rows_of(queries.op6_quality_rules(spark, small).toPandas()) == rows_of(duck(queries.OP6_SQL, small))
+
+
 def test_no_python_in_the_plan(spark, small):
     plan = queries.op6_quality_rules(spark, small)._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
