@@ -173,6 +173,20 @@ def subject_tokens(text: Column, stop: list[str] = SUBJECT_STOP) -> Column:
     return F.transform(found, lambda t: F.when((F.length(t) >= 5) & t.endswith("s") & ~t.endswith("ss"), F.substr(t, F.lit(1), F.length(t) - 1)).otherwise(t))
 
 
+def release_tokens(text: Column) -> Column:
+    """The distinct tokens of a text, hyphenated words both joined and in parts."""
+    return F.array_union(subject_tokens(text), subject_tokens(F.regexp_replace(text, "-", " ")))
+
+
+def compounds(subject: Column) -> Column:
+    """Map of each hyphenated word, joined as its token is, to the tokens of its parts, where there are several."""
+    found = F.regexp_extract_all(F.lower(subject), F.lit(rf"([{W}]+(?:-[{W}]+)+)"), F.lit(1))
+    pairs = F.transform(found, lambda w: F.struct(F.get(subject_tokens(w), F.lit(0)).alias("key"), subject_tokens(F.regexp_replace(w, "-", " ")).alias("value")))
+    whole = F.filter(pairs, lambda p: p["key"].isNotNull() & (F.size(p["value"]) > 1))
+    keys = F.array_distinct(F.transform(whole, lambda p: p["key"]))
+    return F.map_from_arrays(keys, F.transform(keys, lambda k: F.get(F.filter(whole, lambda p: p["key"] == k), F.lit(0))["value"]))
+
+
 def word_key(word: Column) -> Column:
     """A word's letters and digits in lower case."""
     return F.regexp_replace(F.lower(word), r"[^\p{L}\p{N}]", "")

@@ -24,9 +24,8 @@ def upsert(old: DataFrame, new: DataFrame, consumed: DataFrame, folder: str) ->
     the new rows come last.  A replay gives the same table."""
     gone = old.where(F.col("folder").isin(folder, "")).join(consumed, ["file", "page"], "left_semi").select("file", "page", "folder").distinct()
     kept = old.join(gone, ["file", "page", "folder"], "left_anti")
-    top = kept.agg(F.coalesce(F.max("ord"), F.lit(-1)).alias("top"))
-    after = new.crossJoin(F.broadcast(top)).withColumn("ord", F.col("ord") + F.col("top") + 1).drop("top")  # one row
-    return kept.unionByName(after)
+    top = kept.agg(F.coalesce(F.max("ord"), F.lit(-1)).alias("top")).scalar()
+    return kept.unionByName(new.withColumn("ord", F.col("ord") + top + 1))
 
 
 def adopt_columns(rows: DataFrame) -> DataFrame:

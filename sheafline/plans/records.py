@@ -80,11 +80,11 @@ def match_folder_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_day_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of a customer's orders at most a day apart: an interval join by equi-joins on days."""
-    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.col("o_orderdate").cast("date").alias("day"))
-    right = orders.select(F.col("o_custkey").alias("other_cust"), F.col("o_orderkey").alias("other_key"), F.col("day").alias("other_day"))
-    pairs = matching.near_days(orders, right, "day", "other_day")
-    return pairs.where((F.col("o_custkey") % 50 == F.col("other_cust") % 50) & (F.col("o_orderkey") < F.col("other_key"))).select("o_orderkey", "other_key", F.abs(F.datediff("day", "other_day")).cast("long").alias("days_apart"))
+    """Pairs of orders of a block of customers at most a day apart: an interval join by equi-joins on days."""
+    orders = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 50).alias("block"), "o_orderkey", F.col("o_orderdate").cast("date").alias("day"))
+    right = orders.select("block", F.col("o_orderkey").alias("other_key"), F.col("day").alias("other_day"))
+    pairs = matching.near_days(orders, right, ["block"], "day", "other_day")
+    return pairs.where("o_orderkey < other_key").select("o_orderkey", "other_key", F.abs(F.datediff("day", "other_day")).cast("long").alias("days_apart"))
 
 
 NEAR_SQL = """
@@ -151,8 +151,7 @@ def unknown_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Subject words that are neither named by a release of the day nor common in the corpus."""
     docs = table(spark, sf_dir, "documents")
     counts = docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("total"))
-    frequency = counts.join(F.broadcast(total)).select("word", text.zipf(F.col("n"), F.col("total")).alias("zipf"))  # one row
+    frequency = counts.select("word", text.zipf(F.col("n"), counts.agg(F.sum("n")).scalar()).alias("zipf"))
     names = docs.select((F.col("doc_id") % BLOCKS).alias("day"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"([A-Z][a-z]+)"), F.lit(1)))).alias("word")).withColumn("word", F.lower("word"))
     return quality.unknown(entry_words(spark, sf_dir).distinct(), names, frequency, ["day"])
 

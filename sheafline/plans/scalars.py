@@ -241,8 +241,7 @@ def zipf_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A Zipf-scale frequency table of the corpus itself, standing in for a published word list."""
     tokens = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1))).alias("word"))
     counts = tokens.groupBy("word").agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("total"))
-    return counts.join(F.broadcast(total)).select("word", "n", F.round(text.zipf(F.col("n"), F.col("total")), 6).alias("zipf"))  # one row
+    return counts.select("word", "n", F.round(text.zipf(F.col("n"), counts.agg(F.sum("n")).scalar()), 6).alias("zipf"))
 
 
 ZIPF_SQL = """
