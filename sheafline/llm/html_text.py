@@ -26,9 +26,12 @@ CLOSES_P = frozenset("address article aside blockquote center details dialog dir
 NEVER = frozenset("script style noscript template iframe object svg math canvas audio video button select textarea option input form nav aside footer head title menu dialog fieldset".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
 MARKS = frozenset(
-    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer masthead menu modal nav navbar navigation newsletter notice notices notification pagination popup promo promotion related respond "
-    "reply replies share sharing sidebar sidenav skyscraper social sponsor sponsored subscribe subscription toolbar topbar widget header site-header page-header signup login gdpr".split()
+    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs consent cookie cookies footer form gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promotion related "
+    "search share sharing sidebar sidenav signup skyscraper social sponsor sponsored subscribe subscription toolbar topbar widget".split()
 )
+COMMENTS = frozenset("comment comments commentlist discussion disqus replies reply respond".split())
+# Words beside a mark that turn it into a statement about the layout, or into the article's own header.
+LAYOUT_WORDS, OWN_HEADER = frozenset("has with without no".split()), frozenset("article content entry post story".split())
 SCOPES = frozenset("article aside blockquote body button caption details div fieldset figure footer form header html li main nav object section table td th ul ol dl".split())
 SELF_CLOSING_RUNS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 LIST_SCOPES = frozenset("ul ol dl table select menu".split())
@@ -36,27 +39,34 @@ SPLIT = re.compile(r"[^a-z0-9]+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "dropped", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "children", "noise", "dropped", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
-    def __init__(self, tag: str, parent: "Node | None", dropped: bool):
-        self.tag, self.parent, self.children, self.dropped = tag, parent, [], dropped
+    def __init__(self, tag: str, parent: "Node | None", noise: str):
+        self.tag, self.parent, self.children, self.noise, self.dropped = tag, parent, [], noise, False
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def is_noise(tag: str, attrs: list, inside_article: bool) -> bool:
-    """By kind: menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments."""
-    if tag in NEVER:
-        return True
-    if tag == "header":
-        return not inside_article
+def noise_of(tag: str, attrs: list, inside_article: bool) -> str:
+    """sure, likely or empty: menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
+    comments, by element, role, class and id.  What is likely noise is none if it holds the article."""
+    if tag in NEVER or tag == "header" and not inside_article:
+        return "sure"
+    found = ""
     for key, value in attrs:
         value = (value or "").lower()
         if key == "hidden" or key == "role" and value in ROLES or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", ""):
-            return True
-        if key in ("class", "id") and tag not in ("html", "body", "article", "main") and not MARKS.isdisjoint(SPLIT.split(value)):
-            return not (inside_article and "header" in value and MARKS.isdisjoint(set(SPLIT.split(value)) - {"header"}))
-    return False
+            return "sure"
+        if key not in ("class", "id") or tag in ("html", "body", "main"):
+            continue
+        for name in value.split():
+            words = set(SPLIT.split(name))
+            if not COMMENTS.isdisjoint(words):
+                return "sure"
+            marks = words & MARKS
+            if tag != "article" and marks and LAYOUT_WORDS.isdisjoint(words) and not (marks == {"header"} and (inside_article or not OWN_HEADER.isdisjoint(words))):
+                found = "likely"
+    return found
 
 
 class Tree(HTMLParser):
@@ -64,7 +74,7 @@ class Tree(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.root = Node("#root", None, False)
+        self.root = Node("#root", None, "")
         self.stack, self.nodes, self.articles = [self.root], [self.root], 0
 
     def pop_to(self, tags: tuple, bounds: frozenset) -> None:
@@ -82,7 +92,7 @@ class Tree(HTMLParser):
             self.pop_to(SELF_CLOSING_RUNS[tag], LIST_SCOPES)
         top = self.stack[-1]
         inside = any(n.tag in ("article", "main") for n in self.stack)
-        node = Node(tag, top, top.dropped or is_noise(tag, attrs, inside))
+        node = Node(tag, top, noise_of(tag, attrs, inside))
         top.children.append(node)
         self.nodes.append(node)
         if tag not in VOID:
@@ -103,8 +113,17 @@ class Tree(HTMLParser):
         self.stack[-1].children.append(data)
 
 
+def ancestors(node: Node) -> Iterator[Node]:
+    while node.parent is not None:
+        node = node.parent
+        yield node
+
+
 def measure(nodes: list[Node]) -> Node:
-    """Counts bottom up, then densities and their sums; the body (or the root where there is none)."""
+    """What is dropped, counts bottom up, then densities and their sums; the body (or the root where there is none)."""
+    holds = {id(x) for n in nodes if n.tag in ("article", "main") and not n.noise for x in ancestors(n)}
+    for node in nodes:  # parents come before their children
+        node.dropped = node.parent is not None and node.parent.dropped or node.noise == "sure" or node.noise == "likely" and id(node) not in holds
     for node in nodes:
         node.chars = sum(len("".join(x.split())) for x in node.children if isinstance(x, str)) if not node.dropped else 0
     for node in reversed(nodes):  # children come after their parents

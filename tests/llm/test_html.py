@@ -25,6 +25,8 @@ TEXT = "A first paragraph of the article, long enough to count as text by any me
         (f"<body><div id=menu><a href=x>Home</a><a href=y>About</a></div><div class=content><h1>Title</h1><p>{TEXT}</p><p>Short.</p><ul><li>one<li>two</ul></div><div class='sidebar'><p>{TEXT}</p></div><div id=comments><p>{TEXT * 4}</p></div></body>", "Title " + TEXT.strip() + " Short. one two"),
         (f"<body><header><h1>Paper</h1><nav><a href=a>A</a></nav></header><main><article><header><h1>Head</h1></header><p>{TEXT}<a href=q>li</a>nk<br>next</p><aside>Side</aside><form><p>Mail us</p></form></article><section class=comments><p>{TEXT * 9}</p></section></main><footer>f</footer>", "Head " + TEXT + "link next"),
         (f"<body><div class='cookie-notice'>{TEXT * 3}</div><div class=ad>Buy</div><div><p>{TEXT}<b>bold&amp;</b>&eacute;&#x41;&nbsp;x</p><script>var t='</p>'</script><style>p{{}}</style></div></body>", TEXT + "bold&éA x"),
+        (f"<body><div class='layout has-sidebar'><div class='wrap sidebar'><article class=post><h1>T</h1><p>{TEXT}</p></article></div><div class='entry-header'>E</div><article class='comment'><p>{TEXT * 9}</p></article></div></body>", "T " + TEXT.strip()),
+        (f"<body><div class='entry-header'><h1>Head</h1></div><div class=text><p>{TEXT}</p><p>{TEXT}</p></div><div class='comment-list'><p>{TEXT * 9}</p></div></body>", "Head " + TEXT.strip() + " " + TEXT.strip()),
         ("just text &lt; here", "just text < here"), ("", ""), (None, ""), ("<html><head><title>t</title></head><body></body></html>", ""), ("<div>" * 3000 + "deep" + "</div>" * 3000, "deep"),
         ("<body><p>one<p>two<table><tr><td>a<td>b</table>", "one two a b"), ("<p>a\n  b\t c</p>  <p> </p>", "a b c"),
     ],
