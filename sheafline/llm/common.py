@@ -87,3 +87,20 @@ def chunks(texts: list[str | None], most: int = 2 << 20) -> Iterator[tuple[int,
 
 def binary(values: list[bytes]) -> pa.Array:
     return pa.array(values, type=pa.binary())
+
+
+#: Bits of a membership bitmap; it never holds more than FILTER_BITS / 64 rows of one word.
+FILTER_BITS = 1 << 24
+
+
+def with_marks(frame: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """frame with `marked`: false only where no row of keys has the same value in the column (a long).
+
+    The bitmap that is broadcast has at most FILTER_BITS / 64 rows, whatever the input; a full one marks every row, so a
+    marked row still has to be joined.
+    """
+    slot = F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
+    words = keys.select(slot.alias("__slot")).groupBy(F.expr("__slot div 64").alias("__word")).agg(F.expr("bit_or(shiftleft(1L, cast(__slot % 64 as int)))").alias("__bits"))
+    placed = frame.withColumn("__slot", slot).withColumn("__word", F.expr("__slot div 64")).join(F.broadcast(words), "__word", "left")
+    hit = F.expr("getbit(__bits, cast(__slot % 64 as int)) = 1")
+    return placed.withColumn("marked", F.coalesce(hit, F.lit(False))).drop("__slot", "__word", "__bits")

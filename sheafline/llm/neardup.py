@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_limits, binary, chunks, stage, text_or_empty
+from .common import arrow_limits, binary, chunks, stage, text_or_empty, with_marks
 from .components import connected_components
 from .tokenhash import mix, word_hashes
 
@@ -34,7 +34,6 @@ REGISTERS, BANDS, BASE, SCALE, MOST_MISSED = 128, 48, 1.02, 16.0, 1e-7
 BLOCK = 1024
 #: A candidate is dropped if its best similarity over the threshold is this much less likely than its best of all.
 LOG_MARGIN = 14.0
-FILTER_BITS = 1 << 24
 
 
 def shingle_hashes(texts: list[str], width: int) -> list[np.ndarray]:
@@ -201,11 +200,7 @@ def likely(pairs: DataFrame, classes: DataFrame, numerator: int, denominator: in
 
 def sets_of(docs: DataFrame, keys: DataFrame, width: int) -> DataFrame:
     """k1, k2, items: the full shingle sets of the texts that keys(k1, k2, distinct) name; only those are shuffled."""
-    slot = F.pmod(F.xxhash64("k1"), F.lit(FILTER_BITS))
-    marks = keys.select(slot.alias("slot")).groupBy(F.expr("slot div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(slot % 64 as int)))").alias("bits"))
-    texts = keyed(docs).withColumn("slot", slot).withColumn("word", F.expr("slot div 64"))
-    # at most FILTER_BITS / 64 rows; a full filter lets all texts pass and the join decides
-    texts = texts.join(F.broadcast(marks), "word").where("getbit(bits, cast(slot % 64 as int)) = 1").select("k1", "k2", "text")
+    texts = with_marks(keyed(docs), keys, "k1").where("marked").select("k1", "k2", "text")
     # an inner join: Spark would move a semi join before the filter
     texts = texts.groupBy("k1", "k2").agg(F.first("text").alias("text")).join(keys, ["k1", "k2"])
 
@@ -323,7 +318,8 @@ def labelled(docs: DataFrame, width: int, numerator: int, denominator: int) -> D
     classes = stage(full.groupBy("fp").agg(F.min(F.struct("k1", "k2")).alias("k"), F.max("n_shingles").alias("n"), F.max("sketch").alias("sketch"), F.max("bands").alias("bands")), "dup-classes")
     spread = classes.select("fp", F.explode("bands").alias("band"))
     shared = spread.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
-    members = stage(spread.join(shared, "band"), "dup-members")
+    shared = stage(shared, "dup-bands")
+    members = stage(with_marks(spread, shared, "band").where("marked").select("fp", "band").join(shared, "band"), "dup-members")
     pivoted = stage(pivot_pairs(members), "dup-pivots")
     first_pairs = pivoted.where("fp <> pivot").select(F.least("fp", "pivot").alias("a"), F.greatest("fp", "pivot").alias("b")).distinct()
     links = stage(verified(docs, stage(likely(first_pairs, classes, numerator, denominator), "dup-pairs"), width, numerator, denominator), "dup-links")
@@ -359,9 +355,13 @@ def keep_one(docs: DataFrame, width: int = 5, numerator: int = 80, denominator:
 
     Rows without shingles are no one's duplicates and stay, but of rows repeated with their doc_id and text one stays.
     """
-    rows = labelled(docs, width, numerator, denominator).select("root", F.struct("doc_id", "k1", "k2").alias("key"))
-    kept = rows.where("root is not null").groupBy("root").agg(F.min("key").alias("key")).select("key")
-    kept = kept.unionByName(rows.where("root is null").select("key")).distinct()
+    rows = labelled(docs, width, numerator, denominator).select("root", "k1", F.struct("doc_id", "k1", "k2").alias("key"))
+    least = rows.where("root is not null").groupBy("root").agg(F.min("key").alias("key")).select("key")
+    keys = rows.groupBy("key").agg(F.count("*").alias("n"), F.first("k1").alias("k1"), F.count_if(F.col("root").isNull()).alias("blank"))
+    keys = stage(keys.join(least.withColumn("least", F.lit(True)), "key", "left").select("key", "k1", "n", (F.col("least").isNotNull() | (F.col("blank") > 0)).alias("stays")), "dup-keys")
+    # rows that no removed or repeated key can mean are done; only the others' texts are shuffled
     text = text_or_empty()
-    whole = docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2")).alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
-    return whole.groupBy("key").agg(F.first("doc").alias("doc")).join(kept, "key", "left_semi").select("doc.*")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("doc_id").cast("long").alias("__id"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2"))
+    whole = with_marks(whole.withColumn("key", F.struct(F.col("__id").alias("doc_id"), "k1", "k2")), keys.where("n > 1 or not stays"), "k1")
+    open_ones = whole.where("marked").select("key", "doc").groupBy("key").agg(F.first("doc").alias("doc")).join(keys.where("stays").select("key"), "key")
+    return whole.where("not marked").select("doc").unionByName(open_ones.select("doc")).select("doc.*")
