@@ -71,7 +71,7 @@ def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
-def chunks(texts: list[str | None], most: int = 2 << 20) -> Iterator[tuple[int, list[str]]]:
+def chunks(texts: list[str | None], most: int = 1 << 20) -> Iterator[tuple[int, list[str]]]:
     """Runs of texts of about `most` characters with the index of their first text; null counts as empty."""
     first, held, size = 0, [], 0
     for i, text in enumerate(texts):

@@ -126,7 +126,7 @@ def count_batches(buckets: int):
                 tokens += [ids, np.full(len(texts), START)]
                 pairs.append(pair_keys(context_of(ids, lengths, START), ids))
                 size += len(ids)
-                if size > 2_500_000:
+                if size > 2_000_000:
                     yield packed(tokens, True)
                     yield packed(pairs, False)
                     size = 0

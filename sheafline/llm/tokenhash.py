@@ -26,11 +26,11 @@ def mix(x: np.ndarray) -> np.ndarray:
 def powers(n: int) -> list[np.ndarray]:
     """STEP**i and its inverse for i below n or more."""
     if len(_powers[0]) < n:
-        size = 1 << max(20, n.bit_length())
+        size = -(-n >> 18) + 1 << 18
         for k, step in enumerate((STEP, pow(STEP, -1, 1 << 64))):
             table = np.full(size, step, dtype=np.uint64)
             table[0] = 1
-            _powers[k] = np.cumprod(table)
+            _powers[k] = np.cumprod(table, out=table)
     return _powers
 
 
@@ -48,7 +48,9 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     after[0] = False
     starts, ends = np.flatnonzero(begins), np.flatnonzero(after)
     up, down = powers(len(data))
-    sums = np.cumsum(VALUES[data] * up[: len(data)])
+    sums = VALUES[data]
+    sums *= up[: len(data)]
+    np.cumsum(sums, out=sums)
     before = np.where(starts > 0, sums[starts - 1], np.uint64(0))
     hashes = mix((sums[ends - 1] - before) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
     edges = np.searchsorted(starts, np.cumsum([len(r) + 1 for r in raw]))
