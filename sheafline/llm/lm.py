@@ -31,6 +31,7 @@ PROBES, BITS_PER_LEVEL = 5, 7.5
 SLAB_BITS = 1 << 23
 SEGMENT_SLABS = 128  # one broadcast holds at most this many MB
 TOP_TOKENS = 200_000  # tokens whose exact counts are broadcast
+SCORED_CHARS = 2 << 20  # texts scored at once: the more, the fewer lookups of words and pairs that come again
 LAMBDAS = (0.0, 0.02, 0.08, 0.2, 0.4, 0.65, 0.85)
 CONTEXT_EDGES = (1, 4, 16, 128, 2048)  # classes of context counts that have a weight of their own
 
@@ -230,7 +231,7 @@ def score_batches(shared, total: int, distinct: int, last: bool):
         found = Filter(slabs, held, bits)
         for batch in batches:
             prior = batch.column("levels").to_pylist() if "levels" in batch.schema.names else None
-            for first, texts in chunks(batch.column("text").to_pylist()):
+            for first, texts in chunks(batch.column("text").to_pylist(), SCORED_CHARS):
                 docs = len(texts)
                 ids, lengths = with_ends(*word_hashes(texts), END)
                 uniq, at = np.unique(ids, return_inverse=True)
