@@ -26,12 +26,12 @@ from .common import arrow_limits, binary, chunks, stage, text_or_empty
 from .tokenhash import mix, with_ends, word_hashes
 
 #: Parameters of the model, documented in the README.
-LEAST_PAIR = 2  # pairs seen less often than this are not kept, the usual count cut-off of n-gram models
 PROBES, BITS_PER_LEVEL = 5, 7.5
 SLAB_BITS = 1 << 23
 SEGMENT_SLABS = 128  # one broadcast holds at most this many MB
 TOP_TOKENS = 200_000  # tokens whose exact counts are broadcast
 SCORED_CHARS = 2 << 20  # texts scored at once: the more, the fewer lookups of words and pairs that come again
+HASHED_CHARS = 1 << 18  # of these, texts hashed at once, which takes many bytes a character
 LAMBDAS = (0.0, 0.02, 0.08, 0.2, 0.4, 0.65, 0.85)
 CONTEXT_EDGES = (1, 4, 16, 128, 2048)  # classes of context counts that have a weight of their own
 
@@ -55,7 +55,8 @@ def bit_positions(keys: np.ndarray, level: int, probe: int) -> np.ndarray:
 
 
 def slab_of(keys: np.ndarray, slabs: int) -> np.ndarray:
-    return (mix(keys ^ np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(20)) % np.uint64(slabs)
+    """A slab is a range of keys, so that sorted keys go to few slabs at a time."""
+    return (keys >> np.uint64(32)) * np.uint64(slabs) >> np.uint64(32)
 
 
 class Filter:
@@ -142,11 +143,11 @@ MERGED = "key long, c long, level int"
 
 
 def merge_bucket(table: pa.Table) -> pa.Table:
-    """All of a bucket: its tokens with their counts, and (c null) its pairs that are seen often enough."""
+    """All of a bucket: its tokens with their counts, and (c null) all its pairs."""
     words = table.column("words").to_numpy(zero_copy_only=False)
     blobs, counts = table.column("keys").to_pylist(), table.column("counts").to_pylist()
     out = []
-    for kind, least in ((True, 1), (False, LEAST_PAIR)):
+    for kind in (True, False):
         some = np.flatnonzero(words == kind).tolist()
         keys = np.frombuffer(b"".join(blobs[i] for i in some), dtype=np.uint64)
         many = np.frombuffer(b"".join(counts[i] for i in some), dtype="<u4")
@@ -154,9 +155,8 @@ def merge_bucket(table: pa.Table) -> pa.Table:
         keys, many = keys[order], many[order]
         starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, dtype=np.int64)
         sums = np.add.reduceat(many.astype(np.int64), starts) if len(keys) else np.zeros(0, dtype=np.int64)
-        kept = sums >= least
-        c = pa.array(sums[kept]) if kind else pa.nulls(int(kept.sum()), pa.int64())
-        out.append(pa.table([pa.array(keys[starts][kept].view(np.int64)), c, pa.array(levels_of(sums[kept]).astype(np.int32))], names=["key", "c", "level"]))
+        c = pa.array(sums) if kind else pa.nulls(len(sums), pa.int64())
+        out.append(pa.table([pa.array(keys[starts].view(np.int64)), c, pa.array(levels_of(sums).astype(np.int32))], names=["key", "c", "level"]))
     return pa.concat_tables(out)
 
 
@@ -233,7 +233,7 @@ def score_batches(shared, total: int, distinct: int, last: bool):
             prior = batch.column("levels").to_pylist() if "levels" in batch.schema.names else None
             for first, texts in chunks(batch.column("text").to_pylist(), SCORED_CHARS):
                 docs = len(texts)
-                ids, lengths = with_ends(*word_hashes(texts), END)
+                ids, lengths = map(np.concatenate, zip(*(with_ends(*word_hashes(some), END) for _, some in chunks(texts, HASHED_CHARS))))
                 uniq, at = np.unique(ids, return_inverse=True)
                 before = context_of(at, lengths, len(uniq))
                 uni = found.levels(np.append(uniq, START))
@@ -252,9 +252,7 @@ def score_batches(shared, total: int, distinct: int, last: bool):
                 plain, parts = sums(cw, cv, c2, doc, docs)
                 train = ~np.array(carried[2].to_pylist(), dtype=bool)
                 own = train[doc]
-                # without the document's own occurrence a pair may fall below the cut-off
-                left = np.where(c2[own] - 1 >= LEAST_PAIR, c2[own] - 1, 0)
-                loo = sums(np.maximum(cw[own] - 1, 0), np.maximum(cv[own] - 1, 0), left, doc[own], docs)[1]
+                loo = sums(*(np.maximum(x[own] - 1, 0) for x in (cw, cv, c2)), doc[own], docs)[1]
                 where = np.searchsorted(top_keys, uniq)
                 where[where == len(top_keys)] = 0
                 known = top_keys[where] == uniq if len(top_keys) else np.zeros(len(uniq), dtype=bool)
@@ -307,12 +305,14 @@ def language_model_scores(docs: DataFrame, held_out, buckets_of: int = 8 << 20,
     for start in range(0, slabs, segment_slabs):
         part = built.where((F.col("slab") >= start) & (F.col("slab") < start + segment_slabs)).toArrow()  # at most segment_slabs MB
         last = start + segment_slabs >= slabs
-        shared = spark.sparkContext.broadcast((*top, slabs, part["slab"].to_pylist(), b"".join(part["bits"].to_pylist())))
+        shared = spark.sparkContext.broadcast((*top, slabs, part["slab"].to_pylist(), b"".join(x.as_buffer() for x in part["bits"])))
         if last:
             now = now.mapInArrow(score_batches(shared, total, distinct, True), SCORED)
         else:
             now = stage(now.mapInArrow(score_batches(shared, total, distinct, False), PROBED), "lm-levels")
+            shared.unpersist()
     scored = stage(now, "lm-scored")
+    shared.unpersist()
 
     n, k = len(LAMBDAS), len(CONTEXT_EDGES)
     likely = scored.where("loo is not null").agg(*[F.sum(F.col("loo")[i]).alias(f"x{i}") for i in range(n * k)]).first()

@@ -69,6 +69,26 @@ def test_filter_never_reports_less():
     assert (lm.MEANING[lm.levels_of(np.arange(1, 6))] == np.arange(1, 6)).all()
 
 
+def test_pairs_seen_once_are_kept():
+    import pyarrow as pa
+
+    batch = pa.record_batch([pa.array(["a b a b c", "a d"])], names=["text"])
+    merged = lm.merge_bucket(pa.Table.from_batches(list(lm.count_batches(1)(iter([batch])))))
+    ids, lengths = tokenhash.with_ends(*tokenhash.word_hashes(["a b a b c", "a d"]), lm.END)
+    seen = Counter(lm.pair_keys(lm.context_of(ids, lengths, lm.START), ids).view(np.int64).tolist())
+    levels = {k: level for k, c, level in zip(*(merged[x].to_pylist() for x in ("key", "c", "level"))) if c is None}
+    assert sorted(seen.values()) == [1, 1, 1, 1, 1, 2, 2] and levels == {k: lm.levels_of(np.array([n]))[0] for k, n in seen.items()}
+
+
+def test_sorted_keys_are_placed_in_few_rows():
+    import pyarrow as pa
+
+    keys = np.sort(np.random.default_rng(2).integers(0, 1 << 64, 100_000, dtype=np.uint64))
+    items = pa.table({"key": keys.view(np.int64), "level": np.ones(len(keys), dtype=np.int32)})
+    placed = list(lm.place_in_slabs(500)(iter(items.to_batches(max_chunksize=1000))))
+    assert sum(b.num_rows for b in placed) < 700 and sum(map(len, pa.Table.from_batches(placed)["levels"].to_pylist())) == len(keys)
+
+
 def test_word_hashes_follow_words():
     texts = ["The the  THE\tx\ny", "", " \n", "a b", "É é the", "x" * 5000]
     hashes, counts = tokenhash.word_hashes(texts)
