@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -23,7 +24,7 @@ from .common import arrow_limits, chunks
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
-NEVER = frozenset("script style noscript template iframe object svg math canvas audio video button select textarea option input form nav aside footer head title menu dialog fieldset".split())
+NEVER = frozenset("script style noscript template iframe object svg math canvas audio video button select textarea option input nav aside footer head title menu dialog fieldset".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs consent cookie cookies footer form gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promotion related "
@@ -32,6 +33,8 @@ MARKS = frozenset(
 COMMENTS = frozenset("comment comments commentlist discussion disqus replies reply respond".split())
 # Words beside a mark that turn it into a statement about the layout, or into the article's own header.
 LAYOUT_WORDS, OWN_HEADER = frozenset("has with without no".split()), frozenset("article content entry post story".split())
+#: Shares of the page's text beyond which a form, or what is marked as comments, is a wrapper of the whole page.
+MOST_OF_TEXT = {"wrapper": 0.5, "comments": 0.9}
 SCOPES = frozenset("article aside blockquote body button caption details div fieldset figure footer form header html li main nav object section table td th ul ol dl".split())
 SELF_CLOSING_RUNS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 LIST_SCOPES = frozenset("ul ol dl table select menu".split())
@@ -48,11 +51,12 @@ class Node:
 
 
 def noise_of(tag: str, attrs: list, inside_article: bool) -> str:
-    """sure, likely or empty: menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
-    comments, by element, role, class and id.  What is likely noise is none if it holds the article."""
+    """sure, likely, wrapper, comments or empty: menus, headers, footers, sidebars, notices, adverts, forms, scripts,
+    styles and reader comments, by element, role, class and id.  What is likely noise is none if it holds the article;
+    a form or what is said to have or not to have comments (wrapper) and comments, also if they hold most of the text."""
     if tag in NEVER or tag == "header" and not inside_article:
         return "sure"
-    found = ""
+    found = "wrapper" if tag == "form" else ""
     for key, value in attrs:
         value = (value or "").lower()
         if key == "hidden" or key == "role" and value in ROLES or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", ""):
@@ -62,10 +66,11 @@ def noise_of(tag: str, attrs: list, inside_article: bool) -> str:
         for name in value.split():
             words = set(SPLIT.split(name))
             if not COMMENTS.isdisjoint(words):
-                return "sure"
+                found = "comments" if found == "comments" or LAYOUT_WORDS.isdisjoint(words) and "closed" not in words else "wrapper"
+                continue
             marks = words & MARKS
             if tag != "article" and marks and LAYOUT_WORDS.isdisjoint(words) and not (marks == {"header"} and (inside_article or not OWN_HEADER.isdisjoint(words))):
-                found = "likely"
+                found = found or "likely"
     return found
 
 
@@ -121,9 +126,24 @@ def ancestors(node: Node) -> Iterator[Node]:
 
 def measure(nodes: list[Node]) -> Node:
     """What is dropped, counts bottom up, then densities and their sums; the body (or the root where there is none)."""
-    holds = {id(x) for n in nodes if n.tag in ("article", "main") and not n.noise for x in ancestors(n)}
+    articles = [n for n in nodes if n.tag in ("article", "main") and not n.noise]
+    holds = Counter(id(x) for n in articles for x in ancestors(n))
+    whole: dict[int, int] = {}
+    if any(n.noise in MOST_OF_TEXT for n in nodes):  # characters outside other noise
+        whole = {id(n): sum(len("".join(x.split())) for x in n.children if isinstance(x, str)) for n in nodes}
+        for node in reversed(nodes):
+            if node.parent is not None and not (node.noise == "sure" or node.noise == "likely" and id(node) not in holds):
+                whole[id(node.parent)] += whole[id(node)]
+
+    def is_noise(node: Node) -> bool:
+        if node.noise not in MOST_OF_TEXT:
+            return node.noise == "sure" or node.noise == "likely" and id(node) not in holds
+        if articles:  # comments may be articles of their own
+            return holds[id(node)] < (len(articles) if node.noise == "comments" else 1)
+        return whole[id(node)] <= MOST_OF_TEXT[node.noise] * whole[id(nodes[0])]
+
     for node in nodes:  # parents come before their children
-        node.dropped = node.parent is not None and node.parent.dropped or node.noise == "sure" or node.noise == "likely" and id(node) not in holds
+        node.dropped = node.parent is not None and node.parent.dropped or is_noise(node)
     for node in nodes:
         node.chars = sum(len("".join(x.split())) for x in node.children if isinstance(x, str)) if not node.dropped else 0
     for node in reversed(nodes):  # children come after their parents

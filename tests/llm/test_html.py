@@ -35,6 +35,18 @@ def test_cases(page, text):
     assert html_text.main_text(page) == text
 
 
+@pytest.mark.parametrize("wrapper", ["<form id=aspnetForm>", "<div class='page comments-closed'>", "<div class='has-comments'>", "<div class='comments'>"])
+@pytest.mark.parametrize("inner", ["<article><p>{}</p></article>", "<div><p>{}</p></div>"])
+def test_wrappers_lose_only_their_noise(wrapper, inner):
+    page = f"<body>{wrapper}<input value=x><nav>Menu</nav>{inner.format(TEXT)}<div class=comments><p>Nice</p></div><button>Go</button></{wrapper[1:5].strip()}><footer>f</footer></body>"
+    assert html_text.main_text(page) == TEXT.strip()
+
+
+def test_forms_and_comments_beside_the_article_go():
+    page = f"<body><div><p>{TEXT * 3}</p></div><form><p>Mail us</p></form><p class='no-comments'>Comments are closed.</p><div class=comments><article><p>{TEXT}</p></article></div></body>"
+    assert html_text.main_text(page.replace("<div><p>", "<article><p>").replace("</p></div><form>", "</p></article><form>")) == (TEXT * 3).strip()
+
+
 def test_odd_rows(spark):
     schema = "page_id long, url string, html string, text string"
     rows = [(None, None, None, "clash"), (1, "u", "", ""), (1, "u", "", ""), (2, None, "<p>x</p>", "clash")]
