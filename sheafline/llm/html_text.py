@@ -2,8 +2,10 @@
 
 Every DOM node gets a density: its characters per tag, adjusted for the share of link characters and link tags.  A
 node's density sum is the sum over its children.  The node with the largest density sum is the core of the article;
-the least density on its path up to the body is the threshold that decides which neighbours along this path belong to
-it too.  Inside the chosen subtree nothing is dropped but what is no article text by its kind.
+the least density on its path up to the body is the threshold.  Of every node that reaches it, found from the body
+down, the descendant with the largest density sum is kept whole; of other nodes nothing is kept but the page's title (h1)
+before the core.  An article or main above the core is taken instead, whole.  Inside what is kept nothing is dropped but
+what is no article text by its kind.
 """
 
 from __future__ import annotations
@@ -170,7 +172,7 @@ def measure(nodes: list[Node]) -> Node:
 
 
 def chosen(nodes: list[Node], body: Node) -> tuple[list[Node], set[int]]:
-    """The path from the article's root down to the core, and the ids of neighbours along it that are left out."""
+    """The root of what is kept, and the ids of nodes below it that are left out."""
     own = [n for n in nodes if not n.dropped and n.chars]
     if not own:
         return [], set()
@@ -184,11 +186,33 @@ def chosen(nodes: list[Node], body: Node) -> tuple[list[Node], set[int]]:
             inner = [m for m in own if m.tag == "article"] if n.tag == "main" else articles
             return [max(inner, key=lambda m: m.chars) if len(inner) == 1 else n], set()
     threshold = min(n.density for n in path)
+    best: dict[int, Node] = {}
+    titles: set[int] = set()  # what has no text but an h1's
+    for n in reversed(nodes):  # children come after their parents
+        if n.dropped or not n.chars:
+            continue
+        inner = [x for x in n.children if not isinstance(x, str) and id(x) in best]
+        best[id(n)] = max([n, *(best[id(x)] for x in inner)], key=lambda m: (m.total, m.chars))
+        if n.tag == "h1" or sum(x.chars for x in inner if id(x) in titles) == n.chars:
+            titles.add(id(n))
+    kept: set[int] = set()
+    reached = [path[-1]]
+    while reached:
+        n = reached.pop()
+        kept.add(id(best[id(n)]))
+        reached += [x for x in n.children if not isinstance(x, str) and id(x) in best and id(best[id(n)]) != id(n) and x.density >= threshold]
+    on_way = {id(a) for n in nodes if id(n) in kept for a in ancestors(n)}
     out: set[int] = set()
-    for n in path[1:]:
-        for x in n.children:
-            if not isinstance(x, str) and x not in path and x.tag not in INLINE and x.tag not in VOID and x.density < threshold and x.link_chars * 2 > x.chars:
-                out.add(id(x))
+    todo, before = [path[-1]], True
+    while todo:  # in page order
+        n = todo.pop()
+        before = before and n is not core
+        if id(n) in kept:
+            continue
+        if id(n) in on_way:
+            todo += [x for x in reversed(n.children) if not isinstance(x, str)]
+        elif n.tag not in INLINE and n.tag not in VOID and not (before and id(n) in titles):
+            out.add(id(n))
     return [path[-1]], out
 
 

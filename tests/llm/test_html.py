@@ -47,6 +47,19 @@ def test_forms_and_comments_beside_the_article_go():
     assert html_text.main_text(page.replace("<div><p>", "<article><p>").replace("</p></div><form>", "</p></article><form>")) == (TEXT * 3).strip()
 
 
+@pytest.mark.parametrize("promo", ["<div><p>Buy now!</p></div>", "<div><h2>Offer</h2><p>Today <i>only</i></p></div>", "<table><tr><td>Rate<td>us</table>", "<div><div><a href=x>Home</a> or <a href=y>away</a></div></div>"])
+def test_sparse_boilerplate_without_telling_classes_goes(promo):
+    core = f"<div><h2>Part</h2><p>{TEXT}</p><p>{TEXT}</p><p>Short.</p></div>"
+    page = f"<body><div>{promo}<div><h1>Head</h1></div>{core}{promo}</div>{promo}</body>"
+    assert html_text.main_text(page) == f"Head Part {TEXT}{TEXT}Short."
+
+
+def test_dense_neighbours_of_the_core_stay():
+    rich = f"<div><p>{TEXT * 4}</p></div>"
+    page = f"<body><div><p>{TEXT * 4}</p><p>{TEXT * 4}</p><p>{TEXT * 4}</p></div>{rich}<div><div><span>x</span><p>y</p></div></div></body>"
+    assert html_text.main_text(page) == (TEXT * 16).strip()
+
+
 def test_odd_rows(spark):
     schema = "page_id long, url string, html string, text string"
     rows = [(None, None, None, "clash"), (1, "u", "", ""), (1, "u", "", ""), (2, None, "<p>x</p>", "clash")]
