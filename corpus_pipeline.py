@@ -9,8 +9,8 @@ from sheafline.llm.common import read_table, stage
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    return quality.judge(docs).where("__kept").select("__doc.*")
+    """Documents that the quality rules keep, with limits from the spread of distances."""
+    return quality.judge(docs, by_spread=True).where("__kept").select("__doc.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,6 +24,10 @@ COMMON_WORDS = {
 #: which they are asked: histograms of shorter texts are too coarse.
 MOST_CHAR_DISTANCE, MOST_WORD_DISTANCE, MOST_SUM = 0.30, 0.45, 0.50
 LEAST_WORDS, LEAST_CHARS = 80, 400
+#: The rule by spread, of texts of any length: a document is too far if its sum of distances, less what chance adds to a
+#: histogram of so few words (ALLOWANCE / sqrt(words)), lies FENCE interquartile ranges beyond its language's upper
+#: quartile, Tukey's fence for far outliers.
+ALLOWANCE, FENCE = 1.0, 3.0
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 
@@ -91,12 +95,12 @@ def features(docs: DataFrame, carried: list[str]) -> DataFrame:
     )
 
 
-def judge(docs: DataFrame, carried: list[str] | None = None, most_char: float = MOST_CHAR_DISTANCE, most_word: float = MOST_WORD_DISTANCE, most_sum: float = MOST_SUM, least_words: int = LEAST_WORDS, least_chars: int = LEAST_CHARS) -> DataFrame:
+def judge(docs: DataFrame, carried: list[str] | None = None, most_char: float = MOST_CHAR_DISTANCE, most_word: float = MOST_WORD_DISTANCE, most_sum: float = MOST_SUM, least_words: int = LEAST_WORDS, least_chars: int = LEAST_CHARS, by_spread: bool = False) -> DataFrame:
     """Every row of docs with its counts, distances, __base_failed and __kept; its carried columns (all) under __doc.
 
     A null text is empty and fails; null and unknown languages share one reference and have no common words.
     Repeated rows are judged alike; an empty table gives an empty result; other columns, whatever their names, are
-    carried under __doc untouched.
+    carried under __doc untouched.  by_spread also rejects by the spread of distances of the language's documents.
     """
     made = features(docs, carried or docs.columns)
     failed = (F.col("__n") < 20) | (F.col("__repeats") * 100 > F.col("__n") * 30)
@@ -111,6 +115,13 @@ def judge(docs: DataFrame, carried: list[str] | None = None, most_char: float =
     near = near.withColumns({"__char_distance": jensen_shannon(F.col("__p"), F.col("__rp")), "__word_distance": jensen_shannon(F.col("__q"), F.col("__rq"))})
     by_char, by_word = (F.coalesce(c, F.lit(0.0)) for c in ("__char_distance", "__word_distance"))
     far = enough & ((by_char > most_char) | (by_word > most_word) | (by_char + by_word > most_sum))
+    if by_spread:
+        excess = by_char + by_word - ALLOWANCE / F.sqrt(F.greatest(F.col("__n"), F.lit(1)))
+        near = near.withColumn("__excess", excess)
+        quartiles = near.where(~F.col("__base_failed")).groupBy("__lang").agg(F.percentile_approx("__excess", [0.25, 0.75], 10000).alias("__quartiles"))
+        near = near.join(F.broadcast(quartiles), "__lang", "left")  # a row per known language and one more
+        q = F.col("__quartiles")
+        far = far | F.coalesce(F.col("__excess") > q[1] + FENCE * (q[1] - q[0]), F.lit(False))
     return near.withColumn("__kept", ~F.col("__base_failed") & ~far)
 
 

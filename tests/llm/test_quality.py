@@ -66,6 +66,17 @@ def test_divergence_rejects_what_is_unlike_its_language(docs):
     assert fair and all(got[i].kept for i in fair) and not got[100].kept and not got[101].kept and not got[102].kept
 
 
+def test_spread_rejects_labelled_junk_and_keeps_clean_documents(spark, small):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{small}/labels.parquet").collect()}
+    kept = {r.doc_id for r in corpus_pipeline.drop_low_quality(spark, docs, small).collect()}
+    passed = [r.doc_id for r in docs.collect() if not brute(r.text)[5]]
+    junk, clean = ([d for d in passed if labels.get(d) == q] for q in (0, 1))
+    assert len(junk) > 0 and sum(d not in kept for d in junk) >= 0.9 * len(junk) and sum(d in kept for d in clean) >= 0.99 * len(clean)
+
+
 def test_distance(spark):
     from pyspark.sql import functions as F
 
