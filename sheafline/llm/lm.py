@@ -1,16 +1,20 @@
 """Language-model scoring from a log-frequency Bloom filter.
 
-Counts of tokens and of token pairs are quantised on a quarter-octave scale and kept in a Bloom filter: an n-gram of
-level q is inserted q times, with the levels 1..q mixed into its hash.  A lookup probes level after level until one is
-absent, so it never under-reports and over-reports with a small probability.  The probability of a token interpolates
-the pair estimate with the add-one token estimate; the weight depends on how often the context occurs and is chosen by
-leave-one-out likelihood over all training documents.
-
-The filter is built in slabs of 1 MB by separate tasks.  One broadcast never exceeds `segment_slabs` slabs; a larger
-filter is probed in several passes over the documents, each with its own segment, which gives the same levels.
-Exact token counts (for the base score) come from a broadcast table of the most frequent tokens, of a fixed largest
-size, and from a join for all others.  Tokens are known by 64-bit hashes; of ten million different tokens two share one
-with a probability of about 3e-6.
+Counts of token pairs are quantised on a quarter-octave scale and kept in a Bloom filter: a pair of level q is inserted
+q times, with the levels 1..q mixed into its hash.  A lookup probes level after level until one is absent, so it never
+under-reports and over-reports with a small probability.  The probability of a token interpolates the pair estimate
+with the add-one token estimate; the weight depends on how often the context occurs and is chosen by leave-one-out
+likelihood over all training documents.
+
+The work is in proportion to the input, on one path for every size.  N-grams are dealt by the high bits of their hash
+into buckets of about BUCKET_BYTES of text; a bucket counts its own n-grams and builds its own slab of the filter.  The
+head of the filter, the most frequent pairs, has at most HEAD_BYTES and is broadcast.  Texts are read once more, in
+chunks: what the head and the most frequent words settle is summed up at once; every other distinct pair or word of a
+chunk is asked of the bucket that holds it, in one shuffle of packed keys, and the levels go back to the chunk.
+
+Token counts (for the base score) are exact.  Tokens are known by 64-bit hashes; of ten million different tokens two
+share one with a probability of about 3e-6.  Within its bucket a pair is known by 32 bits; two pairs of a bucket share
+them far more rarely than the filter over-reports.
 """
 
 from __future__ import annotations
@@ -26,10 +30,12 @@ from .common import arrow_limits, binary, chunks, stage, text_or_empty
 from .tokenhash import mix, with_ends, word_hashes
 
 #: Parameters of the model, documented in the README.
-PROBES, BITS_PER_LEVEL = 5, 7.5
-SLAB_BITS = 1 << 23
-SEGMENT_SLABS = 128  # one broadcast holds at most this many MB
+BITS_PER_LEVEL, PROBES = 10, 5
+HEAD_BYTES = 16 << 20  # of the filter's head, which is broadcast
 TOP_TOKENS = 200_000  # tokens whose exact counts are broadcast
+BUCKET_BYTES = 16 << 20  # of text behind one bucket of n-grams
+MOST_BUCKETS = 1 << 24
+FLUSHED_TOKENS = 2_000_000  # tokens counted together by a task before they are dealt
 SCORED_CHARS = 2 << 20  # texts scored at once: the more, the fewer lookups of words and pairs that come again
 HASHED_CHARS = 1 << 18  # of these, texts hashed at once, which takes many bytes a character
 LAMBDAS = (0.0, 0.02, 0.08, 0.2, 0.4, 0.65, 0.85)
@@ -40,6 +46,9 @@ END, START = np.uint64(0x6A09E667F3BCC908), np.uint64(0xBB67AE8584CAA73B)
 THRESHOLDS = np.unique(np.floor(2.0 ** (np.arange(4 * 50) / 4.0)).astype(np.int64))
 #: What a level stands for: the middle of its range; exact for small counts.
 MEANING = np.concatenate([[0.0], np.where(np.diff(THRESHOLDS, append=THRESHOLDS[-1] * 2) == 1, THRESHOLDS, (THRESHOLDS + np.append(THRESHOLDS[1:], THRESHOLDS[-1] * 2) - 1) / 2)])
+OPEN = 255  # in place of a level: not known yet
+#: The bits that one insertion sets in a word of the filter.
+MASKS = np.bitwise_or.reduce(np.uint64(1) << np.random.default_rng(11).integers(0, 64, (1 << 14, PROBES), dtype=np.uint64), axis=1)
 
 
 def levels_of(counts: np.ndarray) -> np.ndarray:
@@ -50,45 +59,77 @@ def pair_keys(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return mix(left * np.uint64(0x9E3779B97F4A7C15) + (right ^ np.uint64(0x5851F42D4C957F2D)))
 
 
-def bit_positions(keys: np.ndarray, level: int, probe: int) -> np.ndarray:
-    return mix(keys + np.uint64((level * 64 + probe + 1) * 0x2545F4914F6CDD1D % (1 << 64))) & np.uint64(SLAB_BITS - 1)
+def bucket_bits(size: int, of: int) -> int:
+    """The number of high bits that name a bucket, for a text of so many bytes."""
+    return min(MOST_BUCKETS.bit_length() - 1, max(0, (size // of).bit_length()))
 
 
-def slab_of(keys: np.ndarray, slabs: int) -> np.ndarray:
-    """A slab is a range of keys, so that sorted keys go to few slabs at a time."""
-    return (keys >> np.uint64(32)) * np.uint64(slabs) >> np.uint64(32)
+def buckets_of(keys: np.ndarray, bits: int) -> np.ndarray:
+    return (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), dtype=np.int64)
+
+
+def short_of(keys: np.ndarray, bits: int) -> np.ndarray:
+    """The 32 bits after those of the bucket; they keep the order inside a bucket."""
+    return (keys >> np.uint64(32 - bits)).astype(np.uint32)
+
+
+def edges_of(keys: np.ndarray, bits: int) -> tuple[list[int], list[int]]:
+    """Buckets that sorted keys fall into, and where each begins, with the end."""
+    which, starts = np.unique(buckets_of(keys, bits), return_index=True)
+    return which.tolist(), [*starts.tolist(), len(keys)]
 
 
 class Filter:
-    """A segment of the filter: the slabs it holds, probed for quantised counts."""
-
-    def __init__(self, slabs: int, held: list[int], bits: bytes):
-        """held: the slabs whose bits follow one another in bits."""
-        self.slabs = slabs
-        self.place = np.full(slabs, -1, dtype=np.int64)
-        self.place[held] = np.arange(len(held))
-        self.bits = np.frombuffer(bits, dtype=np.uint8)
-
-    def levels(self, keys: np.ndarray) -> np.ndarray:
-        """The level of each key; 0 for those of other segments."""
-        out = np.zeros(len(keys), dtype=np.uint8)
-        base = self.place[slab_of(keys, self.slabs)]
-        alive = np.flatnonzero(base >= 0)
+    """Slabs of the filter, one after another: words of 64 bits; an insertion sets PROBES bits of one word."""
+
+    def __init__(self, slabs: list[bytes | None]):
+        blobs = [s or b"" for s in slabs]
+        sizes = np.array([len(s) // 8 for s in blobs], dtype=np.uint64)
+        self.sizes, self.first = sizes, np.cumsum(sizes) - sizes
+        self.words = np.frombuffer(b"".join(blobs), dtype=np.uint64)
+
+    def levels(self, buckets: np.ndarray, short: np.ndarray) -> np.ndarray:
+        """The level of each key of a bucket's slab."""
+        out = np.zeros(len(short), dtype=np.uint8)
+        alive = np.arange(len(short))
+        sizes, first = self.sizes[buckets], self.first[buckets]
+        if (self.sizes == 0).any():
+            alive = np.flatnonzero(sizes > 0)
+            sizes, first = sizes[alive], first[alive]
+        base = mix(short[alive].astype(np.uint64))
         level = 0
-        while len(alive):
+        while len(alive) and level < len(MEANING) - 1:
             level += 1
-            for probe in range(PROBES):
-                at = bit_positions(keys[alive], level, probe)
-                byte = self.bits[base[alive] * (SLAB_BITS // 8) + (at >> np.uint64(3)).astype(np.int64)]
-                alive = alive[(byte >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1]
-                if not len(alive):
-                    break
+            at, mask = placed(base, level, sizes)
+            hit = np.flatnonzero(self.words[first + at] & mask == mask)
+            alive, base, sizes, first = alive[hit], base[hit], sizes[hit], first[hit]
             out[alive] = level
-            if level >= len(MEANING) - 1:
-                break
         return out
 
 
+def placed(base: np.ndarray, level: int, sizes) -> tuple[np.ndarray, np.ndarray]:
+    """The word and the bits of an insertion at a level."""
+    x = base + np.uint64(level * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    return (x >> np.uint64(32)) * sizes >> np.uint64(32), MASKS[(x & np.uint64(len(MASKS) - 1)).astype(np.int64)]
+
+
+def slab(short: np.ndarray, levels: np.ndarray) -> bytes | None:
+    """The filter of a bucket's keys; None without any."""
+    weight = int(levels.sum(dtype=np.int64))
+    if not weight:
+        return None
+    words = np.zeros(-(-weight * BITS_PER_LEVEL // 64), dtype=np.uint64)
+    base = mix(short.astype(np.uint64))
+    for level in range(1, int(levels.max()) + 1):
+        keep = levels >= level
+        base, levels = base[keep], levels[keep]
+        at, mask = placed(base, level, np.uint64(len(words)))
+        np.bitwise_or.at(words, at.astype(np.int64), mask)
+    return words.tobytes()
+
+
 def context_of(ids: np.ndarray, lengths: np.ndarray, start) -> np.ndarray:
     """What stands before each token; `start` before the first of each document."""
     before = np.empty_like(ids)
@@ -98,118 +139,119 @@ def context_of(ids: np.ndarray, lengths: np.ndarray, start) -> np.ndarray:
     return before
 
 
-COUNTED = "bucket int, words boolean, keys binary, counts binary"
-
-
-def edges_of(keys: np.ndarray, buckets: int) -> list[int]:
-    """Where each bucket of sorted keys begins, and the end: a bucket is a range of the keys' high bits."""
-    if buckets == 1:
-        return [0, len(keys)]
-    bounds = np.arange(1, buckets, dtype=np.uint64) << np.uint64(65 - buckets.bit_length())
-    return [0, *np.searchsorted(keys, bounds).tolist(), len(keys)]
+COUNTED = "bucket int, words binary, word_counts binary, pairs binary, pair_counts binary"
 
 
-def count_batches(buckets: int):
-    """Per flush and bucket one row of packed keys of pairs, or of tokens, and their counts."""
+def count_batches(bits: int):
+    """Per flush and bucket one row: words (64 bits) and pairs (32 bits) with their counts."""
 
-    def packed(held: list[np.ndarray], words: bool) -> pa.RecordBatch:
-        keys, counts = np.unique(np.concatenate(held), return_counts=True)
-        held.clear()
-        edges, counts = edges_of(keys, buckets), counts.astype("<u4")
-        full = [b for b in range(buckets) if edges[b] < edges[b + 1]]
-        columns = [pa.array(full, pa.int32()), pa.array([words] * len(full), pa.bool_()), binary([keys[edges[b] : edges[b + 1]].tobytes() for b in full]), binary([counts[edges[b] : edges[b + 1]].tobytes() for b in full])]
-        return pa.record_batch(columns, names=["bucket", "words", "keys", "counts"])
+    def packed(tokens: list[np.ndarray], pairs: list[np.ndarray]) -> pa.RecordBatch:
+        found: dict[int, list] = {}
+        for place, held in ((0, tokens), (2, pairs)):
+            keys, counts = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            which, edges = edges_of(keys, bits)
+            keys, counts = short_of(keys, bits) if place else keys, counts.astype("<u4")
+            for b, x, y in zip(which, edges, edges[1:]):
+                found.setdefault(b, [None] * 4)[place : place + 2] = keys[x:y].tobytes(), counts[x:y].tobytes()
+        return pa.record_batch([pa.array(found, pa.int32()), *[binary(list(c)) for c in zip(*found.values())]], names=[x.split()[0] for x in COUNTED.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, pairs, size = [], [], 0
         for batch in batches:
             for _, texts in chunks(batch.column("text").to_pylist()):
                 ids, lengths = with_ends(*word_hashes(texts), END)
-                tokens += [ids, np.full(len(texts), START)]
+                tokens.append(ids)
                 pairs.append(pair_keys(context_of(ids, lengths, START), ids))
                 size += len(ids)
-                if size > 2_000_000:
-                    yield packed(tokens, True)
-                    yield packed(pairs, False)
+                if size > FLUSHED_TOKENS:
+                    yield packed(tokens, pairs)
                     size = 0
         if size:
-            yield packed(tokens, True)
-            yield packed(pairs, False)
+            yield packed(tokens, pairs)
 
     return run
 
 
-MERGED = "key long, c long, level int"
+#: words and word_counts: all of the bucket; top: its most frequent words; pairs, levels: its most frequent pairs.
+MERGED = "bucket int, distinct long, total long, words binary, word_counts binary, top_levels array<int>, slab binary, pairs binary, levels binary, pair_levels array<int>"
 
 
-def merge_bucket(table: pa.Table) -> pa.Table:
-    """All of a bucket: its tokens with their counts, and (c null) all its pairs."""
-    words = table.column("words").to_numpy(zero_copy_only=False)
-    blobs, counts = table.column("keys").to_pylist(), table.column("counts").to_pylist()
-    out = []
-    for kind in (True, False):
-        some = np.flatnonzero(words == kind).tolist()
-        keys = np.frombuffer(b"".join(blobs[i] for i in some), dtype=np.uint64)
-        many = np.frombuffer(b"".join(counts[i] for i in some), dtype="<u4")
-        order = np.argsort(keys, kind="stable")
-        keys, many = keys[order], many[order]
-        starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, dtype=np.int64)
-        sums = np.add.reduceat(many.astype(np.int64), starts) if len(keys) else np.zeros(0, dtype=np.int64)
-        c = pa.array(sums) if kind else pa.nulls(len(sums), pa.int64())
-        out.append(pa.table([pa.array(keys[starts].view(np.int64)), c, pa.array(levels_of(sums).astype(np.int32))], names=["key", "c", "level"]))
-    return pa.concat_tables(out)
+def histogram(levels: np.ndarray) -> list[int]:
+    return np.bincount(levels, minlength=len(MEANING)).tolist()
 
 
-def place_in_slabs(slabs: int):
-    schema = pa.schema([("slab", pa.int32()), ("keys", pa.binary()), ("levels", pa.binary())])
+def merge_bucket(bits: int, head_levels: int):
+    """The bucket's exact word counts, its slab, and what of it may belong to the head: pairs whose levels add up to a
+    little more than the bucket's share of the head."""
+    most = 5 * head_levels // (4 << bits) + 1024
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, levels = batch.column("key").to_numpy().view(np.uint64), batch.column("level").to_numpy().astype(np.uint8)
-            slab = slab_of(keys, slabs).astype(np.int64)
-            order = np.argsort(slab, kind="stable")
-            keys, levels = keys[order], levels[order]
-            which, starts = np.unique(slab[order], return_index=True)
-            ends = np.append(starts[1:], len(keys))
-            yield pa.record_batch([pa.array(which.astype(np.int32)), binary([keys[a:b].tobytes() for a, b in zip(starts, ends)]), binary([levels[a:b].tobytes() for a, b in zip(starts, ends)])], schema=schema)
+    def added(keys: list, counts: list, kind: str) -> tuple[np.ndarray, np.ndarray]:
+        keys, counts = (np.frombuffer(b"".join(x or b"" for x in held), dtype=t) for held, t in ((keys, kind), (counts, "<u4")))
+        order = np.argsort(keys, kind="stable")
+        keys, counts = keys[order], counts[order]
+        starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, dtype=np.int64)
+        return keys[starts], np.add.reduceat(counts.astype(np.int64), starts) if len(keys) else np.zeros(0, dtype=np.int64)
+
+    def run(table: pa.Table) -> pa.Table:
+        held = {c: table.column(c).to_pylist() for c in table.column_names if c != "bucket"}
+        words, many = added(held["words"], held["word_counts"], "<u8")
+        pairs, often = added(held["pairs"], held["pair_counts"], "<u4")
+        levels = levels_of(often)
+        order = np.argsort(-levels.astype(np.int16), kind="stable")
+        order = np.sort(order[: int(np.searchsorted(np.cumsum(levels[order], dtype=np.int64), most))])
+        one = {
+            "bucket": table.column("bucket")[0].as_py(), "distinct": len(words), "total": int(many.sum()), "words": words.tobytes(), "word_counts": many.astype("<i8").tobytes(), "top_levels": histogram(levels_of(many)),
+            "slab": slab(pairs, levels), "pairs": pairs[order].tobytes(), "levels": levels[order].tobytes(), "pair_levels": histogram(levels[order]),
+        }
+        return pa.Table.from_pylist([one], schema=pa.schema([
+            ("bucket", pa.int32()), ("distinct", pa.int64()), ("total", pa.int64()), ("words", pa.binary()), ("word_counts", pa.binary()), ("top_levels", pa.list_(pa.int32())),
+            ("slab", pa.binary()), ("pairs", pa.binary()), ("levels", pa.binary()), ("pair_levels", pa.list_(pa.int32())),
+        ]))
 
     return run
 
 
-def build_slab(table: pa.Table) -> pa.Table:
-    keys = np.frombuffer(b"".join(table.column("keys").to_pylist()), dtype=np.uint64)
-    levels = np.frombuffer(b"".join(table.column("levels").to_pylist()), dtype=np.uint8)
-    bits = np.zeros(SLAB_BITS, dtype=bool)
-    for level in range(1, int(levels.max(initial=0)) + 1):
-        now = keys[levels >= level]
-        for probe in range(PROBES):
-            bits[bit_positions(now, level, probe).astype(np.int64)] = True
-    return pa.table([pa.array([table.column("slab")[0].as_py()], type=pa.int32()), binary([np.packbits(bits, bitorder="little").tobytes()])], names=["slab", "bits"])
+def least_level(merged: DataFrame, column: str, most: int, weigh) -> int:
+    """The least level from which all n-grams together weigh at most `most`; at most one number a level is collected."""
+    spread = merged.select(F.posexplode(column)).groupBy("pos").agg(F.sum("col").alias("n")).collect()
+    held, least = 0, len(MEANING)
+    for r in sorted((r for r in spread if r["pos"]), key=lambda r: -r["pos"]):
+        held += r["n"] * weigh(r["pos"])
+        if held > most:
+            break
+        least = r["pos"]
+    return least
 
 
-SCORED = "row long, doc_id long, held_out boolean, n_tokens long, n_top long, base_top double, rare array<struct<key:long,f:int>>, plain double, parts array<double>, loo array<double>"
-PROBED = "row long, doc_id long, held_out boolean, text string, levels binary"
+def head_of(merged: DataFrame, pair_level: int, word_level: int) -> pa.Table:
+    """The head's slabs (at most HEAD_BYTES and a word each) and the most frequent words (at most TOP_TOKENS)."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slabs, words, counts = [], [], []
+            for r in batch.to_pylist():
+                pairs, levels = np.frombuffer(r["pairs"], "<u4"), np.frombuffer(r["levels"], np.uint8)
+                slabs.append(slab(pairs[levels >= pair_level], levels[levels >= pair_level]))
+                many = np.frombuffer(r["word_counts"], "<i8")
+                keep = levels_of(many) >= word_level
+                words.append(np.frombuffer(r["words"], "<u8")[keep].tobytes())
+                counts.append(many[keep].tobytes())
+            yield pa.record_batch([batch.column("bucket"), binary(slabs), binary(words), binary(counts)], names=["bucket", "slab", "words", "counts"])
 
-def rows_of(values: np.ndarray, kept: np.ndarray | None = None) -> pa.Array:
-    """A matrix as a list per row; rows not kept are null."""
-    offsets = np.arange(len(values) + 1, dtype=np.int32) * np.int32(values.shape[1])
-    mask = None if kept is None else pa.array(~kept)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.ravel()), mask=mask)
+    return merged.select("bucket", "pairs", "levels", "words", "word_counts").mapInArrow(run, "bucket int, slab binary, words binary, counts binary").toArrow()
 
 
-def score_batches(shared, total: int, distinct: int, last: bool):
-    """Map documents to score parts; with last=False only to the levels found so far.
+class Weights:
+    """Sums of log10 probabilities for every class of context counts and every weight."""
 
-    parts and loo: for each class of context counts and each weight, the sum of log10 probabilities of the tokens in
-    such a context; loo leaves the document's own occurrence out of each count and is null for held-out documents.
-    """
-    n_lambda, n_class = len(LAMBDAS), len(CONTEXT_EDGES)
-    size, ten = float(total + distinct + 1), np.log(10.0)
+    def __init__(self, size: float):
+        self.size = size
 
-    def sums(cw, cv, c2, doc, docs):
-        """Sums per document, class and weight; tokens without a known context have the plain estimate."""
-        p1 = (cw + 1.0) / size
+    def sums(self, cw, cv, c2, doc, docs):
+        """Per document: tokens without a known context have the plain estimate; the others by class and weight."""
+        n_lambda, n_class = len(LAMBDAS), len(CONTEXT_EDGES)
+        p1 = (cw + 1.0) / self.size
         log1 = np.log(p1)
         usable = cv > 0
         plain = np.bincount(doc[~usable], weights=log1[~usable], minlength=docs)
@@ -224,51 +266,136 @@ def score_batches(shared, total: int, distinct: int, last: bool):
         out = np.empty((docs * n_class, n_lambda))
         for i, x in enumerate(LAMBDAS):
             out[:, i] = lows + many * np.log1p(-x) + np.bincount(cell, weights=np.log((1 - x) * q + x * ml), minlength=docs * n_class)
-        return plain / ten, out.reshape(docs, n_class * n_lambda) / ten
+        return plain / np.log(10.0), out.reshape(docs, n_class * n_lambda) / np.log(10.0)
+
+    def both(self, levels, doc, docs, own):
+        """Sums per document, and over all training documents with their own occurrence left out of each count."""
+        counts = [MEANING[x] for x in levels]
+        plain, parts = self.sums(*counts, doc, docs)
+        left_out = self.sums(*(np.maximum(x[own] - 1, 0) for x in counts), np.zeros(int(own.sum()), dtype=np.int64), 1)[1][0]
+        return plain, parts, left_out
+
+
+ASKED = "bucket int, chunk long, words binary, pairs binary, body binary"
+
+
+def body_of(columns: dict) -> bytes:
+    """One row of lists as compressed bytes."""
+    batch = pa.record_batch([pa.array([v], pa.list_(t)) for v, t in columns.values()], names=list(columns))
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def ask_batches(shared, bits: int, size: float, starts: int):
+    """Per chunk of texts: a row for each bucket that it asks, and a row of what is known and what is open."""
+    start_level = int(levels_of(np.array([starts]))[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        top_keys, top_counts, slabs, held, bits = shared.value
-        found = Filter(slabs, held, bits)
+        top_keys, top_counts, slabs = shared.value
+        head, weights = Filter(slabs), Weights(size)
         for batch in batches:
-            prior = batch.column("levels").to_pylist() if "levels" in batch.schema.names else None
             for first, texts in chunks(batch.column("text").to_pylist(), SCORED_CHARS):
                 docs = len(texts)
                 ids, lengths = map(np.concatenate, zip(*(with_ends(*word_hashes(some), END) for _, some in chunks(texts, HASHED_CHARS))))
                 uniq, at = np.unique(ids, return_inverse=True)
-                before = context_of(at, lengths, len(uniq))
-                uni = found.levels(np.append(uniq, START))
-                keys, back = np.unique(pair_keys(np.append(uniq, START)[before], ids), return_inverse=True)
-                level = np.stack([uni[at], uni[before], found.levels(keys)[back]])
-                ends = np.cumsum(lengths)
-                if prior is not None:
-                    level = np.maximum(level, np.concatenate([np.frombuffer(prior[first + i], np.uint8).reshape(3, -1) for i in range(docs)], axis=1))
-                carried = [batch.column(c).slice(first, docs) for c in ("row", "doc_id", "held_out")]
-                if not last:
-                    packed = [level[:, a:b].tobytes() for a, b in zip(ends - lengths, ends)]
-                    yield pa.record_batch([*carried, pa.array(texts, pa.string()), binary(packed)], names=["row", "doc_id", "held_out", "text", "levels"])
-                    continue
-                doc = np.repeat(np.arange(docs), lengths)
-                cw, cv, c2 = (MEANING[x] for x in level)
-                plain, parts = sums(cw, cv, c2, doc, docs)
-                train = ~np.array(carried[2].to_pylist(), dtype=bool)
-                own = train[doc]
-                loo = sums(*(np.maximum(x[own] - 1, 0) for x in (cw, cv, c2)), doc[own], docs)[1]
                 where = np.searchsorted(top_keys, uniq)
                 where[where == len(top_keys)] = 0
                 known = top_keys[where] == uniq if len(top_keys) else np.zeros(len(uniq), dtype=bool)
-                gain = np.where(known, np.log10((top_counts[where] + 1) / size), 0.0) if len(top_keys) else np.zeros(len(uniq))
+                counts = np.where(known, top_counts[where], 0) if len(top_keys) else np.zeros(len(uniq), dtype=np.int64)
+                word_level = np.where(known, levels_of(counts), OPEN).astype(np.uint8)
+                before = context_of(at, lengths, len(uniq))
+                keys, back = np.unique(pair_keys(np.append(uniq, START)[before], ids), return_inverse=True)
+                level = np.stack([word_level[at], np.append(word_level, start_level).astype(np.uint8)[before], head.levels(buckets_of(keys, bits), short_of(keys, bits))[back]])
+                undone = (level[0] == OPEN) | (level[1] == OPEN) | (level[2] == 0)
+                doc, done = np.repeat(np.arange(docs), lengths), ~undone
+                train = ~np.array(batch.column("held_out").slice(first, docs).to_pylist(), dtype=bool)
+                plain, parts, left_out = weights.both(level[:, done], doc[done], docs, train[doc[done]])
                 in_top = known[at]
-                base, n_top = np.bincount(doc, weights=gain[at], minlength=docs), np.bincount(doc[in_top], minlength=docs)
-                code, f = np.unique(doc[~in_top] * len(uniq) + at[~in_top], return_counts=True)
-                edges = np.searchsorted(code, np.arange(docs + 1) * len(uniq)).astype(np.int32)
-                pairs = pa.StructArray.from_arrays([pa.array(uniq[code % len(uniq)].view(np.int64)), pa.array(f.astype(np.int32))], names=["key", "f"])
-                rare = pa.ListArray.from_arrays(pa.array(edges), pairs)
-                yield pa.record_batch([*carried, pa.array(lengths), pa.array(n_top), pa.array(base), rare, pa.array(plain), rows_of(parts), rows_of(loo, train)], names=[x.split()[0] for x in SCORED.split(", ")])
+                base = np.bincount(doc, weights=np.where(known, np.log10((counts + 1) / size), 0.0)[at], minlength=docs)
+                # what is asked: the pairs of open tokens, in page order within a bucket, and distinct words that are not
+                # frequent; what precedes an open token and is not frequent is the last open token itself
+                asked = keys[back[undone]]
+                place = buckets_of(asked, bits)
+                word_place = np.cumsum(~known) - 1
+                chunk = batch.column("row")[first].as_py()
+                yield from ask(chunk, uniq[~known], asked[np.argsort(place, kind="stable")])
+                body = {
+                    "row": (batch.column("row").slice(first, docs).to_pylist(), pa.int64()), "doc_id": (batch.column("doc_id").slice(first, docs).to_pylist(), pa.int64()), "train": (train, pa.bool_()), "lengths": (lengths, pa.int64()),
+                    "n_top": (np.bincount(doc[in_top], minlength=docs), pa.int64()), "base": (base, pa.float64()), "plain": (plain, pa.float64()), "parts": (parts.ravel(), pa.float64()), "left_out": (left_out, pa.float64()),
+                    "open": (np.bincount(doc[undone], minlength=docs), pa.int64()), "place": (place.astype(np.uint8 if bits <= 8 else np.uint32), pa.uint8() if bits <= 8 else pa.uint32()), "w_level": (level[0][undone], pa.uint8()), "v_level": (level[1][undone], pa.uint8()),
+                    "w": (word_place[at[level[0] == OPEN]].astype(np.uint32), pa.uint32()),
+                }
+                yield pa.record_batch([pa.array([chunk % (1 << bits)], pa.int32()), pa.array([chunk], pa.int64()), binary([None]), binary([None]), binary([body_of(body)])], names=["bucket", "chunk", "words", "pairs", "body"])
+
+    def ask(chunk: int, words: np.ndarray, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
+        found: dict[int, list] = {}
+        for place, held in enumerate((words, keys)):
+            which, edges = edges_of(held, bits)
+            held = short_of(held, bits) if place else held
+            for b, x, y in zip(which, edges, edges[1:]):
+                found.setdefault(b, [None, None])[place] = held[x:y].tobytes()
+        if found:
+            yield pa.record_batch([pa.array(found, pa.int32()), pa.array([chunk] * len(found), pa.int64()), *[binary(list(c)) for c in zip(*found.values())], binary([None] * len(found))], names=["bucket", "chunk", "words", "pairs", "body"])
 
     return run
 
 
-def language_model_scores(docs: DataFrame, held_out, buckets_of: int = 8 << 20, segment_slabs: int = SEGMENT_SLABS, top_tokens: int = TOP_TOKENS) -> DataFrame:
+ANSWERED = "chunk long, bucket int, counts binary, levels binary, body binary"
+
+
+def answer(asked: pa.Table, merged: pa.Table) -> pa.Table:
+    """What a bucket answers to every chunk: counts of its words, levels of its pairs, in the order asked."""
+    own = merged.to_pylist()
+    words, many = (np.frombuffer(own[0][c] if own else b"", dtype=t) for c, t in (("words", "<u8"), ("word_counts", "<i8")))
+    held = Filter([own[0]["slab"] if own else None])
+    counts, levels = [], []
+    for w, p in zip(asked.column("words").to_pylist(), asked.column("pairs").to_pylist()):
+        w, p = np.frombuffer(w or b"", "<u8"), np.frombuffer(p or b"", "<u4")
+        at = np.minimum(np.searchsorted(words, w), max(len(words) - 1, 0))
+        counts.append((np.where(words[at] == w, many[at], 0) if len(words) else np.zeros(len(w))).astype("<i8").tobytes())
+        levels.append(held.levels(np.zeros(len(p), dtype=np.int64), p).tobytes())
+    return pa.table([asked.column("chunk"), asked.column("bucket"), binary(counts), binary(levels), asked.column("body")], names=["chunk", "bucket", "counts", "levels", "body"])
+
+
+SCORED = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, plain double, parts array<double>, left_out array<double>"
+
+
+def score_chunk(size: float):
+    """All answers to a chunk and its own row -> a row per document."""
+    weights = Weights(size)
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = sorted(table.to_pylist(), key=lambda r: (r["body"] is not None, r["bucket"]))
+        counts = np.frombuffer(b"".join(r["counts"] for r in rows[:-1]), "<i8")
+        levels = np.frombuffer(b"".join(r["levels"] for r in rows[:-1]), np.uint8)
+        own = next(iter(pa.ipc.open_stream(rows[-1]["body"])))
+        x = {c: own.column(c).values for c in own.schema.names}
+        get = lambda c: x[c].to_numpy(zero_copy_only=False)
+        docs = len(x["row"])
+        doc = np.repeat(np.arange(docs), get("open"))
+        word_levels = levels_of(counts)
+        level = np.stack([get("w_level"), get("v_level"), np.zeros(len(doc), dtype=np.uint8)])
+        level[2][np.argsort(get("place"), kind="stable")] = levels
+        rare = level[0] == OPEN
+        w = get("w")
+        level[0][rare] = word_levels[w]
+        after_rare = np.flatnonzero(level[1] == OPEN)
+        level[1][after_rare] = level[0][after_rare - 1]
+        train = get("train").astype(bool)
+        plain, parts, left_out = weights.both(level, doc, docs, train[doc])
+        n_known = get("n_top") + np.bincount(doc[rare][counts[w] > 0], minlength=docs)
+        base = get("base") + np.bincount(doc[rare], weights=np.log10((counts[w] + 1) / size), minlength=docs)
+        parts = parts + get("parts").reshape(docs, -1)
+        offsets = pa.array(np.arange(docs + 1, dtype=np.int32) * np.int32(parts.shape[1]))
+        left = pa.array([(left_out + get("left_out")).tolist()] + [None] * (docs - 1), pa.list_(pa.float64()))
+        return pa.table([x["row"], x["doc_id"], pa.array(~train), x["lengths"], pa.array(n_known), pa.array(base), pa.array(plain + get("plain")), pa.ListArray.from_arrays(offsets, pa.array(parts.ravel())), left], names=[c.split()[0] for c in SCORED.split(", ")])
+
+    return run
+
+
+def language_model_scores(docs: DataFrame, held_out, bucket_bytes: int = BUCKET_BYTES, head_bytes: int = HEAD_BYTES, top_tokens: int = TOP_TOKENS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs.
 
     held_out: a boolean column of docs; such rows are scored but not learnt from.  A null text is empty and has one
@@ -279,51 +406,28 @@ def language_model_scores(docs: DataFrame, held_out, buckets_of: int = 8 << 20,
     arrow_limits(spark)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), text_or_empty().alias("text"))
     train = rows.where("not held_out").select("text")
-    size = train.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    buckets = 1 << max(0, min(16, int(size / buckets_of).bit_length()))
-    counted = train.mapInArrow(count_batches(buckets), COUNTED)
-    items = stage(counted.groupBy("bucket").applyInArrow(merge_bucket, MERGED), "lm-counts")
-    tokens = items.where("c is not null").select("key", "c")
-
-    edges = F.array(*[F.lit(int(x)) for x in THRESHOLDS])
-    real = tokens.where(F.col("key") != F.lit(int(START.astype(np.int64))))
-    spread = real.groupBy(F.aggregate(edges, F.lit(0), lambda n, x: n + (x <= F.col("c")).cast("int")).alias("level")).agg(F.count("*").alias("n"), F.sum("c").alias("c")).collect()
-    total, distinct = sum(r["c"] for r in spread), sum(r["n"] for r in spread)
-    least, held = None, 0
-    for r in sorted(spread, key=lambda r: -r["level"]):
-        if held + r["n"] > top_tokens:
-            break
-        held, least = held + r["n"], int(THRESHOLDS[r["level"] - 1])
-    frequent = real.where(F.col("c") >= least).toArrow() if least is not None else None  # at most top_tokens rows
-    order = np.argsort(frequent["key"].to_numpy().view(np.uint64)) if frequent is not None else np.zeros(0, dtype=np.int64)
-    top = (frequent["key"].to_numpy().view(np.uint64)[order], frequent["c"].to_numpy()[order]) if frequent is not None else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-
-    weight = items.agg(F.sum("level")).first()[0] or 1
-    slabs = int(-(-weight * BITS_PER_LEVEL // SLAB_BITS))
-    built = stage(items.select("key", "level").mapInArrow(place_in_slabs(slabs), "slab int, keys binary, levels binary").groupBy("slab").applyInArrow(build_slab, "slab int, bits binary"), "lm-filter")
-    now = rows
-    for start in range(0, slabs, segment_slabs):
-        part = built.where((F.col("slab") >= start) & (F.col("slab") < start + segment_slabs)).toArrow()  # at most segment_slabs MB
-        last = start + segment_slabs >= slabs
-        shared = spark.sparkContext.broadcast((*top, slabs, part["slab"].to_pylist(), b"".join(x.as_buffer() for x in part["bits"])))
-        if last:
-            now = now.mapInArrow(score_batches(shared, total, distinct, True), SCORED)
-        else:
-            now = stage(now.mapInArrow(score_batches(shared, total, distinct, False), PROBED), "lm-levels")
-            shared.unpersist()
-    scored = stage(now, "lm-scored")
+    text_bytes, starts = train.agg(F.sum(F.octet_length("text").cast("long")), F.count("*")).first()
+    bits = bucket_bits(text_bytes or 0, bucket_bytes)
+    head_levels = head_bytes * 8 // BITS_PER_LEVEL
+    merged = stage(train.mapInArrow(count_batches(bits), COUNTED).groupBy("bucket").applyInArrow(merge_bucket(bits, head_levels), MERGED), "lm-buckets")
+    distinct, total = (x or 0 for x in merged.agg(F.sum("distinct"), F.sum("total")).first())
+    size = float(total + distinct + 1)
+    head = head_of(merged, least_level(merged, "pair_levels", head_levels, lambda level: level), least_level(merged, "top_levels", top_tokens, lambda level: 1))
+    top_keys, top_counts = (np.frombuffer(b"".join(head.column(c).to_pylist()), t) for c, t in (("words", "<u8"), ("counts", "<i8")))
+    order = np.argsort(top_keys)
+    slabs: list[bytes | None] = [None] * (1 << bits)
+    for b, blob in zip(head.column("bucket").to_pylist(), head.column("slab").to_pylist()):
+        slabs[b] = blob
+    shared = spark.sparkContext.broadcast((top_keys[order], top_counts[order], slabs))
+    asked = rows.mapInArrow(ask_batches(shared, bits, size, starts), ASKED)
+    answered = asked.groupBy("bucket").cogroup(merged.select("bucket", "words", "word_counts", "slab").groupBy("bucket")).applyInArrow(answer, ANSWERED)
+    scored = stage(answered.groupBy("chunk").applyInArrow(score_chunk(size), SCORED), "lm-scored")
     shared.unpersist()
 
     n, k = len(LAMBDAS), len(CONTEXT_EDGES)
-    likely = scored.where("loo is not null").agg(*[F.sum(F.col("loo")[i]).alias(f"x{i}") for i in range(n * k)]).first()
+    likely = scored.where("left_out is not null").agg(*[F.sum(F.col("left_out")[i]).alias(f"x{i}") for i in range(n * k)]).first()
     best = [max(range(n), key=lambda j: likely[c * n + j] or 0.0) for c in range(k)]
     score = F.col("plain")
     for c in range(k):
         score = score + F.col("parts")[c * n + best[c]]
-    size = float(total + distinct + 1)
-    rare = scored.select("row", F.explode("rare").alias("r")).select("row", F.col("r.key").alias("key"), F.col("r.f").alias("f")).join(tokens, "key", "left")
-    rare = rare.groupBy("row").agg(F.sum(F.when(F.col("c").isNotNull(), F.col("f")).otherwise(0)).alias("known"), F.sum(F.col("f") * F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(size))).alias("base"))
-    return scored.join(rare, "row", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_top") + F.coalesce("known", F.lit(0))).cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base_top") + F.coalesce("base", F.lit(0.0))).alias("base_score"), score.alias("score"),
-    )
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", score.alias("score"))
