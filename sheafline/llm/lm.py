@@ -327,7 +327,7 @@ def ask_batches(shared, bits: int, size: float, starts: int):
                     "open": (np.bincount(doc[undone], minlength=docs), pa.int64()), "place": (place.astype(np.uint8 if bits <= 8 else np.uint32), pa.uint8() if bits <= 8 else pa.uint32()), "w_level": (level[0][undone], pa.uint8()), "v_level": (level[1][undone], pa.uint8()),
                     "w": (word_place[at[level[0] == OPEN]].astype(np.uint32), pa.uint32()),
                 }
-                yield pa.record_batch([pa.array([chunk % (1 << bits)], pa.int32()), pa.array([chunk], pa.int64()), binary([None]), binary([None]), binary([body_of(body)])], names=["bucket", "chunk", "words", "pairs", "body"])
+                yield pa.record_batch([pa.array([buckets_of(mix(np.array([chunk], dtype=np.uint64)), bits)[0]], pa.int32()), pa.array([chunk], pa.int64()), binary([None]), binary([None]), binary([body_of(body)])], names=["bucket", "chunk", "words", "pairs", "body"])
 
     def ask(chunk: int, words: np.ndarray, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
         found: dict[int, list] = {}
