@@ -4,8 +4,7 @@ Every DOM node gets a density: its characters per tag, adjusted for the share of
 node's density sum is the sum over its children.  The node with the largest density sum is the core of the article;
 the least density on its path up to the body is the threshold.  Of every node that reaches it, found from the body
 down, the descendant with the largest density sum is kept whole; of other nodes nothing is kept but the page's title (h1)
-before the core.  An article or main above the core is taken instead, whole.  Inside what is kept nothing is dropped but
-what is no article text by its kind.
+before the core.  Inside what is kept nothing is dropped but what is no article text by its kind.
 """
 
 from __future__ import annotations
@@ -82,12 +81,19 @@ class Tree(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = Node("#root", None, "")
-        self.stack, self.nodes, self.articles = [self.root], [self.root], 0
+        self.stack, self.nodes = [self.root], [self.root]
+        self.open: Counter = Counter()  # elements on the stack by tag
+
+    def cut(self, i: int) -> None:
+        self.open.subtract(n.tag for n in self.stack[i:])
+        del self.stack[i:]
 
     def pop_to(self, tags: tuple, bounds: frozenset) -> None:
+        if not any(self.open[t] for t in tags):
+            return
         for i in range(len(self.stack) - 1, 0, -1):
             if self.stack[i].tag in tags:
-                del self.stack[i:]
+                self.cut(i)
                 return
             if self.stack[i].tag in bounds:
                 return
@@ -98,38 +104,40 @@ class Tree(HTMLParser):
         if tag in SELF_CLOSING_RUNS:
             self.pop_to(SELF_CLOSING_RUNS[tag], LIST_SCOPES)
         top = self.stack[-1]
-        inside = any(n.tag in ("article", "main") for n in self.stack)
+        inside = self.open["article"] + self.open["main"] > 0
         node = Node(tag, top, noise_of(tag, attrs, inside))
         top.children.append(node)
         self.nodes.append(node)
         if tag not in VOID:
             self.stack.append(node)
+            self.open[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if tag not in VOID and self.stack[-1].tag == tag:
-            self.stack.pop()
+            self.cut(-1)
 
     def handle_endtag(self, tag):
+        if not self.open[tag]:
+            return
         for i in range(len(self.stack) - 1, 0, -1):
             if self.stack[i].tag == tag:
-                del self.stack[i:]
+                self.cut(i)
                 return
 
     def handle_data(self, data):
         self.stack[-1].children.append(data)
 
 
-def ancestors(node: Node) -> Iterator[Node]:
-    while node.parent is not None:
-        node = node.parent
-        yield node
-
-
 def measure(nodes: list[Node]) -> Node:
     """What is dropped, counts bottom up, then densities and their sums; the body (or the root where there is none)."""
     articles = [n for n in nodes if n.tag in ("article", "main") and not n.noise]
-    holds = Counter(id(x) for n in articles for x in ancestors(n))
+    holds: Counter = Counter()  # articles below each node
+    if articles:
+        own = set(map(id, articles))
+        for n in reversed(nodes):
+            if n.parent is not None and (below := holds[id(n)] + (id(n) in own)):
+                holds[id(n.parent)] += below
     whole: dict[int, int] = {}
     if any(n.noise in MOST_OF_TEXT for n in nodes):  # characters outside other noise
         whole = {id(n): sum(len("".join(x.split())) for x in n.children if isinstance(x, str)) for n in nodes}
@@ -166,8 +174,8 @@ def measure(nodes: list[Node]) -> Node:
         base = math.log(c / max(c - lc, 1) * lc + share * c + math.e)
         inner = max(c / max(lc, 1) * t / lt, 1.0 + 1e-9)
         node.density = c / t * math.log(inner) / max(math.log(base) if base > 1 else 1.0, 1.0)
-    for node in nodes:
-        node.total = sum(x.density for x in node.children if not isinstance(x, str))
+    for node in nodes:  # inline markup divides no text into parts
+        node.total = sum(x.density for x in node.children if not isinstance(x, str) and x.tag not in INLINE)
     return body
 
 
@@ -180,11 +188,6 @@ def chosen(nodes: list[Node], body: Node) -> tuple[list[Node], set[int]]:
     path = [core]
     while path[-1].parent is not None and path[-1] is not body:
         path.append(path[-1].parent)
-    for n in reversed(path):
-        if n.tag in ("article", "main") and n.chars:
-            articles = [m for m in own if m.tag == n.tag]
-            inner = [m for m in own if m.tag == "article"] if n.tag == "main" else articles
-            return [max(inner, key=lambda m: m.chars) if len(inner) == 1 else n], set()
     threshold = min(n.density for n in path)
     best: dict[int, Node] = {}
     titles: set[int] = set()  # what has no text but an h1's
@@ -201,7 +204,12 @@ def chosen(nodes: list[Node], body: Node) -> tuple[list[Node], set[int]]:
         n = reached.pop()
         kept.add(id(best[id(n)]))
         reached += [x for x in n.children if not isinstance(x, str) and id(x) in best and id(best[id(n)]) != id(n) and x.density >= threshold]
-    on_way = {id(a) for n in nodes if id(n) in kept for a in ancestors(n)}
+    on_way: set[int] = set()
+    for n in nodes:
+        if id(n) in kept:
+            while n.parent is not None and id(n.parent) not in on_way:
+                n = n.parent
+                on_way.add(id(n))
     out: set[int] = set()
     todo, before = [path[-1]], True
     while todo:  # in page order

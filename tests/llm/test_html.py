@@ -1,4 +1,5 @@
 import html
+import math
 import re
 
 import pytest
@@ -11,11 +12,63 @@ def test_whole_table(spark, small):
     rows = queries.op8_html_extraction(spark, small).collect()
     assert len(rows) == len(pages)
     for r in rows:
-        inner = re.search(r"<article>(.*?)(</article>|$)", pages[r.page_id], re.S)[1]
-        want = " ".join(html.unescape(re.sub(r"</?b>", "", re.sub(r"</?(p|h1|br)>", " ", inner))).split())
+        want = by_pattern(pages[r.page_id])
         assert r.text == want and r.n_chars == len(want)
 
 
+def by_pattern(page):
+    inner = re.search(r"<article>(.*?)(</article>|$)", page, re.S)[1]
+    return " ".join(html.unescape(re.sub(r"</?b>", "", re.sub(r"</?(p|h1|br)>", " ", inner))).split())
+
+
+def test_densities_alone_find_the_article(spark, small, monkeypatch):
+    """Without classes, and with the article as a plain block, the sums of densities decide; characters alone do not."""
+    pages = [r.html for r in spark.read.parquet(f"{small}/pages.parquet").collect()]
+    plain = [re.sub(r"(</?)article", r"\1div", re.sub(r' (class|id)="[^"]*"', "", page)) for page in pages]
+    found = lambda: sum(html_text.main_text(x) == by_pattern(page) for x, page in zip(plain, pages))
+    assert found() >= 0.9 * len(pages)
+    measure = html_text.measure
+
+    def by_chars(nodes):
+        body = measure(nodes)
+        for n in nodes:
+            n.density = float(n.chars)
+        for n in nodes:
+            n.total = sum(x.density for x in n.children if not isinstance(x, str))
+        return body
+
+    monkeypatch.setattr(html_text, "measure", by_chars)
+    assert found() <= 0.2 * len(pages)
+
+
+@pytest.mark.parametrize("page", ["<div>{}</div>", "<div><p>{}</i></p></div>", "<div><p>{}</b>", "<article><li><b>{}", "<section><article><p>{}</p>"])
+def test_deep_pages_take_time_in_proportion(page):
+    import time
+
+    head, tail = page.split("{}")
+    began = time.process_time()
+    html_text.main_text("<body>" + (head + "some text here") * 20_000 + tail * 20_000)
+    assert time.process_time() - began < 6
+
+
+def density_by_hand(chars, tags, link_chars, link_tags, share):
+    base = math.log(chars / max(chars - link_chars, 1) * link_chars + share * chars + math.e)
+    return chars / max(tags, 1) * math.log(max(chars / max(link_chars, 1) * max(tags, 1) / max(link_tags, 1), 1 + 1e-9)) / max(math.log(base), 1.0)
+
+
+def test_densities_by_hand():
+    tree = html_text.Tree()
+    tree.feed("<body><div><p>aaaa bbbb</p><p>cc <a href=x>dd</a></p></div><div><a href=y>eeeee</a></div></body>")
+    body = html_text.measure(tree.nodes)
+    share = 7 / 17
+    one, two = (n for n in body.children)
+    first, second = one.children
+    assert (body.chars, body.link_chars, body.tags, body.link_tags) == (17, 7, 6, 2)
+    for node, counts in ((first, (8, 0, 0, 0)), (second, (4, 1, 2, 1)), (one, (12, 3, 2, 1)), (two, (5, 1, 5, 1))):  # chars, tags, link chars, link tags
+        assert node.density == pytest.approx(density_by_hand(*counts, share)), counts
+    assert one.total == pytest.approx(first.density + second.density) and two.total == 0
+
+
 TEXT = "A first paragraph of the article, long enough to count as text by any measure of it. "
 
 
