@@ -13,7 +13,6 @@ JSON, RANKS = P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken")
 def check(rows, texts, capacity=2048):
     """texts: by doc_id, each id once."""
     tok = Tokenizer.from_file(JSON)
-    tok.encode_special_tokens = True
     by_doc, by_seq = defaultdict(list), defaultdict(list)
     for r in rows:
         by_doc[r.doc_id].append(r)
@@ -55,7 +54,22 @@ def test_odd_rows(docs, odd, none):
 def test_both_encoders_agree(docs, spark, small):
     rows = [r.text for r in spark.read.parquet(f"{small}/documents.parquet").limit(40).collect()]
     fast, slow = packing.encoder(JSON, RANKS, P.PATTERN), packing.encoder(JSON, "", "")
+    rows += ["<|endoftext|>", "a <|endoftext|> b", "<|endoftext|><|endoftext|>x", "<|endoftext", "no\n<|endoftext|>\n\nyes <|endoftext|>", ""]
     assert fast.encode_all(rows) == slow.encode_all(rows)
+    assert fast.encode_all(["x<|endoftext|>"])[0][-4:] == (50256).to_bytes(4, "little")
+
+
+def test_crossover_wins_where_best_fit_misses_the_bound(spark):
+    """A table that best fit, largest first, packs into more sequences than the bound; the islands reach fewer."""
+    rng = np.random.default_rng(12)
+    pairs = zip(rng.integers(560, 800, 200).tolist(), rng.integers(560, 740, 200).tolist())
+    sizes = [x for a, b in pairs for x in (a, b, 2048 - a - b)]  # sequences of three pieces that fill them
+    plain = packing.best_fit(np.array(sizes), np.argsort(-np.array(sizes), kind="stable"), 2048).max() + 1
+    bound = -(-sum(sizes) // 2048)
+    frame = spark.createDataFrame([(i, i, 0, 0, x, 0) for i, x in enumerate(sizes)], packing.PIECES)
+    packed = packing.pack(frame, islands=4, epochs=3).collect()
+    used = len({r.sequence_id for r in packed})
+    assert bound <= used < plain
 
 
 def test_islands_improve_and_keep_items():
