@@ -91,15 +91,20 @@ _ASSIGN = """(?i:password|passwd|secret|token|api_?key)["'']?\\x20*[:=]\\x20*["'
 _SPANS = """list_transform(list_filter(range(1, len({m}) + 1), lambda i: {keep}), lambda i: {{
   's': (list_sum(list_transform({g}[1:i], lambda x: len(x))) + coalesce(list_sum(list_transform({m}[1:i - 1], lambda x: len(x))), 0))::BIGINT, 'k': {kind}, 'n': len({m}[i]), 'v': {m}[i]}})""".format
 _JOIN = "array_to_string(list_transform(list_sort(list_transform({}, lambda x: {{'s': x.s, 'k': x.k, 'n': x.n}})), lambda x: (['assign', 'access', 'hex', 'live'])[x.k + 1] || ':' || x.s || ':' || (x.s + x.n)), ',')".format
+_BEFORE = "greatest(coalesce(q[i - 1].s + q[i - 1].n, 0), q[i].s - {0})".format(secret_scan.CONTEXT)
+_LIVE = f"NOT (owners > {secret_scan.MOST_OWNERS} AND repositories > {secret_scan.MOST_REPOSITORIES})"
 OP4_SQL = f"""
 WITH b AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(source, '') AS owner, row_number() OVER () AS r FROM documents),
 m AS (SELECT *, regexp_extract_all(t, '{_ASSIGN}') AS am, string_split_regex(t, '{_ASSIGN}') AS ag, regexp_extract_all(t, 'AKIA[A-Z0-9]+') AS km, string_split_regex(t, 'AKIA[A-Z0-9]+') AS kg,
   regexp_extract_all(t, '[0-9a-f]+') AS hm, string_split_regex(t, '[0-9a-f]+') AS hg, regexp_extract_all(t, '[A-Za-z0-9+/_-]+') AS cm, string_split_regex(t, '[A-Za-z0-9+/_-]+') AS cg FROM b),
 f AS (SELECT r, doc_id, t, owner, {_SPANS(m="am", g="ag", kind=0, keep=f"len(regexp_extract(am[i], '{_ASSIGN}', 1)) >= 6")} AS a, {_SPANS(m="km", g="kg", kind=1, keep="len(km[i]) >= 20")} AS k, {_SPANS(m="hm", g="hg", kind=2, keep="len(hm[i]) >= 24")} AS h,
-  {_SPANS(m="cm", g="cg", kind=3, keep="len(cm[i]) >= 20 AND regexp_matches(cm[i], '[0-9]') AND regexp_matches(cm[i], '[A-Za-z]') AND len(list_distinct(string_split(cm[i], ''))) >= 8")} AS c FROM m),
-e AS (SELECT r, t, owner, unnest(c) AS x FROM f),
-o AS (SELECT x.v AS v, count(DISTINCT owner) AS owners, count(DISTINCT t) AS repositories FROM e GROUP BY 1),
-l AS (SELECT r, list(x) FILTER (owners <= {secret_scan.MOST_OWNERS} AND repositories <= {secret_scan.MOST_REPOSITORIES}) AS live, count(*) FILTER (NOT (owners <= {secret_scan.MOST_OWNERS} AND repositories <= {secret_scan.MOST_REPOSITORIES})) AS examples FROM e JOIN o ON o.v = e.x.v GROUP BY r)
+  {_SPANS(m="cm", g="cg", kind=3, keep="len(cm[i]) >= 20 AND regexp_matches(cm[i], '[0-9]')")} AS q FROM m),
+c AS (SELECT r, t, owner, unnest(list_transform(range(1, len(q) + 1), lambda i: {{'s': q[i].s, 'k': q[i].k, 'n': q[i].n, 'v': q[i].v, 'before': substring(t, {_BEFORE} + 1, q[i].s - {_BEFORE}),
+  'after': substring(t, q[i].s + q[i].n + 1, least({secret_scan.CONTEXT}, coalesce(q[i + 1].s, len(t)) - q[i].s - q[i].n))}})) AS x FROM f),
+e AS (SELECT * FROM c WHERE regexp_matches(x.v, '[A-Za-z]') AND len(list_distinct(string_split(x.v, ''))) >= 8),
+p AS (SELECT x.v AS v, min(owner) AS owner FROM e GROUP BY x.v, x.before, x.after),
+o AS (SELECT v, count(DISTINCT owner) AS owners, count(*) AS repositories FROM p GROUP BY 1),
+l AS (SELECT r, list({{'s': x.s, 'k': x.k, 'n': x.n, 'v': x.v}}) FILTER ({_LIVE}) AS live, count(*) FILTER (NOT ({_LIVE})) AS examples FROM e JOIN o ON o.v = e.x.v GROUP BY r)
 SELECT doc_id, len(a) AS n_assign, len(k) AS n_access, len(h) AS n_hex, sha256({_JOIN("list_concat(a, k, h)")}) AS base_sha256, {_JOIN("list_concat(a, k, h, coalesce(live, []))")} AS spans, coalesce(len(live), 0) AS n_live, coalesce(examples, 0) AS n_examples
 FROM f LEFT JOIN l ON l.r = f.r
 """

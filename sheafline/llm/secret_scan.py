@@ -1,15 +1,17 @@
 """Secret scanning with corpus-wide ownership, in DataFrame expressions only.
 
-Spans of three base kinds (assign, access, hex) are found by regular expressions; places come from the lengths of what
-lies between the matches.  The method looks at candidate values across the corpus: a value's hash is counted by
-distinct repositories (documents of distinct text) and distinct owners (sources).  A value that few own and that looks
-live is a credential and its span is added as kind `live`; one that many own is a copied example.  Base spans stay
-whatever the verdict.
+Spans of three base kinds (assign, access, hex) are found by regular expressions; places are running sums over the
+lengths of the matches and of what lies between them, so a text takes time in proportion to its matches.  The method
+looks at candidate values across the corpus: a value's hash is counted by distinct repositories and distinct owners.  A
+repository is the context the value stands in, up to CONTEXT characters on either side: exact and near copies of a
+document are one.  It has one owner, the least of the sources that hold it.  A value in many repositories of several
+owners is a widely copied example; any other that looks live is a credential, and its span is added as kind `live`.
+Base spans stay whatever the verdict.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stage, text_or_empty
@@ -21,33 +23,10 @@ HEX = r"[0-9a-f]{24,}"
 CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{20,}"
 KINDS = ("assign", "access", "hex", "live")
 
-#: A value is owner-specific if at most this many owners hold it, an example if more do or many repositories repeat it.
-MOST_OWNERS, MOST_REPOSITORIES = 1, 3
-
-
-def spans(text: Column, pattern: str, kind: int) -> Column:
-    """array<struct<start,kind,end,value>> of all matches; places in code points."""
-    found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    pairs = F.arrays_zip(found.alias("value"), F.slice(between, F.lit(1), F.size(found)).alias("gap"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>").alias("out"))
-    folded = F.aggregate(
-        pairs, start,
-        lambda acc, x: F.struct(
-            (acc["at"] + F.length(x["gap"]) + F.length(x["value"])).alias("at"),
-            F.concat(acc["out"], F.array(F.struct((acc["at"] + F.length(x["gap"])).alias("start"), F.lit(kind).alias("kind"), (acc["at"] + F.length(x["gap"]) + F.length(x["value"])).alias("end"), x["value"].alias("value")))).alias("out"),
-        ),
-    )
-    return folded["out"]
-
-
-EMPTY = "array<struct<start:int,kind:int,end:int,value:string>>"
-
-
-def joined(found: Column) -> Column:
-    """kind:start:end by start, then kind as listed, comma-joined."""
-    names = F.array(*[F.lit(k) for k in KINDS])
-    in_order = F.array_sort(F.transform(found, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"))))
-    return F.array_join(F.transform(in_order, lambda x: F.concat_ws(":", names[x["kind"]], x["start"].cast("string"), x["end"].cast("string"))), ",")
+#: A value is an example if more owners than this hold it and more repositories repeat it.
+MOST_OWNERS, MOST_REPOSITORIES = 2, 3
+CONTEXT = 40  # characters on either side, as far as the neighbouring candidates
+MASK = "[SECRET]"
 
 
 def looks_live(value: Column) -> Column:
@@ -55,93 +34,112 @@ def looks_live(value: Column) -> Column:
     return value.rlike("[0-9]") & value.rlike("[A-Za-z]") & (F.size(F.array_distinct(F.split(value, ""))) >= 8)
 
 
-def find_secrets(docs: DataFrame, most_owners: int = MOST_OWNERS, most_repositories: int = MOST_REPOSITORIES) -> DataFrame:
-    """Every row of docs with all its columns, then found (spans of base kinds) and live (spans added).
+def matches(text: Column, pattern: str, kind: int, holds) -> Column:
+    """All matches of a pattern with their lengths and those of the gaps before them, in code points and in bytes."""
+    found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    n = F.size(found)
+    whole = F.arrays_zip(found.alias("value"), F.slice(between, F.lit(1), n).alias("gap"), F.slice(between, F.lit(2), n).alias("after"))
+    context = lambda x: F.xxhash64(F.right(x["gap"], F.lit(CONTEXT)), F.left(x["after"], F.lit(CONTEXT)))
+    return F.transform(whole, lambda x: F.struct(
+        F.lit(kind).alias("kind"), F.length(x["gap"]).alias("gap"), F.octet_length(x["gap"]).alias("gap_bytes"), F.length(x["value"]).alias("length"), F.octet_length(x["value"]).alias("bytes"), holds(x["value"]).alias("holds"),
+        (F.sha2(x["value"], 256) if kind == 3 else F.lit(None).cast("string")).alias("hash"), (context(x) if kind == 3 else F.lit(None).cast("long")).alias("context"),
+    ))
+
 
-    live: candidate values owned by at most most_owners sources and repeated in at most most_repositories distinct
-    texts.  A null text is empty; a null source is one owner; repeated rows count as one repository.  Columns that
-    clash with those made here are shadowed inside and returned as they came.
+def scanned(docs: DataFrame) -> DataFrame:
+    """Every row of docs as __doc, with __owner and __found, the matches of all kinds; __any tells whether there are any.
+
+    Each kind has a guard that costs little, so most texts meet no expensive pattern.
     """
-    names = docs.columns
     text = text_or_empty()
-    guard = F.lower(text)
-    worth = guard.contains("passw") | guard.contains("secret") | guard.contains("token") | guard.contains("api")
-    none = F.array().cast(EMPTY)
-    wide = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__doc"), text.alias("__text"), guard.alias("__low"), worth.alias("__worth"))
-    assign = F.when(F.col("__worth"), F.filter(spans(F.col("__text"), ASSIGN, 0), lambda x: F.length(F.regexp_extract(x["value"], ASSIGN, 2)) >= 6)).otherwise(none)
-    access = F.when(F.col("__text").contains("AKIA"), spans(F.col("__text"), ACCESS, 1)).otherwise(none)
-    hexes = F.when(F.col("__text").rlike(HEX), spans(F.col("__text"), HEX, 2)).otherwise(none)
-    candidates = F.when(F.col("__text").rlike(CANDIDATE), spans(F.col("__text"), CANDIDATE, 3)).otherwise(none)
-    return wide.select("__doc", F.xxhash64("__text").alias("__repository"), F.concat(assign, access, hexes).alias("found"), F.filter(candidates, lambda x: looks_live(x["value"])).alias("__candidates"))
-
-
-def with_ownership(scanned: DataFrame, most_owners: int = MOST_OWNERS, most_repositories: int = MOST_REPOSITORIES) -> DataFrame:
-    """scanned: staged rows with __row, __owner, __repository and __candidates; adds live and examples.
-
-    Hashes are counted after the distinct (hash, owner, repository) are made, so a value that a third of all rows
-    repeat is one row per task before it is shuffled.
+    low = F.lower(text)
+    worth = low.contains("passw") | low.contains("secret") | low.contains("token") | low.contains("api")
+    owner = F.coalesce(F.col("source").cast("string"), F.lit("")) if "source" in docs.columns else F.lit("")
+    wide = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"), text.alias("__text"), owner.alias("__owner"), worth.alias("__worth"))
+    t = F.col("__text")
+    guards = (F.col("__worth") & t.rlike(ASSIGN), t.contains("AKIA") & t.rlike(ACCESS), t.rlike(HEX), t.rlike(CANDIDATE))
+    kinds = ((ASSIGN, lambda v: F.length(F.regexp_extract(v, ASSIGN, 2)) >= 6), (ACCESS, lambda v: F.lit(True)), (HEX, lambda v: F.lit(True)), (CANDIDATE, looks_live))
+    found = [F.when(g, matches(t, pattern, k, holds)) for k, (g, (pattern, holds)) in enumerate(zip(guards, kinds))]
+    some = guards[0] | guards[1] | guards[2] | guards[3]
+    return wide.select("__doc", "__owner", some.alias("__any"), F.flatten(F.array_compact(F.array(*found))).alias("__found"))
+
+
+def placed(some: DataFrame) -> DataFrame:
+    """some: __row, __owner, __found -> a row per span that holds: __row, __owner, kind, start, end, start_byte, end_byte,
+    hash, context."""
+    each = some.select("__row", "__owner", F.posexplode("__found").alias("at", "x")).select("__row", "__owner", "at", "x.*")
+    so_far = Window.partitionBy("__row", "kind").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    each = each.withColumns({"end": F.sum(F.col("gap") + F.col("length")).over(so_far), "end_byte": F.sum(F.col("gap_bytes") + F.col("bytes")).over(so_far)})
+    return each.where("holds").select("__row", "__owner", "kind", (F.col("end") - F.col("length")).alias("start"), "end", (F.col("end_byte") - F.col("bytes")).alias("start_byte"), "end_byte", "hash", "context")
+
+
+def judged(spans: DataFrame, most_owners: int = MOST_OWNERS, most_repositories: int = MOST_REPOSITORIES) -> DataFrame:
+    """Staged spans with `example`: true for candidates that many repositories of several owners repeat, false for other
+    candidates and for base spans.
+
+    Hashes are counted after the distinct (hash, context) are made, so a value that a third of all rows repeat is one
+    row per task and context before it is shuffled.
     """
-    each = scanned.where(F.size("__candidates") > 0).select("__row", "__owner", "__repository", F.explode("__candidates").alias("x"))
-    each = each.select("__row", "__owner", "__repository", "x", F.sha2(F.col("x.value"), 256).alias("__hash"))
-    owners = each.groupBy("__hash", "__owner").agg(F.lit(1).alias("one")).groupBy("__hash").agg(F.count("*").alias("owners"))
-    copies = each.groupBy("__hash", "__repository").agg(F.lit(1).alias("one")).groupBy("__hash").agg(F.count("*").alias("repositories"))
-    judged = each.join(owners.join(copies, "__hash"), "__hash")
-    live = (F.col("owners") <= most_owners) & (F.col("repositories") <= most_repositories)
-    by_row = judged.groupBy("__row").agg(F.collect_list(F.when(live, F.col("x"))).alias("live"), F.count(F.when(~live, 1)).alias("examples"))
-    none = F.array().cast(EMPTY)
-    return scanned.join(by_row, "__row", "left").withColumns({"live": F.coalesce("live", none), "examples": F.coalesce("examples", F.lit(0))})
+    candidates = spans.where("kind = 3")
+    owned = candidates.groupBy("hash", "context").agg(F.min("__owner").alias("owner"))
+    counts = owned.groupBy("hash", "owner").agg(F.count("*").alias("n")).groupBy("hash").agg(F.count("*").alias("owners"), F.sum("n").alias("repositories"))
+    examples = counts.where((F.col("owners") > most_owners) & (F.col("repositories") > most_repositories)).select("hash", F.lit(True).alias("example"))
+    told = candidates.join(examples, "hash", "left").withColumn("example", F.coalesce("example", F.lit(False)))
+    return spans.where("kind < 3").withColumn("example", F.lit(False)).unionByName(told)
+
+
+def joined(spans: Column) -> Column:
+    """kind:start:end by start, then kind as listed, comma-joined."""
+    names = F.array(*[F.lit(k) for k in KINDS])
+    return F.array_join(F.transform(F.array_sort(spans), lambda x: F.concat_ws(":", names[x["kind"]], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
 def scan_secrets(docs: DataFrame, most_owners: int = MOST_OWNERS, most_repositories: int = MOST_REPOSITORIES) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_examples for every row of docs.
 
-    A null text has no spans; null doc_ids and repeated rows are kept; an empty table gives an empty result.
+    live: candidate values that are no examples, owned by at most most_owners owners or repeated in at most
+    most_repositories repositories.  A null text has no spans; a null source is one owner; null doc_ids and repeated
+    rows are kept; an empty table gives an empty result; other columns are ignored.
     """
     source = F.col("source").cast("string") if "source" in docs.columns else F.lit(None).cast("string")
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), source.alias("source"))
-    found = find_secrets(slim)
-    scanned = stage(found.select(F.monotonically_increasing_id().alias("__row"), F.col("__doc.doc_id").alias("doc_id"), F.coalesce("__doc.source", F.lit("")).alias("__owner"), "__repository", "found", "__candidates"), "secret-spans")
-    judged = with_ownership(scanned, most_owners, most_repositories)
-    count = lambda kind: F.size(F.filter("found", lambda x: x["kind"] == kind)).cast("long")
-    return judged.select(
-        "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(joined(F.col("found")).cast("binary"), 256).alias("base_sha256"), joined(F.concat("found", "live")).alias("spans"),
-        F.size("live").cast("long").alias("n_live"), F.col("examples").cast("long").alias("n_examples"),
-    )
-
-
-MASK = "[SECRET]"
-
-
-def masked(text: Column, found: Column) -> Column:
-    """The text with every span replaced by MASK; overlapping spans share one."""
-    in_order = F.array_sort(F.transform(found, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))))
-    whole = F.aggregate(
-        in_order, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda a, x: F.struct(
-            F.greatest(a["at"], x["end"]).alias("at"),
-            F.when(x["start"] < a["at"], a["out"]).otherwise(F.concat(a["out"], text.substr(a["at"] + 1, x["start"] - a["at"]), F.lit(MASK))).alias("out"),
-        ),
+    found = scanned(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), source.alias("source")))
+    rows = stage(found.select(F.monotonically_increasing_id().alias("__row"), F.col("__doc.doc_id").alias("doc_id"), "__owner", "__any", "__found"), "secret-rows")
+    spans = judged(stage(placed(rows.where("__any")), "secret-spans"), most_owners, most_repositories)
+    span = F.struct("start", "kind", "end")
+    base = F.col("kind") < 3
+    by_row = spans.groupBy("__row").agg(
+        *[F.count_if(F.col("kind") == k).alias(f"n_{name}") for k, name in enumerate(KINDS[:3])], F.collect_list(F.when(base, span)).alias("base"), F.collect_list(F.when(~F.col("example"), span)).alias("all"),
+        F.count_if((F.col("kind") == 3) & ~F.col("example")).alias("n_live"), F.count_if("example").alias("n_examples"),
     )
-    return F.concat(whole["out"], text.substr(whole["at"] + 1, F.length(text)))
+    by_row = by_row.select("__row", "n_assign", "n_access", "n_hex", F.sha2(joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), joined(F.col("all")).alias("spans"), "n_live", "n_examples")
+    zero = F.lit(0).cast("long")
+    filled = {"n_assign": zero, "n_access": zero, "n_hex": zero, "base_sha256": F.sha2(F.lit(b""), 256), "spans": F.lit(""), "n_live": zero, "n_examples": zero}
+    some = rows.where("__any").select("__row", "doc_id").join(by_row, "__row", "left")
+    return some.select("doc_id", *[F.coalesce(c, v).alias(c) for c, v in filled.items()]).unionByName(rows.where(~F.col("__any")).select("doc_id", *[v.alias(c) for c, v in filled.items()]))
 
 
 def mask_secrets(docs: DataFrame, most_owners: int = MOST_OWNERS, most_repositories: int = MOST_REPOSITORIES) -> DataFrame:
     """docs with base spans and live spans masked and n_chars, where there is such a column, set to the new length.
 
-    Widely copied candidates outside the base kinds stay as they are.  Only rows with a candidate take part in the
-    count of owners; all others are finished where they lie.  A null text stays null.
+    Overlapping spans share one mask; spans that touch have one each.  Widely copied candidates outside the base kinds
+    stay as they are.  Only rows with a match take part in the count of owners; all others pass as they lie.  A null
+    text stays null.
     """
     names = docs.columns
-    found = find_secrets(docs)
-    owner = F.coalesce(F.col("__doc.source").cast("string"), F.lit("")) if "source" in names else F.lit("")
-    plain = found.where(F.size("__candidates") == 0).select("__doc", F.col("found").alias("__all"))
-    some = stage(found.where(F.size("__candidates") > 0).select(F.monotonically_increasing_id().alias("__row"), "__doc", owner.alias("__owner"), "__repository", "found", "__candidates"), "secret-docs")
-    judged = with_ownership(some, most_owners, most_repositories).select("__doc", F.concat("found", "live").alias("__all"))
-    both = plain.unionByName(judged)
-    text = F.col("__doc.text")
-    new = F.when(F.size("__all") > 0, masked(text, F.col("__all"))).otherwise(text)
-    made = both.select("__doc", new.alias("__new"))
+    found = scanned(docs)
+    plain = found.where(~F.col("__any")).select("__doc.*")
+    some = stage(found.where("__any").select(F.monotonically_increasing_id().alias("__row"), "__doc", "__owner", "__found"), "secret-docs")
+    spans = judged(stage(placed(some), "secret-spans"), most_owners, most_repositories).where(~F.col("example"))
+    before = Window.partitionBy("__row").orderBy("start_byte", "end_byte").rowsBetween(Window.unboundedPreceding, -1)
+    cut = spans.withColumn("from", F.coalesce(F.max("end_byte").over(before), F.lit(0)))
+    pieces = F.collect_list(F.when(F.col("start_byte") >= F.col("from"), F.struct("start_byte", "from")))
+    by_row = cut.groupBy("__row").agg(F.array_sort(pieces).alias("__pieces"), F.max("end_byte").alias("__tail"))
+    # the bytes are bound once, as the one element of an array; a cast inside the inner lambda would copy them per piece
+    part = lambda text, a, n: F.substring(text, a.cast("int") + 1, n.cast("int")).cast("string")
+    head = lambda text: F.array_join(F.transform("__pieces", lambda x: F.concat(part(text, x["from"], x["start_byte"] - x["from"]), F.lit(MASK))), "")
+    whole = F.transform(F.array(F.col("__doc.text").cast("binary")), lambda text: F.concat(head(text), part(text, F.col("__tail"), F.octet_length(text))))[0]
+    made = some.join(by_row, "__row", "left").select("__doc", F.when(F.col("__tail").isNotNull(), whole).otherwise(F.col("__doc.text").cast("string")).alias("__new"))
     out = {"text": F.col("__new")}
     if "n_chars" in names:
         out["n_chars"] = F.when(F.col("__new").isNull(), F.col("__doc.n_chars")).otherwise(F.length("__new")).cast(docs.schema["n_chars"].dataType)
-    return made.select(*[out.get(c, F.col(f"__doc.`{c}`")).alias(c) for c in names])
+    return plain.unionByName(made.select(*[out.get(c, F.col(f"__doc.`{c}`")).alias(c) for c in names]))

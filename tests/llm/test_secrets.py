@@ -54,6 +54,48 @@ def test_ownership_parts_examples_from_live_ones(docs):
     assert got[10].spans == f"live:4:{4 + len(own)}" and got[11].spans == ""
 
 
+def test_copies_of_a_document_are_one_repository_of_one_owner(docs):
+    own, page = "Pq1Ws2Ed3Rf4Tg5Yh6Uj7Ik8", "Here the long page of a document says that the service listens to {} and to nothing else at any time of day."
+    exact = [(i, page.format(own), "en", f"s{i}") for i in range(9)]
+    near = [(20 + i, f"Copy {i}. " + page.format(own) + f" End {i}.", "en", f"t{i}") for i in range(9)]
+    few = [(40 + i, f"{i} is {own} here {i}", "en", f"u{i % 2}") for i in range(3)]
+    for rows in (exact, near, few, exact + near):
+        assert all((r.n_live, r.n_examples) == (1, 0) for r in secret_scan.scan_secrets(docs(rows)).collect())
+    spread = [(60 + i, f"{i} is {own} here {i}", "en", f"u{i}") for i in range(5)]
+    assert all((r.n_live, r.n_examples) == (0, 1) for r in secret_scan.scan_secrets(docs(exact + spread)).collect())
+
+
+def masked_by_hand(text, spans):
+    out, at = "", 0
+    for a, b in sorted((int(x.split(":")[1]), int(x.split(":")[2])) for x in spans.split(",") if x):
+        if a >= at:
+            out += text[at:a] + secret_scan.MASK
+        at = max(at, b)
+    return out + text[at:]
+
+
+def test_masks_lie_on_the_spans(spark, small, docs):
+    docs = spark.read.parquet(f"{small}/documents.parquet").unionByName(docs([(i + 100_000, t) for i, t in ROWS if t is not None]))
+    spans = {r.doc_id: r.spans for r in secret_scan.scan_secrets(docs).collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    got = {r.doc_id: r.text for r in secret_scan.mask_secrets(docs).collect()}
+    assert got == {d: masked_by_hand(t, spans[d]) for d, t in texts.items()} and any(spans.values())
+
+
+def test_many_matches_in_one_text_take_time_in_proportion(docs):
+    import time
+
+    took = []
+    for n in (20_000, 80_000):
+        rows = [(1, " é ".join(f"{i:032x}" for i in range(n)))]
+        began = time.time()
+        (one,) = secret_scan.scan_secrets(docs(rows)).collect()
+        (two,) = secret_scan.mask_secrets(docs(rows)).collect()
+        took.append(time.time() - began)
+        assert one.n_hex == n and two.text == " é ".join([secret_scan.MASK] * n)
+    assert took[1] < 6 * took[0] + 5
+
+
 def test_masking(docs, odd, none):
     rows = [(*r, "en", "s") for r in ROWS]
     got = {r.doc_id: r for r in secret_scan.mask_secrets(docs(rows)).collect()}
