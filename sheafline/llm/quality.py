@@ -1,35 +1,38 @@
 """Quality rules with distribution divergence, in DataFrame expressions only.
 
-Per document: counts for the base rules, a histogram of character classes and one of the language's common words.  The
-references are each language's mean histograms over all documents that pass the base rules and are long enough; every
-document weighs the same, so one huge text can't move them.  A document is rejected if it fails the base rules or, being
-long enough for its histograms to mean something, lies too far from its language's reference in Jensen-Shannon distance.
+Per document: counts for the base rules, a histogram of character classes and one of the language's common words, in
+lower case and without marks.  The references are each language's mean histograms over all documents that pass the base
+rules and are long enough; every document weighs the same, so one huge text can't move them.  Both Jensen-Shannon
+distances to the reference are added up, less an allowance for what chance adds to the histogram of a short text.  A
+document is rejected if it fails the base rules or if this excess lies far beyond those of its language's documents, by
+their quartiles.  Means and quartiles come from whole numbers, so the order of rows can't change a verdict.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SPACES, stage, text_or_empty
 
 #: Common words by language.
 COMMON_WORDS = {
-    "en": ["the", "of", "and", "to", "a", "in", "is", "that", "for", "with", "was", "on"],
-    "fr": ["de", "la", "le", "et", "les", "des", "en", "un", "du", "une", "que", "est"],
-    "de": ["der", "die", "und", "in", "den", "von", "zu", "das", "mit", "sich", "des", "auf"],
-    "es": ["de", "la", "que", "el", "en", "y", "a", "los", "se", "del", "las", "un"],
+    "en": "the of and to a in is that for with was on as by at from it be are this or an which not his he they have but had".split(),
+    "fr": "de la le et les des en un du une que est dans pour qui par sur au pas plus ne il se ce sont avec son ou aux cette".split(),
+    "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach".split(),
+    "es": "de la que el en y a los se del las un por con no una su para es al lo como más o pero sus le ha me si".split(),
 }
-#: Farthest allowed Jensen-Shannon distances (base 2, so within 0..1), alone and added up, and the least lengths for
-#: which they are asked: histograms of shorter texts are too coarse.
-MOST_CHAR_DISTANCE, MOST_WORD_DISTANCE, MOST_SUM = 0.30, 0.45, 0.50
+MARKS = ".,;:!?()[]«»“”‘’'\"-"
+#: References come from documents of so many words and characters or more: histograms of shorter texts are too coarse.
 LEAST_WORDS, LEAST_CHARS = 80, 400
-#: The rule by spread, of texts of any length: a document is too far if its sum of distances, less what chance adds to a
-#: histogram of so few words (ALLOWANCE / sqrt(words)), lies FENCE interquartile ranges beyond its language's upper
-#: quartile, Tukey's fence for far outliers.
+#: The excess of a document is the sum of its distances less ALLOWANCE / sqrt(words); it is too far if it lies FENCE
+#: interquartile ranges beyond its language's upper quartile, Tukey's fence for far outliers.
 ALLOWANCE, FENCE = 1.0, 3.0
+#: Whole numbers: parts of a share that means count in, bins of an excess of 1 that quartiles count in.
+PARTS, BINS = 1_000_000_000, 2000
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
+WORDS = max(map(len, COMMON_WORDS.values()))
 
 
 def only(text: Column, kept: str) -> Column:
@@ -86,8 +89,10 @@ def features(docs: DataFrame, carried: list[str]) -> DataFrame:
         only(F.col("__text"), "A-Z"), only(F.col("__text"), "a-z"), only(F.col("__text"), "0-9"), F.length("__text") - F.col("__word_chars"),
         only(F.col("__text"), ".,;:!?'\"()-"), F.col("__symbols"), F.length(F.regexp_replace("__text", "[\\x00-\\x7F]+", "")),
     )])
-    n = F.col("__n")
-    counts = [n - F.size(F.array_remove("__words", F.get(F.col("__common"), F.lit(k)))) for k in range(max(map(len, COMMON_WORDS.values())))]
+    plain = F.array_remove(F.split(F.translate(F.lower("__text"), MARKS, " " * len(MARKS)), f"[{SPACES}]+", -1), "")
+    five = five.withColumn("__plain", F.filter(plain, lambda x: F.array_contains("__common", x)))
+    n = F.size("__plain")
+    counts = [n - F.size(F.array_remove("__plain", F.get(F.col("__common"), F.lit(k)))) for k in range(WORDS)]
     hits = F.when(F.col("__common").isNotNull(), F.array(*[x.cast("double") for x in counts]))
     return five.select(
         "__doc", "__lang", "__n", "__word_chars", "__symbols", "__dup_lines", F.coalesce(covered, F.lit(0)).cast("long").alias("__repeats"), F.length("__text").alias("__chars"),
@@ -95,34 +100,39 @@ def features(docs: DataFrame, carried: list[str]) -> DataFrame:
     )
 
 
-def judge(docs: DataFrame, carried: list[str] | None = None, most_char: float = MOST_CHAR_DISTANCE, most_word: float = MOST_WORD_DISTANCE, most_sum: float = MOST_SUM, least_words: int = LEAST_WORDS, least_chars: int = LEAST_CHARS, by_spread: bool = False) -> DataFrame:
+def upper_fence(excess: DataFrame, fence: float = FENCE) -> DataFrame:
+    """excess(__lang, __bin), a row per document -> __lang, __fence: the bin beyond which a document is too far.
+
+    Documents are counted per language and bin before they are ordered, so the window sees at most a row per bin.
+    """
+    counts = excess.groupBy("__lang", "__bin").agg(F.count("*").alias("n"))
+    every = Window.partitionBy("__lang")
+    ranked = counts.withColumns({"up_to": F.sum("n").over(every.orderBy("__bin")), "all": F.sum("n").over(every)})
+    quartile = lambda k: F.min(F.when(4 * F.col("up_to") >= k * F.col("all"), F.col("__bin")))
+    return ranked.groupBy("__lang").agg((quartile(3) + fence * (quartile(3) - quartile(1))).alias("__fence"))
+
+
+def judge(docs: DataFrame, carried: list[str] | None = None, least_words: int = LEAST_WORDS, least_chars: int = LEAST_CHARS, allowance: float = ALLOWANCE, fence: float = FENCE) -> DataFrame:
     """Every row of docs with its counts, distances, __base_failed and __kept; its carried columns (all) under __doc.
 
     A null text is empty and fails; null and unknown languages share one reference and have no common words.
     Repeated rows are judged alike; an empty table gives an empty result; other columns, whatever their names, are
-    carried under __doc untouched.  by_spread also rejects by the spread of distances of the language's documents.
+    carried under __doc untouched.
     """
     made = features(docs, carried or docs.columns)
     failed = (F.col("__n") < 20) | (F.col("__repeats") * 100 > F.col("__n") * 30)
     rest = F.col("__n") - F.aggregate("__hits", F.lit(0.0), lambda a, x: a + x)
     held = stage(made.select("*", failed.alias("__base_failed"), normalised(F.col("__classes")).alias("__p"), normalised(F.concat("__hits", F.array(F.greatest(rest, F.lit(0.0))))).alias("__q")), "quality-features")
-    enough = (F.col("__n") >= least_words) & (F.col("__chars") >= least_chars)
-    good = held.where(~F.col("__base_failed") & enough)
-    mean = lambda c, size: F.array(*[F.avg(F.col(c)[i]) for i in range(size)])
-    words = max(map(len, COMMON_WORDS.values())) + 1
-    references = good.groupBy("__lang").agg(mean("__p", 7).alias("__rp"), mean("__q", words).alias("__rq"))
+    good = held.where(~F.col("__base_failed") & (F.col("__n") >= least_words) & (F.col("__chars") >= least_chars))
+    mean = lambda c, size: F.array(*[F.sum(F.round(F.col(c)[i] * PARTS).cast("long")) / F.count(F.col(c)[i]) / PARTS for i in range(size)])
+    references = good.groupBy("__lang").agg(mean("__p", 7).alias("__rp"), mean("__q", WORDS + 1).alias("__rq"))
     near = held.join(F.broadcast(references), "__lang", "left")  # a row per known language and one more
     near = near.withColumns({"__char_distance": jensen_shannon(F.col("__p"), F.col("__rp")), "__word_distance": jensen_shannon(F.col("__q"), F.col("__rq"))})
-    by_char, by_word = (F.coalesce(c, F.lit(0.0)) for c in ("__char_distance", "__word_distance"))
-    far = enough & ((by_char > most_char) | (by_word > most_word) | (by_char + by_word > most_sum))
-    if by_spread:
-        excess = by_char + by_word - ALLOWANCE / F.sqrt(F.greatest(F.col("__n"), F.lit(1)))
-        near = near.withColumn("__excess", excess)
-        quartiles = near.where(~F.col("__base_failed")).groupBy("__lang").agg(F.percentile_approx("__excess", [0.25, 0.75], 10000).alias("__quartiles"))
-        near = near.join(F.broadcast(quartiles), "__lang", "left")  # a row per known language and one more
-        q = F.col("__quartiles")
-        far = far | F.coalesce(F.col("__excess") > q[1] + FENCE * (q[1] - q[0]), F.lit(False))
-    return near.withColumn("__kept", ~F.col("__base_failed") & ~far)
+    excess = F.coalesce("__char_distance", F.lit(0.0)) + F.coalesce("__word_distance", F.lit(0.0)) - allowance / F.sqrt(F.greatest(F.col("__n"), F.lit(1)))
+    near = near.withColumn("__bin", F.floor(F.round(excess, 9) * BINS))
+    fences = upper_fence(near.where(~F.col("__base_failed")).select("__lang", "__bin"), fence)
+    near = near.join(F.broadcast(fences), "__lang", "left")  # a row per known language and one more
+    return near.withColumn("__kept", ~F.col("__base_failed") & ~F.coalesce(F.col("__bin") > F.col("__fence"), F.lit(False)))
 
 
 def quality_verdicts(docs: DataFrame, **limits) -> DataFrame:

@@ -110,6 +110,7 @@ FROM f LEFT JOIN l ON l.r = f.r
 """
 
 _COMMON = "CASE lang " + " ".join(f"WHEN '{k}' THEN [{', '.join(repr(w) for w in v)}]" for k, v in quality.COMMON_WORDS.items()) + " END"
+_MARKS = quality.MARKS.replace("'", "''")
 _CLASS = "len(regexp_replace(t, '[^{}]+', '', 'g'))::DOUBLE".format
 _SHARES = "CASE WHEN list_sum({0}) > 0 THEN list_transform({0}, lambda x: x / list_sum({0})) ELSE list_transform({0}, lambda x: 0.0::DOUBLE) END".format
 _PART = "CASE WHEN {0} > 0 THEN {0} * log2({0} / (({0} + {1}) / 2)) ELSE 0 END".format
@@ -122,15 +123,18 @@ cov AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM (SELECT doc_id, i, count(
 f AS (SELECT w.doc_id, t, lang, ws, len(ws) AS n, len(array_to_string(ws, '')) AS wc, len(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS sy, len(ls) - len(list_distinct(ls)) AS dl, coalesce(cov.n, 0) AS rw, {_COMMON} AS cw FROM w LEFT JOIN cov ON cov.doc_id = w.doc_id),
 h AS (SELECT *, n < 20 OR 100 * rw > 30 * n AS bf, n >= {quality.LEAST_WORDS} AND len(t) >= {quality.LEAST_CHARS} AS enough,
   [{_CLASS("A-Z")}, {_CLASS("a-z")}, {_CLASS("0-9")}, (len(t) - wc)::DOUBLE, {_CLASS(".,;:!?''" + '"' + "()-")}, sy::DOUBLE, len(regexp_replace(t, '[\x00-\x7F]+', '', 'g'))::DOUBLE] AS cs,
-  CASE WHEN cw IS NOT NULL THEN list_transform(cw, lambda c: len(list_filter(ws, lambda x: x = c))::DOUBLE) END AS hs FROM f),
+  CASE WHEN cw IS NOT NULL THEN list_transform(cw, lambda c: len(list_filter(pw, lambda x: x = c))::DOUBLE) END AS hs FROM (SELECT *, list_filter(string_split_regex(translate(lower(t), '{_MARKS}', '{" " * len(quality.MARKS)}'), '[\x20\x09-\x0D]+'), lambda x: list_contains(cw, x)) AS pw FROM f)),
 s AS (SELECT *, CASE WHEN hs IS NOT NULL THEN list_concat(hs, [greatest(n - list_sum(hs), 0)]) END AS qs FROM h),
 p AS (SELECT *, {_SHARES("cs")} AS p, CASE WHEN qs IS NOT NULL THEN {_SHARES("qs")} END AS q FROM s),
 good AS (SELECT lang, p, q FROM p WHERE NOT bf AND enough),
-rp AS (SELECT lang, list(v ORDER BY i) AS rp FROM (SELECT lang, i, avg(p[i]) AS v FROM good, range(1, 8) r(i) GROUP BY ALL) GROUP BY lang),
-rq AS (SELECT lang, list(v ORDER BY i) AS rq FROM (SELECT lang, i, avg(q[i]) AS v FROM good, range(1, 14) r(i) WHERE q IS NOT NULL GROUP BY ALL) GROUP BY lang),
-d AS (SELECT p.*, {_DISTANCE("p", "rp", _PART("p[i]", "rp[i]"), _PART("rp[i]", "p[i]"))} AS dc, {_DISTANCE("q", "rq", _PART("q[i]", "rq[i]"), _PART("rq[i]", "q[i]"))} AS dw FROM p LEFT JOIN rp USING (lang) LEFT JOIN rq USING (lang))
+rp AS (SELECT lang, list(v ORDER BY i) AS rp FROM (SELECT lang, i, sum(round(p[i] * {quality.PARTS})::BIGINT)::DOUBLE / count(p[i]) / {quality.PARTS} AS v FROM good, range(1, 8) r(i) GROUP BY ALL) GROUP BY lang),
+rq AS (SELECT lang, list(v ORDER BY i) AS rq FROM (SELECT lang, i, sum(round(q[i] * {quality.PARTS})::BIGINT)::DOUBLE / count(q[i]) / {quality.PARTS} AS v FROM good, range(1, {quality.WORDS + 2}) r(i) WHERE q IS NOT NULL GROUP BY ALL) GROUP BY lang),
+d AS (SELECT p.*, {_DISTANCE("p", "rp", _PART("p[i]", "rp[i]"), _PART("rp[i]", "p[i]"))} AS dc, {_DISTANCE("q", "rq", _PART("q[i]", "rq[i]"), _PART("rq[i]", "q[i]"))} AS dw FROM p LEFT JOIN rp USING (lang) LEFT JOIN rq USING (lang)),
+x AS (SELECT *, floor(round(coalesce(dc, 0) + coalesce(dw, 0) - {quality.ALLOWANCE} / sqrt(greatest(n, 1)), 9) * {quality.BINS})::BIGINT AS bin FROM d),
+c AS (SELECT lang, bin, sum(count(*)) OVER (PARTITION BY lang ORDER BY bin) AS up_to, sum(count(*)) OVER (PARTITION BY lang) AS every FROM x WHERE NOT bf GROUP BY lang, bin),
+u AS (SELECT lang, min(bin) FILTER (4 * up_to >= 3 * every) AS q3, min(bin) FILTER (4 * up_to >= every) AS q1 FROM c GROUP BY lang)
 SELECT doc_id, n AS n_words, wc AS word_chars, sy AS n_symbols, dl AS n_dup_lines, rw AS n_repeat_words, bf AS base_failed,
-  NOT bf AND NOT (enough AND (coalesce(dc, 0) > {quality.MOST_CHAR_DISTANCE} OR coalesce(dw, 0) > {quality.MOST_WORD_DISTANCE} OR coalesce(dc, 0) + coalesce(dw, 0) > {quality.MOST_SUM})) AS kept, round(dc, 6) AS char_distance, round(dw, 6) AS word_distance FROM d
+  NOT bf AND NOT coalesce(bin > q3 + {quality.FENCE} * (q3 - q1), false) AS kept, round(dc, 6) AS char_distance, round(dw, 6) AS word_distance FROM x LEFT JOIN u USING (lang)
 """
 
 OP10_SQL = r"""

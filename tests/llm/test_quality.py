@@ -61,7 +61,7 @@ def test_divergence_rejects_what_is_unlike_its_language(docs):
     rng = random.Random(1)
     plain = lambda: " ".join(rng.choice(words) + ("," if rng.random() < 0.1 else "") for _ in range(220))
     rows = [(i, plain()) for i in range(40)] + [(100, plain().upper()), (101, " ".join(w + "$$##%%" for w in plain().split())), (102, "XYZ QQQ")]
-    got = {r.doc_id: r for r in quality.quality_verdicts(docs(rows), most_word=0.45).collect()}
+    got = {r.doc_id: r for r in quality.quality_verdicts(docs(rows)).collect()}
     fair = [i for i in range(40) if not got[i].base_failed]
     assert fair and all(got[i].kept for i in fair) and not got[100].kept and not got[101].kept and not got[102].kept
 
