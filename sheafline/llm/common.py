@@ -3,15 +3,13 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import ship
+from ..runtime import shared_folder, ship
 
 #: Rows and bytes of one Arrow batch sent to a Python worker; a single longer row still travels whole.
 BATCH_ROWS, BATCH_BYTES = 1024, 8 << 20
@@ -28,19 +26,8 @@ def arrow_limits(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the one the cluster names, else (tests) one of our own."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named:
-        named = spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="sheafline-")
-        spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
-
-
 def new_path(spark: SparkSession, name: str) -> str:
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = shared_folder(spark, name)
     atexit.register(_remove, spark, path)
     return path
 
@@ -89,17 +76,20 @@ def binary(values: list[bytes]) -> pa.Array:
     return pa.array(values, type=pa.binary())
 
 
-#: Bits of a membership bitmap; it never holds more than FILTER_BITS / 64 rows of one word.
-FILTER_BITS = 1 << 24
+#: Bits of a membership bitmap: BITS_A_KEY for each key, of which at most MOST_BITS / 64 rows of one word are broadcast.
+BITS_A_KEY, MOST_BITS = 8, 1 << 26
 
 
 def with_marks(frame: DataFrame, keys: DataFrame, column: str) -> DataFrame:
-    """frame with `marked`: false only where no row of keys has the same value in the column (a long).
+    """frame with `marked`: false only where no row of keys, a staged table, has the same value in the column (a long).
 
-    The bitmap that is broadcast has at most FILTER_BITS / 64 rows, whatever the input; a full one marks every row, so a
-    marked row still has to be joined.
+    The bitmap grows with the keys; with more than it can hold in its largest size every row is marked, without a
+    bitmap.  A marked row still has to be joined.
     """
-    slot = F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
+    bits = 1 << max(16, (BITS_A_KEY * keys.count() - 1).bit_length())
+    if bits > MOST_BITS:
+        return frame.withColumn("marked", F.lit(True))
+    slot = F.pmod(F.xxhash64(column), F.lit(bits))
     words = keys.select(slot.alias("__slot")).groupBy(F.expr("__slot div 64").alias("__word")).agg(F.expr("bit_or(shiftleft(1L, cast(__slot % 64 as int)))").alias("__bits"))
     placed = frame.withColumn("__slot", slot).withColumn("__word", F.expr("__slot div 64")).join(F.broadcast(words), "__word", "left")
     hit = F.expr("getbit(__bits, cast(__slot % 64 as int)) = 1")

@@ -28,10 +28,11 @@ from .components import connected_components
 from .tokenhash import mix, word_hashes
 
 #: Sketch: registers, base b, scale a and bands.  A band takes as many registers as leave a pair at the threshold a
-#: probability below MOST_MISSED to share none of the bands.
+#: probability below MOST_MISSED to share none of as many independent bands.  The bands take their registers from the
+#: same 128, so the probability is higher: 3e-6 at 0.85 and 5e-7 at 0.8, by simulation.
 REGISTERS, BANDS, BASE, SCALE, MOST_MISSED = 128, 48, 1.02, 16.0, 1e-7
-#: Members of a block of a family.
-BLOCK = 1024
+#: Members of a block of a family, and shingles that they have on average together (8 bytes each).
+BLOCK, BLOCK_SHINGLES = 1024, 2 << 20
 #: A candidate is dropped if its best similarity over the threshold is this much less likely than its best of all.
 LOG_MARGIN = 14.0
 
@@ -200,6 +201,7 @@ def likely(pairs: DataFrame, classes: DataFrame, numerator: int, denominator: in
 
 def sets_of(docs: DataFrame, keys: DataFrame, width: int) -> DataFrame:
     """k1, k2, items: the full shingle sets of the texts that keys(k1, k2, distinct) name; only those are shuffled."""
+    keys = stage(keys, "dup-keys")
     texts = with_marks(keyed(docs), keys, "k1").where("marked").select("k1", "k2", "text")
     # an inner join: Spark would move a semi join before the filter
     texts = texts.groupBy("k1", "k2").agg(F.first("text").alias("text")).join(keys, ["k1", "k2"])
@@ -270,11 +272,15 @@ def cell_links(sets: list[np.ndarray], roots: list, is_open: np.ndarray, numerat
     return out
 
 
-def family_links(docs: DataFrame, named: DataFrame, classes: DataFrame, width: int, numerator: int, denominator: int) -> DataFrame:
-    """named(pivot, fp, root, main), distinct -> links (a, b) that the pivots left open."""
-    size = named.groupBy("pivot").agg(F.count("*").alias("k"), F.count(F.when(F.col("root") != F.col("main"), 1)).alias("open"))
-    blocks = size.where("open > 0 and k > 2").select("pivot", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks"))
-    members = named.join(blocks, "pivot").join(classes.select("fp", "k"), "fp")
+def family_links(docs: DataFrame, named: DataFrame, classes: DataFrame, width: int, numerator: int, denominator: int, block: int, block_shingles: int) -> DataFrame:
+    """named(pivot, fp, root, main), distinct -> links (a, b) that the pivots left open.
+
+    A family has as many blocks as keep both its members and their shingles within the bounds of a block.
+    """
+    named = named.join(classes.select("fp", F.col("k").alias("key"), "n"), "fp")
+    size = named.groupBy("pivot").agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.count(F.when(F.col("root") != F.col("main"), 1)).alias("open"))
+    blocks = size.where("open > 0 and k > 2").select("pivot", F.greatest(F.ceil(F.col("k") / block), F.ceil(F.col("n") / block_shingles)).cast("int").alias("blocks"))
+    members = named.join(blocks, "pivot").withColumnRenamed("key", "k")
     members = stage(members.select("pivot", "fp", "root", "k.k1", "k.k2", "blocks", (F.col("root") != F.col("main")).alias("open"), F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int").alias("block")), "dup-families")
     held = sets_of(docs, members.select("k1", "k2").distinct(), width)
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
@@ -327,7 +333,7 @@ def labelled(docs: DataFrame, width: int, numerator: int, denominator: int) -> D
 
     named = pivoted.select("pivot", "fp").distinct().join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = named.join(roots.select(F.col("node").alias("pivot"), F.col("root").alias("main")), "pivot", "left").withColumn("main", F.coalesce("main", "pivot"))
-    more = stage(family_links(docs, stage(named, "dup-named"), classes, width, numerator, denominator), "dup-links")
+    more = stage(family_links(docs, stage(named, "dup-named"), classes, width, numerator, denominator, BLOCK, BLOCK_SHINGLES), "dup-links")
     if not more.isEmpty():
         roots = connected_components(links.unionByName(more))
     out = sketched.select("doc_id", "k1", "k2", "n_shingles", "fp").join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left")

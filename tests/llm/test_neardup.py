@@ -53,6 +53,35 @@ def test_equals_brute_force(docs, width, numerator):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_many_small_blocks_lose_no_link(docs, monkeypatch):
+    """Families cut by members and by shingles: similar long texts, most of them not linked with the pivot."""
+    monkeypatch.setattr(neardup, "BLOCK", 7)
+    monkeypatch.setattr(neardup, "BLOCK_SHINGLES", 900)
+    rng = random.Random(9)
+    base, texts = [f"w{i}" for i in range(400)], []
+    for i in range(60):  # 60 texts a fifth of which differs from the common one, and a near copy of each third of them
+        words = [f"x{i}_{k}" if rng.random() < 0.055 else w for k, w in enumerate(base)]
+        texts.append(" ".join(words))
+        if i % 3 == 0:
+            texts.append(" ".join(words[:-2]))
+    rows = list(enumerate(texts))
+    got = neardup.near_duplicates(docs(rows)).collect()
+    assert sorted(str((r.doc_id, r.n_shingles, r.component_id)) for r in got) == brute(rows, 5, 80, 100)
+    assert len({r.component_id for r in got}) > 1
+
+
+def test_marks_grow_with_the_keys(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from sheafline.llm import common
+
+    frame, keys = spark.range(5000).withColumnRenamed("id", "k"), common.stage(spark.range(0, 5000, 50).withColumnRenamed("id", "k"), "test-keys")
+    got = common.with_marks(frame, keys, "k")
+    assert got.where((F.col("k") % 50 == 0) & ~F.col("marked")).count() == 0 and got.where("marked").count() < 200
+    monkeypatch.setattr(common, "MOST_BITS", 1 << 10)
+    assert common.with_marks(frame, keys, "k").where("marked").count() == 5000
+
+
 def test_query_equals_sql(spark, small):
     assert rows_of(queries.op5_near_dedup(spark, small).toPandas()) == rows_of(duck(queries.OP5_SQL, small))
 
