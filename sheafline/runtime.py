@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -26,11 +27,16 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path under the folder that driver and executors share; one of our own where the cluster names none."""
-    import uuid
+    """A new path under the folder that driver and executors share.
 
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    A cluster names that folder in spark.checkpoint.dir; only where driver and executors are one machine (local mode, as
+    in tests) is one of our own set instead.
+    """
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not named:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         named = "file://" + tempfile.mkdtemp(prefix="sheafline-")
-        spark.sparkContext.setCheckpointDir(named)
+        context.setCheckpointDir(named)
     return f"{named.rstrip('/')}/{name}-{uuid.uuid4().hex}"
