@@ -74,8 +74,11 @@ def features(docs: DataFrame, carried: list[str]) -> DataFrame:
         symbols.cast("long").alias("__symbols"),
         (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("__dup_lines"),
         known[F.col("__lang")].alias("__common"),
-        F.when(F.size("__words") >= WINDOW, F.transform(F.sequence(F.lit(1), F.size("__words") - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("__words", i, WINDOW)))).otherwise(F.array().cast("array<bigint>")).alias("__hashes"),
+        F.transform("__words", lambda w: F.xxhash64(w)).alias("__hashes"),
     )
+    for k in (1, 2, 4):  # hashes of 2, 4 and 8 words from those of half as many; what is past the end is cut off below
+        three = three.withColumn("__hashes", F.zip_with("__hashes", F.slice("__hashes", F.lit(k + 1), F.size("__hashes")), lambda x, y: F.xxhash64(x, y)))
+    three = three.withColumn("__hashes", F.slice("__hashes", F.lit(1), F.greatest(F.size("__hashes") - (WINDOW - 1), F.lit(0))))
     repeats = F.size(F.array_distinct("__hashes")) < F.size("__hashes")
     four = three.withColumn("__sorted", F.when(repeats, F.sort_array(F.transform("__hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
     s, last = F.col("__sorted"), F.size("__sorted") - 1
@@ -92,8 +95,8 @@ def features(docs: DataFrame, carried: list[str]) -> DataFrame:
     plain = F.array_remove(F.split(F.translate(F.lower("__text"), MARKS, " " * len(MARKS)), f"[{SPACES}]+", -1), "")
     five = five.withColumn("__plain", F.filter(plain, lambda x: F.array_contains("__common", x)))
     n = F.size("__plain")
-    counts = [n - F.size(F.array_remove("__plain", F.get(F.col("__common"), F.lit(k)))) for k in range(WORDS)]
-    hits = F.when(F.col("__common").isNotNull(), F.array(*[x.cast("double") for x in counts]))
+    # one expression for all words: forty of them side by side make generated code that is too long to be compiled
+    hits = F.transform("__common", lambda c: (n - F.size(F.array_remove("__plain", c))).cast("double"))
     return five.select(
         "__doc", "__lang", "__n", "__word_chars", "__symbols", "__dup_lines", F.coalesce(covered, F.lit(0)).cast("long").alias("__repeats"), F.length("__text").alias("__chars"),
         classes.alias("__classes"), hits.alias("__hits"),
