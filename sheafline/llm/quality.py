@@ -66,14 +66,12 @@ def features(docs: DataFrame, carried: list[str]) -> DataFrame:
     symbols = each[0]
     for x in each[1:]:
         symbols = symbols + x
-    known = F.create_map(*[x for k, v in COMMON_WORDS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
     three = two.select(
         "__doc", "__text", "__lang", "__words",
         F.size("__words").cast("long").alias("__n"),
         F.length(F.array_join("__words", "")).cast("long").alias("__word_chars"),
         symbols.cast("long").alias("__symbols"),
         (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("__dup_lines"),
-        known[F.col("__lang")].alias("__common"),
         F.transform("__words", lambda w: F.xxhash64(w)).alias("__hashes"),
     )
     for k in (1, 2, 4):  # hashes of 2, 4 and 8 words from those of half as many; what is past the end is cut off below
@@ -93,10 +91,14 @@ def features(docs: DataFrame, carried: list[str]) -> DataFrame:
         only(F.col("__text"), ".,;:!?'\"()-"), F.col("__symbols"), F.length(F.regexp_replace("__text", "[\\x00-\\x7F]+", "")),
     )])
     plain = F.array_remove(F.split(F.translate(F.lower("__text"), MARKS, " " * len(MARKS)), f"[{SPACES}]+", -1), "")
-    five = five.withColumn("__plain", F.filter(plain, lambda x: F.array_contains("__common", x)))
-    n = F.size("__plain")
+    # common words as their numbers; counting whole numbers costs no object per word
+    numbered = F.lit(None).cast("array<int>")
+    for lang, common in COMMON_WORDS.items():
+        numbered = F.when(F.col("__lang") == lang, F.transform(F.filter(plain, lambda x: x.isin(*common)), lambda x: F.array_position(F.array(*map(F.lit, common)), x).cast("int"))).otherwise(numbered)
+    five = five.withColumn("__numbers", numbered)
     # one expression for all words: forty of them side by side make generated code that is too long to be compiled
-    hits = F.transform("__common", lambda c: (n - F.size(F.array_remove("__plain", c))).cast("double"))
+    counts = F.transform(F.sequence(F.lit(1), F.lit(WORDS)), lambda k: (F.size("__numbers") - F.size(F.array_remove("__numbers", k))).cast("double"))
+    hits = F.when(F.col("__numbers").isNotNull(), counts)
     return five.select(
         "__doc", "__lang", "__n", "__word_chars", "__symbols", "__dup_lines", F.coalesce(covered, F.lit(0)).cast("long").alias("__repeats"), F.length("__text").alias("__chars"),
         classes.alias("__classes"), hits.alias("__hits"),
