@@ -18,10 +18,20 @@ def add_reasons(reasons: Column, more: Column) -> Column:
 
 def typos(subjects: DataFrame, releases: DataFrame, keys: list[str]) -> DataFrame:
     """subjects(keys, word), releases(keys, word): subject words the release doesn't hold but spells one or two letters
-    differently, with the first such word in order.  Candidates meet on the key and the length, and differ little."""
+    differently, with the first such word in order.
+
+    Of three parts of a word with two letters off one is whole, so candidates meet on the key, the length and a part.
+    """
     seen = releases.select(*keys, "word").distinct()
     unseen = subjects.select(*keys, "word").distinct().join(seen, [*keys, "word"], "left_anti").where(F.length("word") >= TYPO_LENGTH)
-    near = unseen.withColumn("n", F.length("word")).join(seen.select(*keys, F.col("word").alias("other"), F.length("word").alias("n")), [*keys, "n"])
+
+    def parted(frame: DataFrame, name: str) -> DataFrame:
+        n = F.length("word")
+        third = F.floor(n / (TYPO_OFF + 1)).cast("int")
+        parts = F.array(*[F.struct(F.lit(k).alias("k"), F.substr("word", third * k + 1, third if k < TYPO_OFF else n).alias("part")) for k in range(TYPO_OFF + 1)])
+        return frame.select(*keys, F.col("word").alias(name), n.alias("n"), F.explode(parts).alias("p"))
+
+    near = parted(unseen, "word").join(parted(seen.where(F.length("word") >= TYPO_LENGTH), "other"), [*keys, "n", "p"])
     off = hamming(F.col("word"), F.col("other"))
     return near.where(off.between(1, TYPO_OFF)).groupBy(*keys, "word").agg(F.min("other").alias("release_word"))
 

@@ -10,18 +10,14 @@ from ..operators import matching, quality, records
 from ..runtime import ship
 from ..sources.tables import table
 
-BLOCKS = 20
-
-
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark passages as entries of an index, each on a day."""
-    tokens = text.subject_tokens(F.substr("text", F.lit(1), F.lit(120)))
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("entry_id"), (F.col("item_id") % BLOCKS).alias("day"), tokens.alias("tokens"))
+    """Benchmark passages as entries of an index."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("entry_id"), text.subject_tokens(F.col("text")).alias("tokens"))
 
 
 def releases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as releases, each on a day."""
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("release_id"), (F.col("doc_id") % BLOCKS).alias("day"), text.subject_tokens(F.col("text")).alias("words"), F.substr("text", F.lit(1), F.lit(200)).alias("body"))
+    """Documents as releases."""
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("release_id"), text.subject_tokens(F.col("text")).alias("words"))
 
 
 TOKENS = """list_transform(list_filter(regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower({0}),
@@ -29,28 +25,28 @@ TOKENS = """list_transform(list_filter(regexp_extract_all(regexp_replace(regexp_
   '([\\p{{L}}\\p{{N}}_])-([\\p{{L}}\\p{{N}}_])', '\\1\\2', 'g'), '([\\p{{L}}\\p{{N}}_])-([\\p{{L}}\\p{{N}}_])', '\\1\\2', 'g'), '[a-z0-9]+'),
   lambda t: len(t) >= 3 AND t NOT IN ('the', 'and', 'for', 'from', 'with', 'new', 'of')), lambda t: CASE WHEN len(t) >= 5 AND suffix(t, 's') AND NOT suffix(t, 'ss') THEN t[:-2] ELSE t END)"""
 SCORES_CTE = f"""
-e AS (SELECT item_id AS entry_id, item_id % 20 AS day, unnest({TOKENS.format("text[1:120]")}) AS token FROM benchmark),
+e AS (SELECT item_id AS entry_id, unnest({TOKENS.format("text")}) AS token FROM benchmark),
 n AS (SELECT count(*) AS n FROM benchmark),
 i AS (SELECT token, ln((n + 1) / (count(DISTINCT entry_id) + 0.5::DOUBLE)) AS idf FROM e, n GROUP BY token, n),
-t AS (SELECT entry_id, day, sum(idf) AS total FROM e JOIN i USING (token) GROUP BY ALL),
-r AS (SELECT DISTINCT doc_id AS release_id, doc_id % 20 AS day, unnest({TOKENS.format("text")}) AS token FROM documents),
-s AS (SELECT release_id, e.entry_id, e.day, sum(idf) / any_value(total) AS score FROM r JOIN e ON e.day = r.day AND e.token = r.token JOIN i ON i.token = e.token JOIN t ON t.entry_id = e.entry_id WHERE total > 0 GROUP BY ALL)
+t AS (SELECT entry_id, sum(idf) AS total FROM e JOIN i USING (token) GROUP BY ALL),
+r AS (SELECT DISTINCT doc_id AS release_id, unnest({TOKENS.format("text")}) AS token FROM documents),
+s AS (SELECT release_id, e.entry_id, sum(idf) / any_value(total) AS score FROM r JOIN e ON e.token = r.token JOIN i ON i.token = e.token JOIN t ON t.entry_id = e.entry_id WHERE total > 0 GROUP BY ALL)
 """
 
 
 def idf_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weighted share of each entry's words that a release of its day holds."""
-    scores = matching.exact_scores(releases(spark, sf_dir), entries(spark, sf_dir), ["day"])
-    return scores.select("release_id", "entry_id", "day", F.round("score", 6).alias("score"))
+    """Weighted share of each entry's words that a release holds, of all pairs that matter to a claim."""
+    scores = matching.exact_scores(releases(spark, sf_dir), entries(spark, sf_dir), [])
+    return scores.select("release_id", "entry_id", F.round("score", 6).alias("score"))
 
 
-IDF_SQL = f"WITH {SCORES_CTE} SELECT release_id, entry_id, day, round(score, 6) AS score FROM s"
+IDF_SQL = f"WITH {SCORES_CTE} SELECT release_id, entry_id, round(score, 6) AS score FROM s WHERE score >= 0.3 - 1e-9"
 
 
 def match_day_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entries that releases of their day clearly point to; several releases may share one."""
-    scores = matching.exact_scores(releases(spark, sf_dir), entries(spark, sf_dir), ["day"]).withColumn("score", F.round("score", 9))
-    return matching.claims(scores, ["day"]).select("release_id", "entry_id", F.round("score", 6).alias("score"), "shared")
+    """Entries that releases clearly point to; several releases may share one."""
+    scores = matching.exact_scores(releases(spark, sf_dir), entries(spark, sf_dir), []).withColumn("score", F.round("score", 9))
+    return matching.claims(scores, []).select("release_id", "entry_id", F.round("score", 6).alias("score"), "shared")
 
 
 CLAIMS_SQL = f"""WITH {SCORES_CTE},
@@ -61,13 +57,14 @@ SELECT release_id, entry_id, round(score, 6) AS score, count(*) OVER (PARTITION
 
 
 def unmatched_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries that no release claims."""
     claimed = match_day_claims(spark, sf_dir)
-    return entries(spark, sf_dir).join(claimed, "entry_id", "left_anti").select("entry_id", "day")
+    return entries(spark, sf_dir).join(claimed, "entry_id", "left_anti").select("entry_id")
 
 
 UNMATCHED_SQL = f"""WITH {SCORES_CTE},
 k AS (SELECT release_id, entry_id, round(score, 9) AS score, row_number() OVER w AS k, coalesce(lead(round(score, 9)) OVER w, 0) AS second FROM s WINDOW w AS (PARTITION BY release_id ORDER BY round(score, 9) DESC, entry_id))
-SELECT item_id AS entry_id, item_id % 20 AS day FROM benchmark WHERE item_id NOT IN (SELECT entry_id FROM k WHERE k = 1 AND score >= 0.5 AND score - second >= 0.2)
+SELECT item_id AS entry_id FROM benchmark WHERE item_id NOT IN (SELECT entry_id FROM k WHERE k = 1 AND score >= 0.5 AND score - second >= 0.2)
 """
 
 
@@ -80,16 +77,16 @@ def match_folder_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_day_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of orders of a block of customers at most a day apart: an interval join by equi-joins on days."""
-    orders = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 50).alias("block"), "o_orderkey", F.col("o_orderdate").cast("date").alias("day"))
-    right = orders.select("block", F.col("o_orderkey").alias("other_key"), F.col("day").alias("other_day"))
-    pairs = matching.near_days(orders, right, ["block"], "day", "other_day")
+    """Pairs of a customer's orders at most thirty days apart: an interval join by equi-joins on days."""
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.col("o_orderdate").cast("date").alias("day"))
+    right = orders.select("o_custkey", F.col("o_orderkey").alias("other_key"), F.col("day").alias("other_day"))
+    pairs = matching.near_days(orders, right, ["o_custkey"], "day", "other_day", 30)
     return pairs.where("o_orderkey < other_key").select("o_orderkey", "other_key", F.abs(F.datediff("day", "other_day")).cast("long").alias("days_apart"))
 
 
 NEAR_SQL = """
 SELECT a.o_orderkey, b.o_orderkey AS other_key, abs(a.o_orderdate::DATE - b.o_orderdate::DATE)::BIGINT AS days_apart FROM orders a
-JOIN orders b ON a.o_custkey % 50 = b.o_custkey % 50 AND a.o_orderkey < b.o_orderkey AND abs(a.o_orderdate::DATE - b.o_orderdate::DATE) <= 1
+JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderkey < b.o_orderkey AND abs(a.o_orderdate::DATE - b.o_orderdate::DATE) <= 30
 """
 
 
@@ -107,60 +104,61 @@ g AS (SELECT o, min(doc_id) AS first_doc, count(*) AS copies FROM d GROUP BY o H
 
 
 def entry_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of each entry's start with one letter of every third one changed, on the entry's day."""
-    w = table(spark, sf_dir, "benchmark").select((F.col("item_id") % BLOCKS).alias("day"), F.posexplode(F.regexp_extract_all(F.lower(F.substr("text", F.lit(1), F.lit(200))), F.lit("([a-z]+)"), F.lit(1))).alias("i", "w"))
+    """Words of all entries with one letter of every third one changed."""
+    w = table(spark, sf_dir, "benchmark").select(F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1))).alias("i", "w"))
     changed = F.concat(F.translate(F.substr("w", F.lit(1), F.lit(1)), "abcdefghijklmnopqrstuvwxyz", "zabcdefghijklmnopqrstuvwxy"), F.substr("w", F.lit(2)))
-    return w.select("day", F.when(F.col("i") % 3 == 0, changed).otherwise(F.col("w")).alias("word"))
+    return w.select(F.when(F.col("i") % 3 == 0, changed).otherwise(F.col("w")).alias("word"))
 
 
 def release_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").where("lang = 'en'").select((F.col("doc_id") % BLOCKS).alias("day"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1)))).alias("word"))
+    return table(spark, sf_dir, "documents").select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1)))).alias("word"))
 
 
 WORDS_CTE = """
-p AS (SELECT item_id % 20 AS day, regexp_extract_all(lower(text[1:200]), '[a-z]+') AS w FROM benchmark),
-q AS (SELECT day, unnest(range(len(w))) AS i, unnest(w) AS w FROM p),
-sw AS (SELECT DISTINCT day, CASE WHEN i % 3 = 0 THEN translate(w[1], 'abcdefghijklmnopqrstuvwxyz', 'zabcdefghijklmnopqrstuvwxy') || w[2:] ELSE w END AS word FROM q),
-rw AS (SELECT DISTINCT doc_id % 20 AS day, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents WHERE lang = 'en')
+p AS (SELECT regexp_extract_all(lower(text), '[a-z]+') AS w FROM benchmark),
+q AS (SELECT unnest(range(len(w))) AS i, unnest(w) AS w FROM p),
+sw AS (SELECT DISTINCT CASE WHEN i % 3 = 0 THEN translate(w[1], 'abcdefghijklmnopqrstuvwxyz', 'zabcdefghijklmnopqrstuvwxy') || w[2:] ELSE w END AS word FROM q),
+rw AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents)
 """
 
 
 def subject_typos(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.typos(entry_words(spark, sf_dir), release_words(spark, sf_dir), ["day"])
+    """Entry words that no release holds but one spells a letter or two differently."""
+    return quality.typos(entry_words(spark, sf_dir), release_words(spark, sf_dir), [])
 
 
 TYPOS_SQL = f"""WITH {WORDS_CTE},
-u AS (SELECT * FROM sw WHERE len(word) >= 5 AND NOT EXISTS (SELECT 1 FROM rw WHERE rw.day = sw.day AND rw.word = sw.word))
-SELECT u.day, u.word, min(rw.word) AS release_word FROM u JOIN rw ON rw.day = u.day AND len(rw.word) = len(u.word) AND hamming(u.word, rw.word) BETWEEN 1 AND 2 GROUP BY ALL
+u AS (SELECT * FROM sw WHERE len(word) >= 5 AND NOT EXISTS (SELECT 1 FROM rw WHERE rw.word = sw.word))
+SELECT u.word, min(rw.word) AS release_word FROM u JOIN rw ON len(rw.word) = len(u.word) AND hamming(u.word, rw.word) BETWEEN 1 AND 2 GROUP BY ALL
 """
 
 
 def subject_doubts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Subject words no release of the day holds that were read weakly or contradicted."""
+    """Entry words no release holds that were read weakly or contradicted."""
     n = F.length("word") + F.ascii("word")
     words = entry_words(spark, sf_dir).distinct().withColumns({"conf": (F.lit(70) + n % 30).cast("double"), "also": F.when(n % 3 == 0, True).when(n % 3 == 1, False)})
-    return quality.doubts(words, release_words(spark, sf_dir), ["day"])
+    return quality.doubts(words, release_words(spark, sf_dir), [])
 
 
 DOUBTS_SQL = f"""WITH {WORDS_CTE}
-SELECT day, word FROM sw WHERE (70 + (len(word) + ascii(word)) % 30 < 85 OR (len(word) + ascii(word)) % 3 = 1) AND NOT EXISTS (SELECT 1 FROM rw WHERE rw.day = sw.day AND rw.word = sw.word)
+SELECT word FROM sw WHERE (70 + (len(word) + ascii(word)) % 30 < 85 OR (len(word) + ascii(word)) % 3 = 1) AND NOT EXISTS (SELECT 1 FROM rw WHERE rw.word = sw.word)
 """
 
 
 def unknown_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Subject words that are neither named by a release of the day nor common in the corpus."""
+    """Entry words that no release names and that are not common in the corpus."""
     docs = table(spark, sf_dir, "documents")
     counts = docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     frequency = counts.select("word", text.zipf(F.col("n"), counts.agg(F.sum("n")).scalar()).alias("zipf"))
-    names = docs.select((F.col("doc_id") % BLOCKS).alias("day"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"([A-Z][a-z]+)"), F.lit(1)))).alias("word")).withColumn("word", F.lower("word"))
-    return quality.unknown(entry_words(spark, sf_dir).distinct(), names, frequency, ["day"])
+    names = docs.select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"([A-Z][a-z]+)"), F.lit(1)))).alias("word")).withColumn("word", F.lower("word"))
+    return quality.unknown(entry_words(spark, sf_dir).distinct(), names, frequency, [])
 
 
 UNKNOWN_SQL = f"""WITH {WORDS_CTE},
 c AS (SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents) GROUP BY 1),
 z AS (SELECT word, log10(n * 1e9 / (SELECT sum(n) FROM c)) AS zipf FROM c),
-nm AS (SELECT DISTINCT doc_id % 20 AS day, lower(unnest(regexp_extract_all(text, '[A-Z][a-z]+'))) AS word FROM documents)
-SELECT day, word FROM (SELECT sw.day, sw.word, coalesce(zipf, 0) AS zipf FROM sw LEFT JOIN z ON z.word = sw.word WHERE NOT EXISTS (SELECT 1 FROM nm WHERE nm.day = sw.day AND nm.word = sw.word))
+nm AS (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[A-Z][a-z]+'))) AS word FROM documents)
+SELECT word FROM (SELECT sw.word, coalesce(zipf, 0) AS zipf FROM sw LEFT JOIN z ON z.word = sw.word WHERE NOT EXISTS (SELECT 1 FROM nm WHERE nm.word = sw.word))
 WHERE len(word) >= 4 AND zipf = 0 OR len(word) >= 3 AND zipf < 3
 """
 
