@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import days, layout, listing, paging
+from ..operators import columns, days, layout, listing, paging
+from ..operators.layout import HEADER_CUE, NON_BODY
 from ..runtime import ship
-from ..sources.tables import line_words, page_lines, table
+from ..sources.tables import CHAR_PX, LEFT_PX, LINE_PX, PITCH_PX, TOP_PX, placed_words, table
 
 
 def cued_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,10 +20,6 @@ def cued_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.concat(F.array(head), F.split("text", "\n"), F.array(foot)).alias("lines"))
 
 
-HEADER_CUE = r"(?i)\bfor\s+(?:immediate\s+)?release\b|\bimmediate\s+release\b|\brelease\s+date\b|\bembargo"
-NON_BODY = r"(?i)\b(?:contact|phone|telephone|tel\.|fax|e-?mail)\b|for more information|www\.|https?://|@"
-
-
 def page_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each page's head and foot say about where releases begin and end; row-wise, no shuffle."""
     pages = cued_pages(spark, sf_dir)
@@ -161,15 +155,17 @@ SELECT doc_id, len(l) AS long_lines, coalesce(a[len(a) // 2 + 1], 0) AS line_cha
 
 
 def words_in_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words whose centre lies in a layout block of their page: an equi-join on the page with a range condition."""
-    docs = table(spark, sf_dir, "documents")
-    words = line_words(page_lines(docs))
+    """Words whose centre lies in a layout block of their page.  Pages and their blocks are one row: only the lines at a
+    block's height are taken apart, and nothing is shuffled."""
     k = F.col("doc_id")
-    box = lambda n, x0, y0, x1, y1: F.struct(F.lit(n).alias("region"), (x0 + k % 7 * 10).alias("x0"), (F.lit(y0) + k % 3 * 60).alias("y0"), (F.lit(x1) + k % 11 * 40).alias("x1"), (F.lit(y1) + k % 5 * 120).alias("y1"))
-    regions = docs.select(k.alias("page"), F.explode(F.array(box(1, 100, 100, 700, 200), box(2, 400, 160, 2000, 800))).alias("r")).select("page", "r.region", *[F.col(f"r.{c}").alias(f"r{c}") for c in ("x0", "y0", "x1", "y1")])
-    cx, cy = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
-    inside = words.join(regions, "page").where(cx.between(F.col("rx0"), F.col("rx1")) & cy.between(F.col("ry0"), F.col("ry1")))
-    return inside.groupBy("page", "region").agg(F.count("*").alias("n_words"), F.min(F.struct("line", "word", "text"))["text"].alias("first_word"))
+    box = lambda n, x0, y0, x1, y1: F.struct(F.lit(n).alias("region"), (x0 + k % 7 * 10).alias("x0"), (y0 + k % 3 * 60).alias("y0"), (x1 + k % 11 * 40).alias("x1"), (y1 + k % 5 * 120).alias("y1"))
+    pages = table(spark, sf_dir, "documents").select(k.alias("page"), F.split("text", "\n").alias("lines"), F.explode(F.array(box(1, 100, 100, 700, 200), box(2, 400, 160, 2000, 800))).alias("r"))
+    centre = TOP_PX + LINE_PX / 2
+    top = F.greatest(F.ceil((F.col("r.y0") - centre) / PITCH_PX), F.lit(0)).cast("int")
+    low = F.floor((F.col("r.y1") - centre) / PITCH_PX).cast("int")
+    middle = lambda w: LEFT_PX + CHAR_PX * (w["c0"] + F.length(w["text"]) / 2)
+    held = F.flatten(F.transform(F.slice("lines", top + 1, F.greatest(low - top + 1, F.lit(0))), lambda t: F.filter(placed_words(t), lambda w: middle(w).between(F.col("r.x0"), F.col("r.x1")))))
+    return pages.select("page", "r.region", held.alias("held")).where(F.size("held") > 0).select("page", "region", F.size("held").cast("long").alias("n_words"), F.col("held")[0]["text"].alias("first_word"))
 
 
 REGIONS_SQL = r"""
@@ -237,58 +233,71 @@ SELECT doc_id, array_to_string(list_reverse(CASE WHEN s > 0 THEN a[1:s - 1] ELSE
 """
 
 
-def vote_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four readings of each customer's order days, voted per spot with a cost for going back."""
-    ship(spark)
-    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("folder"), F.col("o_orderkey").alias("key"), F.dayofmonth("o_orderdate").alias("day"))
+def list_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each customer's orders in key order as a list page: their days, priorities and keys."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("folder"), F.struct(F.col("o_orderkey").alias("key"), F.dayofmonth("o_orderdate").alias("day"), F.col("o_orderpriority").alias("subject")).alias("o"))
+    return rows.groupBy("folder").agg(F.array_sort(F.collect_list("o")).alias("orders"))
 
-    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("key").reset_index(drop=True)
-        reads = [[days.Word(str(d % 10 if (k + r) % 4 == 0 and d > 9 else d), 90.0 - r, 150.0, 100.0 + 60 * i, 174.0, 130.0 + 60 * i) for i, (k, d) in enumerate(zip(frame.key, frame.day)) if (k + r) % 5] for r in range(4)]
-        chosen = days.vote_days(reads)
-        return pd.DataFrame({"folder": [key[0]] * len(chosen), "spot": range(len(chosen)), "day": [int(w.text) for w in chosen]})
 
-    return rows.groupBy("folder").applyInPandas(run, "folder long, spot long, day long")
+def day_reads(readers: int):
+    """Readings of a page's days: by the key a reader misses one or reads its last digit alone."""
+    read = lambda r: F.filter(F.transform("orders", lambda o, i: F.when((o["key"] + r) % 5 != 0, F.struct(
+        F.when(((o["key"] + r) % 4 == 0) & (o["day"] > 9), o["day"] % 10).otherwise(o["day"]).cast("string").alias("text"), F.lit(90.0 - r).alias("conf"), F.lit(150.0).alias("x0"), (100.0 + 60 * i).alias("y0"), F.lit(174.0).alias("x1"), (130.0 + 60 * i).alias("y1"), F.lit(r).alias("reader"),
+    ))), lambda w: w.isNotNull())
+    return F.flatten(F.array(*[read(r) for r in range(readers)]))
 
 
-def wrapped_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of each page as list rows: undated lines that continue the entry above are joined to it."""
-    ship(spark)
+def vote_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four readings of each customer's order days, voted per spot with a cost for going back."""
+    voted = list_pages(spark, sf_dir).select("folder", F.posexplode(days.vote_days(day_reads(4))).alias("spot", "w"))
+    return voted.select("folder", F.col("spot").cast("long").alias("spot"), F.col("w.text").cast("long").alias("day"))
+
+
+def days_beside_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One reading of each customer's days put beside the subjects of the page, which stand a little lower; rows that got
+    none and their cells in the column."""
+    subjects = F.transform("orders", lambda o, i: F.transform(F.split(o["subject"], " "), lambda t, k: F.struct(t.alias("text"), F.lit(95.0).alias("conf"), (260.0 + 100 * k).alias("x0"), (104.0 + 60 * i).alias("y0"), (340.0 + 100 * k).alias("x1"), (134.0 + 60 * i).alias("y1"))))
+    found = F.transform(day_reads(1), lambda w: F.struct(*[w[c].alias(c) for c in ("text", "conf", "x0", "y0", "x1", "y1")]))
+    pages = list_pages(spark, sf_dir).select("folder", "orders", subjects.alias("rows"), found.alias("found")).withColumn("rows", days.pair_days(F.col("rows"), F.col("found")))
+    column = F.struct(F.lit(200.0).alias("x1"), F.lit(0.0).alias("y0"), F.lit(1e9).alias("y1"))
+    made = pages.withColumn("cells", F.size(columns.missing_days(F.col("rows"), column)))
+    each = made.select("folder", "cells", F.posexplode(F.arrays_zip("rows", "orders")).alias("i", "x"))
+    day = F.when(days.is_day(F.col("x.rows")[0]), F.col("x.rows")[0]["text"].cast("long"))
+    return each.select("folder", F.col("x.orders.key").alias("o_orderkey"), F.coalesce(day, F.lit(0)).cast("long").alias("day"), F.col("cells").cast("long").alias("cells"))
+
+
+BESIDE_SQL = """
+WITH o AS (SELECT o_custkey AS folder, o_orderkey, day(o_orderdate) AS d FROM orders),
+r AS (SELECT *, CASE WHEN o_orderkey % 5 = 0 THEN 0 WHEN o_orderkey % 4 = 0 AND d > 9 THEN d % 10 ELSE d END AS day, o_orderkey % 5 = 0 AS missed FROM o)
+SELECT folder, o_orderkey, day::BIGINT AS day, (sum(missed::INT) OVER (PARTITION BY folder))::BIGINT AS cells FROM r
+"""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for page, texts in zip(frame.page, frame.lines):
-                rows = [{"top": 100 + 50 * i - 20 * (i % 3 == 2), "start": 260.0 + 30 * (i % 3 == 2), "end": 260.0 + 12 * min(len(t), 60), "dated": i % 3 != 2, "subject": t} for i, t in enumerate(texts)]
-                joined = days.join_wraps(rows, 30.0)
-                out.append((page, len(texts), len(joined)))
-            yield pd.DataFrame(out, columns=["page", "n_lines", "n_entries"])
 
-    pages = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page"), F.split("text", "\n").alias("lines"))
-    return pages.mapInPandas(run, "page long, n_lines long, n_entries long")
+def wrapped_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of each page as rows of a list: undated lines that continue the entry above are joined to it."""
+    row = lambda t, i: F.struct((100.0 + 50 * i - F.when(i % 3 == 2, 20).otherwise(0)).alias("top"), (260.0 + F.when(i % 3 == 2, 30).otherwise(0)).alias("start"), (260.0 + 12 * F.least(F.length(t), F.lit(60))).alias("end"), (i % 3 != 2).alias("dated"), t.alias("subject"))
+    pages = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page"), F.transform(F.split("text", "\n"), row).alias("rows"))
+    return pages.select("page", F.posexplode(days.join_wraps(F.col("rows"), F.lit(30.0))).alias("entry", "subject")).withColumn("entry", F.col("entry").cast("long"))
 
 
-def body_start(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document as a typed page with a header and an indented body: where the body begins, and with which doubt."""
-    ship(spark)
+def typed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document as a typed page with a header and a body, its third line set in by five characters."""
     k = F.col("doc_id")
     head = F.element_at(F.array(*map(F.lit, ["FOR IMMEDIATE RELEASE", "Contact: the office, phone 555", "TOWN, N.Y. -- ", "TOWN, N.Y. "])), (k % 4 + 1).cast("int"))
-    pages = table(spark, sf_dir, "documents").select(k.alias("page"), F.concat(F.array(F.lit("News Office")), F.when(k % 4 < 2, F.concat(F.array(head), F.split("text", "\n"))).otherwise(F.split(F.concat(head, "text"), "\n"))).alias("lines"))
+    texts = F.concat(F.array(F.lit("News Office")), F.when(k % 4 < 2, F.concat(F.array(head), F.split("text", "\n"))).otherwise(F.split(F.concat(head, "text"), "\n")))
+    pages = table(spark, sf_dir, "documents").select(k.alias("page"), texts.alias("texts"))
+    return pages.select("page", layout.typed_lines(F.col("texts"), lambda i: LEFT_PX + F.when(i == 2, 5 * CHAR_PX).otherwise(0)).alias("lines"))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for page, texts in zip(frame.page, frame.lines):
-                rows = [layout.typed_row(t, 100 + 12 * (5 if i == 2 else 0), 100 + 60 * i) for i, t in enumerate(texts) if t.split()]
-                start = layout.find_body(rows)
-                out.append((page, -1, -1, "could not find the article body") if start is None else (page, start.line, start.word, " | ".join(start.flags)))
-            yield pd.DataFrame(out, columns=["page", "line", "word", "flags"])
 
-    return pages.mapInPandas(run, "page long, line long, word long, flags string")
+def body_start(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the body of each page begins, and with which doubt; row-wise, no shuffle."""
+    found = layout.starts(layout.with_facts(typed_pages(spark, sf_dir)))
+    at = lambda c: F.coalesce(F.col(f"start.{c}"), F.lit(-1)).cast("long")
+    return found.select("page", at("line").alias("line"), at("word").alias("word"), F.coalesce("start.flag", F.lit(layout.NOT_FOUND)).alias("flags"))
 
 
 QUERIES = {
-    "body_start": (body_start, None),
+    "body_start": (body_start, None), "days_beside_rows": (days_beside_rows, BESIDE_SQL),
     "page_signals": (page_signals, SIGNALS_SQL), "group_pages": (group_pages, GROUP_SQL), "group_pages_by_slug": (group_pages_by_slug, None), "list_dates_filled": (list_dates_filled, FILLED_SQL),
     "ordered_days": (ordered_days, ORDERED_SQL), "list_year": (list_year, YEAR_SQL), "list_rows": (list_rows, LIST_ROWS_SQL), "line_geometry": (line_geometry, GEOMETRY_SQL), "words_in_regions": (words_in_regions, REGIONS_SQL),
     "split_dashes": (split_dashes, DASHES_SQL), "body_words_dehyphenated": (body_words_dehyphenated, BODY_SQL), "find_slug": (find_slug, SLUG_SQL), "vote_days": (vote_days, None), "wrapped_subjects": (wrapped_subjects, None),

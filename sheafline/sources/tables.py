@@ -15,6 +15,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def placed_words(text: Column) -> Column:
+    """Words of a line as structs of text and c0, the character they begin at when one space parts them."""
+    kind = "array<struct<text:string,c0:int>>"
+    step = lambda a, t: F.struct((a["at"] + F.length(t) + 1).alias("at"), F.concat(a["out"], F.array(F.struct(t.alias("text"), a["at"].alias("c0")))).alias("out"))
+    return F.aggregate(F.array_remove(F.split(text, r"\s+"), ""), F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out")), step, lambda a: a["out"])
+
+
 def page_lines(docs: DataFrame) -> DataFrame:
     """(page, line, text, lang): each document is a page, each line break starts a line; narrow, no shuffle."""
     return docs.select(F.col("doc_id").alias("page"), "lang", F.posexplode(F.split("text", "\n")).alias("line", "text"))
@@ -22,12 +29,7 @@ def page_lines(docs: DataFrame) -> DataFrame:
 
 def line_words(lines: DataFrame) -> DataFrame:
     """(page, line, word, text, x0, y0, x1, y1) with boxes on the typed page."""
-    tokens = F.array_remove(F.split("text", r"\s+"), "")
-    boxed = F.aggregate(
-        tokens, F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<text:string,c0:int>>").alias("out")),
-        lambda a, t: F.struct((a["at"] + F.length(t) + 1).alias("at"), F.concat(a["out"], F.array(F.struct(t.alias("text"), a["at"].alias("c0")))).alias("out")),
-    )["out"]
-    flat = lines.select("page", "line", F.posexplode(boxed).alias("word", "w"))
+    flat = lines.select("page", "line", F.posexplode(placed_words(F.col("text"))).alias("word", "w"))
     x0 = F.lit(LEFT_PX) + F.col("w.c0") * CHAR_PX
     y0 = F.lit(TOP_PX) + F.col("line") * PITCH_PX
     return flat.select("page", "line", "word", F.col("w.text").alias("text"), x0.alias("x0"), y0.alias("y0"), (x0 + F.length("w.text") * CHAR_PX).alias("x1"), (y0 + LINE_PX).alias("y1"))

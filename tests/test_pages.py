@@ -3,8 +3,7 @@ import itertools
 import pytest
 from pyspark.sql import functions as F
 
-from sheafline.operators import days, layout, listing, matching, paging
-from sheafline.operators.days import Row, Word
+from sheafline.operators import listing, matching, paging
 
 FIELDS = "folder long, seq long, starts boolean, cont boolean, more boolean, ends boolean"
 
@@ -47,66 +46,6 @@ def test_slug_rule(spark):
     assert [r.release_id for r in got] == [1, 1, 2, 1, 1] and got[2].flag == paging.OTHER_SLUG
 
 
-def day(text, y, x=150.0, conf=96.0, height=30.0):
-    return Word(text, conf, x, y, x + 12 * len(text), y + height)
-
-
-def test_day_vote():
-    column = lambda *texts: [day(t, 100.0 + 60 * i) for i, t in enumerate(texts) if t]
-    reads = [column("14", "15", "5", "15", "16"), column("14", "45", "15", "15", "16"), column("14", "15", "15", "25", "16"), column("14", "15", "15", "", "16")]
-    assert [w.text for w in days.vote_days(reads)] == ["14", "15", "15", "15", "16"]
-    assert days.vote_days([]) == [] and days.vote_days([column("99")]) == []
-
-
-def test_days_go_to_their_rows():
-    rows = [layout.typed_row(t, 260, 100 + 60 * i) for i, t in enumerate(["Gift of books", "#514 Photographic show", "Tennis match today"])]
-    rows[1] = layout.typed_row("#514 Photographic show here", 100, 160)
-    made = days.pair_days(rows, [day("3", 104.0), day("9", 224.0), day("1", 400.0, height=90.0)], (0, 0, 200, 1000))
-    assert [r.words[0].text for r in made] == ["3", "514", "9"]
-
-
-def test_wraps():
-    row = lambda subject, top, dated, start=260.0, end=700.0: {"top": top, "start": start, "end": end, "dated": dated, "subject": subject}
-    rows = [row("Manage-", 100, True), row("ment Seminar.", 140, False), row("Short", 200, True, end=320.0), row("Own entry", 290, False), row("Next", 380, True)]
-    assert [r["subject"] for r in days.join_wraps(rows, 30.0)] == ["Management Seminar.", "Short", "Own entry", "Next"]
-
-
-def test_pieces_of_a_row():
-    left, right, speck = layout.typed_row("one two", 100, 100), layout.typed_row("three", 400, 104), Row([Word(".", 20.0, 50, 300, 55, 330)])
-    assert [r.text for r in days.merge_pieces([right, left, speck])] == ["one two three"]
-    noise = Row([Word("x", 30.0, 0, 100, 5, 130), *layout.typed_row("the line", 300, 100).words])
-    assert days.merge_pieces([noise])[0].text == "the line"
-
-
-def page(*lines):
-    return [layout.typed_row(t.lstrip("~"), 100 + 12 * 5 * t.startswith("~"), 100 + 60 * i) for i, t in enumerate(lines)]
-
-
-PROSE = ["the college will open a new library for all of its students", "and their friends in the spring of the year, it was said today", "by the office that runs the place and all of the other places"]
-
-
-def test_body_start():
-    assert (lambda s: (s.line, s.word, s.flags))(layout.find_body(page("NEWS", "TOWN, N.Y. -- The college will open a new library", *PROSE))) == (1, 3, [])
-    assert layout.find_body(page("NEWS", "TOWN, N.Y. The college will open a new library", *PROSE)).flags == [layout.NO_DASH]
-    indented = layout.find_body(page("FOR IMMEDIATE RELEASE", "Contact: phone 555", "~" + PROSE[0], *PROSE))
-    assert (indented.line, indented.flags) == (2, [])
-    assert layout.find_body(page("NEWS", "CONTACT")) is None
-    guessed = layout.find_body(page("NEWS", PROSE[0]))
-    assert guessed.line == 1 and guessed.flags == [layout.GUESSED]
-
-
-def test_align_start():
-    mine, theirs = page("NEWS", "TOWN -- The college opens"), layout.typed_row("TOWN -- The college opens", 100, 164)
-    assert layout.align_start(mine, theirs, 2).word == 2
-    assert layout.align_start(page("NEWS", "qqqq ww eee rrrr"), theirs, 2).flags == [layout.POSITION_ONLY]
-    assert layout.align_start(page("NEWS"), layout.typed_row("x", 0, 900), 0) is None
-
-
-def test_segments_become_lines():
-    segments = [Word("two words", 90.0, 300, 102, 408, 132), Word("one", 90.0, 100, 100, 136, 130), Word("below", 90.0, 100, 160, 160, 190)]
-    assert [r.text for r in layout.cluster_segments(segments)] == ["one two words", "below"]
-
-
 def test_list_dates(spark):
     rows = [(1, 1, "1970-11-09"), (1, 2, None), (1, 3, "1970-11-08"), (1, 4, "1970-11-10"), (2, 1, None)]
     frame = spark.createDataFrame(rows, "folder int, n int, d string").withColumn("date", F.to_date("d"))
