@@ -128,3 +128,15 @@ def pick_release_date(candidates, page: str = "page", line: str = "line", dateli
     picked = best.select(page, F.col("c.iso").alias("iso"), F.array_compact(F.concat("c.flags", F.array(told))).alias("flags"))
     missing = F.array(F.lit("no date found above the article body"))
     return candidates.select(page).distinct().join(picked, page, "left").select(page, "iso", F.coalesce("flags", missing).alias("flags"))
+
+
+def norm_date(typed: Column, today_year: int) -> Column:
+    """A typed date in ISO form: a day or a month as it stands, else the first date read in it, else the text itself."""
+    bare = F.trim(typed)
+    return F.when(bare.rlike(r"^\d{4}-\d{2}(-\d{2})?$"), bare).otherwise(F.coalesce(F.get(parse_dates(bare, today_year), F.lit(0))["iso"], bare))
+
+
+def valid_iso(typed: Column) -> Column:
+    """Is this a day or a month of the calendar, as yyyy-MM-dd or yyyy-MM?"""
+    day = F.when(F.length(typed) == 7, F.concat(typed, F.lit("-01"))).otherwise(typed)
+    return F.coalesce(typed.rlike(r"^\d{4}-\d{2}(-\d{2})?$") & F.try_to_date(day, "yyyy-MM-dd").isNotNull(), F.lit(False))

@@ -222,3 +222,13 @@ def is_unfinished(text: Column) -> Column:
     bare = F.rtrim(text)
     count = lambda c: F.length(bare) - F.length(F.regexp_replace(bare, c, ""))
     return (bare.endswith("-") & ~bare.endswith("--")) | (count("[(]") > count("[)]")) | (count('["“”]') % 2 == 1)
+
+
+def letters_only(text: Column) -> Column:
+    """Lower case, with letters a to z and spaces only."""
+    return F.regexp_replace(F.lower(text), "[^a-z ]", "")
+
+
+def single_spaced(text: Column) -> Column:
+    """Words with one space between them."""
+    return F.array_join(words(text), " ")

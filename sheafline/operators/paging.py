@@ -100,3 +100,28 @@ def group_with_slugs(pages: DataFrame) -> DataFrame:
 
     sorted_pages = pages.repartition("folder").sortWithinPartitions("folder", "seq")
     return sorted_pages.select("folder", "seq", "starts", "cont", "more", "ends", "tag", "words").mapInPandas(run, GROUPED)
+
+
+# The narrowest page that reads well, and how far a language has to lead to be read instead of English.
+LEAST_WIDTH, LEAST_LEAD = 1500, 2.0
+
+
+def low_resolution(width: Column) -> Column:
+    """A reason for narrow pages, else null."""
+    return F.when(width < LEAST_WIDTH, F.concat(F.lit("low-resolution page ("), width.cast("string"), F.lit("px wide); a closer photo would be more reliable")))
+
+
+def reading_language(detected: Column, lead: Column, known: list[str]) -> tuple[Column, Column]:
+    """The language to read in, English unless a known one leads clearly, and a reason where one leads weakly."""
+    other = (F.coalesce(detected, F.lit("")) != "") & (detected != "en")
+    clear = other & (lead >= LEAST_LEAD) & detected.isin(known)
+    doubt = F.concat(F.lit("text may be non-English (weak signal for '"), detected, F.lit("'); read as English"))
+    return F.when(clear, detected).otherwise(F.lit("en")), F.when(other & ~clear, doubt)
+
+
+def leading_lists(pages: DataFrame, file: str, seq: str) -> DataFrame:
+    """pages(file, seq, is_list, has_release) -> with kind.  Lists come before the releases of a file: a page taken for
+    one after a release is the release that its other reading shows, if it has one."""
+    before = Window.partitionBy(file).orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
+    late = F.coalesce(F.max(~F.col("is_list")).over(before), F.lit(False))
+    return pages.withColumn("kind", F.when(F.col("is_list") & ~(late & F.col("has_release")), "list").otherwise("release"))

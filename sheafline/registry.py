@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import assembly, records, scalars, sequences, streams, votes
+from .plans import assembly, helpers, records, scalars, sequences, streams, votes
 
 FLAGSHIP = "vote_words"
-PLANS = (scalars, votes, sequences, records, assembly, streams)
+PLANS = (scalars, votes, sequences, records, assembly, streams, helpers)
 
 
 def queries() -> dict:
