@@ -48,7 +48,8 @@ def goes_on(text: Column) -> Column:
 
 
 def group_in_order(pages: DataFrame, folder: str = "folder", seq: str = "seq") -> DataFrame:
-    """pages(folder, seq, starts, cont, more, ends) -> with release_id from 1 and flag: a window over the scan order."""
+    """pages(folder, seq, starts, cont, more, ends) -> with release_id from 1 and flag, the page's notes with " | " between:
+    a window over the scan order.  That a release said to go on but didn't is told on both sides."""
     order = Window.partitionBy(folder).orderBy(seq)
     before = lambda c: F.coalesce(F.lag(c).over(order), F.lit(False))
     marked = pages.withColumns({"__more": before("more"), "__ends": before("ends"), "__first": F.row_number().over(order) == 1})
@@ -60,7 +61,8 @@ def group_in_order(pages: DataFrame, folder: str = "folder", seq: str = "seq") -
         .when(F.col("cont") & F.col("starts"), BOTH).when(fresh & F.col("__more"), MORE_DENIED)
         .when(bare & ~F.col("__more"), F.when(F.col("__ends"), NO_HEADER).otherwise(ASSUMED))
     )
-    return marked.withColumns({"release_id": F.sum(new.cast("int")).over(order), "flag": F.coalesce(flag, F.lit(""))}).drop("__more", "__ends", "__first")
+    denied = F.when(F.col("more") & F.coalesce(F.lead(fresh).over(order), F.lit(False)), MORE_DENIED)
+    return marked.withColumns({"release_id": F.sum(new.cast("int")).over(order), "flag": F.concat_ws(" | ", flag, denied)}).drop("__more", "__ends", "__first")
 
 
 GROUPED = "folder long, seq long, release_id int, flag string"
@@ -73,7 +75,9 @@ def group_with_slugs(pages: DataFrame) -> DataFrame:
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["folder", "seq", "release_id", "flag"]
         folder, number, vocabulary, previous = object(), 0, set(), None
+        held: tuple | None = None  # the page before: the next one may add a note to it
         for frame in frames:
             out = []
             for p in frame.itertuples(index=False):
@@ -89,14 +93,16 @@ def group_with_slugs(pages: DataFrame) -> DataFrame:
                     flag = BOTH if p.starts else ""
                 elif p.starts:
                     new, flag, vocabulary = True, MORE_DENIED if previous.more else "", set()
+                    held = (*held[:3], " | ".join(filter(None, (held[3], flag))))
                 elif not previous.more:
                     new = bool(previous.ends)
                     flag = NO_HEADER if previous.ends else ASSUMED
                 vocabulary |= mine
                 number += new
-                out.append((p.folder, p.seq, number, flag))
-                previous = p
-            yield pd.DataFrame(out, columns=["folder", "seq", "release_id", "flag"])
+                out += [held] if held else []
+                held, previous = (p.folder, p.seq, number, flag), p
+            yield pd.DataFrame(out, columns=columns)
+        yield pd.DataFrame([held] if held else [], columns=columns)
 
     sorted_pages = pages.repartition("folder").sortWithinPartitions("folder", "seq")
     return sorted_pages.select("folder", "seq", "starts", "cont", "more", "ends", "tag", "words").mapInPandas(run, GROUPED)

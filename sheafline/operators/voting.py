@@ -16,6 +16,8 @@ from ..functions.text import alnum
 FLOORS = {"tesseract": 90.0, "easyocr": 30.0}
 AGREED_READERS, AGREED_FLOOR = 3, 80.0
 NO_TEXTS = "array<string>"
+# A doubt that a later reader's agreement with the first one settles.
+SETTLED = "second engine's body start located by position only"
 
 
 def marks(word: Column) -> Column:
@@ -67,14 +69,18 @@ def vote(frame: DataFrame, has, same, readings: str = "readings") -> DataFrame:
     return counted.withColumn("verified", F.coalesce(majority, F.lit(False)))
 
 
-def _settle(voted: DataFrame, value: Column, differ, low, only: str, nothing: str, confidence: Column) -> DataFrame:
-    """value, confidence and reasons from a vote.  Doubts of all readings count unless a majority outvoted the odd ones."""
+def _settle(voted: DataFrame, value: Column, differ, low, only: str, nothing: str, confidence: Column, settled: str | None = None) -> DataFrame:
+    """value, confidence and reasons from a vote.  Doubts of all readings count unless a majority outvoted the odd ones;
+    the one named `settled` counts against a later reader only where the vote doesn't verify the value."""
     counted = voted.withColumn("counted", F.filter("readings", lambda r, i: ~F.col("verified") | F.get(F.col("backs"), i)))
     counted = counted.withColumn("others", F.filter("readings", lambda r, i: ~F.get(F.col("backs"), i)))
     counted = counted.withColumn("agreed", F.when(F.col("verified") & (F.col("dissenters") == 0), F.col("supporters")).otherwise(F.lit(0)))
     none = F.array().cast(NO_TEXTS)
     alone = F.when(F.col("primary_at") > 0, F.array(F.concat(F.lit(only), F.col("primary.reader")))).otherwise(none)
-    told = counted.withColumn("flags", merge_flags(F.col("counted"))).withColumn("low", F.flatten(F.transform("counted", low)))
+    # of a verified value the primary is the first of those counted
+    forgiven = lambda r, i: F.when(F.col("verified") & (i > 0), F.array_remove(r["flags"], settled)).otherwise(r["flags"])
+    heard = F.transform("counted", lambda r, i: F.struct(r["reader"].alias("reader"), forgiven(r, i).alias("flags"))) if settled else F.col("counted")
+    told = counted.withColumn("heard", heard).withColumn("flags", merge_flags(F.col("heard"))).withColumn("low", F.flatten(F.transform("counted", low)))
     told = told.withColumn("doubts", F.when(F.col("verified"), none).otherwise(F.concat(alone, F.transform("others", differ))))
     empty = F.col("primary_at").isNull()
     return told.withColumns({
@@ -90,7 +96,7 @@ def reconcile_words(frame: DataFrame) -> DataFrame:
     quoted = lambda c: F.concat(F.lit("'"), c, F.lit("'"))
     differ = lambda r: F.concat(F.lit("engines disagree on first words: "), F.col("primary.reader"), F.lit(" "), quoted(F.col("said")), F.lit(" vs "), r["reader"], F.lit(" "), quoted(F.array_join(r["texts"], " ")))
     low = lambda r: low_confidence(r["reader"], r["texts"], r["confs"], F.col("agreed"))
-    return _settle(voted, F.col("said"), differ, low, "first words only read by ", "no article words found", F.array_min("primary.confs"))
+    return _settle(voted, F.col("said"), differ, low, "first words only read by ", "no article words found", F.array_min("primary.confs"), SETTLED)
 
 
 def same_date(a: Column, b: Column) -> Column:

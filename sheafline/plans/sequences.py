@@ -63,10 +63,10 @@ def group_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 GROUP_SQL = f"""
 WITH p AS (SELECT conv_id AS folder, turn AS seq, (conv_id + turn * turn) % 3 = 0 AS s, (conv_id * 3 + turn) % 4 = 0 AS c, (conv_id + turn) % 5 = 0 AS m, (conv_id + turn * 2) % 3 = 0 AS e FROM conversations),
-q AS (SELECT *, row_number() OVER w = 1 AS f, coalesce(lag(m) OVER w, false) AS pm, coalesce(lag(e) OVER w, false) AS pe FROM p WINDOW w AS (PARTITION BY folder ORDER BY seq))
+q AS (SELECT *, row_number() OVER w = 1 AS f, coalesce(lag(m) OVER w, false) AS pm, coalesce(lag(e) OVER w, false) AS pe, coalesce(lead(s AND NOT c) OVER w, false) AS nf FROM p WINDOW w AS (PARTITION BY folder ORDER BY seq))
 SELECT folder, seq, sum((f OR (s AND NOT c) OR (NOT s AND NOT c AND NOT pm AND pe))::INT) OVER (PARTITION BY folder ORDER BY seq)::BIGINT AS release_id,
-  CASE WHEN f THEN CASE WHEN c AND NOT s THEN '{paging.FIRST_MISSING.replace("'", "''")}' ELSE '' END WHEN c AND s THEN '{paging.BOTH}' WHEN c THEN '' WHEN s THEN CASE WHEN pm THEN '{paging.MORE_DENIED.replace("'", "''")}' ELSE '' END
-    WHEN pm THEN '' WHEN pe THEN '{paging.NO_HEADER}' ELSE '{paging.ASSUMED}' END AS flag FROM q
+  concat_ws(' | ', nullif(CASE WHEN f THEN CASE WHEN c AND NOT s THEN '{paging.FIRST_MISSING.replace("'", "''")}' ELSE '' END WHEN c AND s THEN '{paging.BOTH}' WHEN c THEN '' WHEN s THEN CASE WHEN pm THEN '{paging.MORE_DENIED.replace("'", "''")}' ELSE '' END
+    WHEN pm THEN '' WHEN pe THEN '{paging.NO_HEADER}' ELSE '{paging.ASSUMED}' END, ''), CASE WHEN m AND nf THEN '{paging.MORE_DENIED.replace("'", "''")}' END) AS flag FROM q
 """
 
 

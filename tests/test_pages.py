@@ -46,6 +46,14 @@ def test_slug_rule(spark):
     assert [r.release_id for r in got] == [1, 1, 2, 1, 1] and got[2].flag == paging.OTHER_SLUG
 
 
+def test_a_denied_more_is_told_on_both_sides(spark):
+    rows = [(1, 0, True, False, False, False), (1, 1, False, False, True, False), (1, 2, True, False, True, False), (1, 3, False, True, False, False), (2, 0, True, False, True, False)]
+    expected = ["", f"{paging.ASSUMED} | {paging.MORE_DENIED}", paging.MORE_DENIED, "", ""]
+    plain = paging.group_in_order(spark.createDataFrame(rows, FIELDS)).orderBy("folder", "seq").collect()
+    slugs = paging.group_with_slugs(spark.createDataFrame([(*r, [], []) for r in rows], FIELDS + ", tag array<string>, words array<string>")).orderBy("folder", "seq").collect()
+    assert [r.flag for r in plain] == [r.flag for r in slugs] == expected and [r.release_id for r in slugs] == [1, 1, 2, 2, 1]
+
+
 def test_list_dates(spark):
     rows = [(1, 1, "1970-11-09"), (1, 2, None), (1, 3, "1970-11-08"), (1, 4, "1970-11-10"), (2, 1, None)]
     frame = spark.createDataFrame(rows, "folder int, n int, d string").withColumn("date", F.to_date("d"))

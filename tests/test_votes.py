@@ -51,3 +51,9 @@ def test_reasons_and_value(spark):
 def test_flags_of_all_are_told_once(spark):
     made = vote(spark, "a", "a", "b", flags={0: ["stain", "fold"], 1: ["stain"]})
     assert made.reasons[:2] == ["stain", "tesseract: fold"]
+
+
+def test_agreement_settles_a_place_found_by_position(spark):
+    assert vote(spark, "a b", "a b", flags={1: [voting.SETTLED, "small"]}).reasons == ["easyocr: small"]
+    assert vote(spark, "a b", "a b", flags={0: [voting.SETTLED]}).reasons == [f"tesseract: {voting.SETTLED}"]
+    assert f"easyocr: {voting.SETTLED}" in vote(spark, "a b", "a c", flags={1: [voting.SETTLED]}).reasons
