@@ -57,3 +57,15 @@ def test_agreement_settles_a_place_found_by_position(spark):
     assert vote(spark, "a b", "a b", flags={1: [voting.SETTLED, "small"]}).reasons == ["easyocr: small"]
     assert vote(spark, "a b", "a b", flags={0: [voting.SETTLED]}).reasons == [f"tesseract: {voting.SETTLED}"]
     assert f"easyocr: {voting.SETTLED}" in vote(spark, "a b", "a c", flags={1: [voting.SETTLED]}).reasons
+
+
+def test_vote_equals_sql_for_odd_letters(spark, tmp_path):
+    """Openings whose first letter has a capital of several characters, under every habit of the three readers."""
+    from compare import duck, rows_of
+    from sheafline.plans import votes
+
+    texts = ["der ßen b, c. d e f", "das ßßen b c d e", "die ß b. c d e", "ein ŉab, c d", "der ﬁn b", "the ßb's (ABC) c; d. e", "ßab c d e f"]
+    docs = [(i, texts[i % len(texts)], "en" if i % len(texts) == 5 else "de") for i in range(420)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").coalesce(1).write.parquet(str(tmp_path / "d"))
+    next((tmp_path / "d").glob("*.parquet")).rename(tmp_path / "documents.parquet")
+    assert rows_of(votes.vote_words(spark, str(tmp_path)).toPandas()) == rows_of(duck(votes.VOTE_SQL, str(tmp_path)))
