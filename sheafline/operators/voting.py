@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import alnum
+from ..functions.text import LETTER_OR_NUMBER, alnum
 
 # Confidence floors by reader, and the floor for the first where three or more agree and none dissents.
 FLOORS = {"tesseract": 90.0, "easyocr": 30.0}
@@ -22,7 +22,7 @@ SETTLED = "second engine's body start located by position only"
 
 def marks(word: Column) -> Column:
     """Characters that are neither letters nor digits."""
-    return F.filter(F.split(F.regexp_replace(word, r"[\p{L}\p{N}]", ""), ""), lambda c: c != "")
+    return F.filter(F.split(F.regexp_replace(word, f"[{LETTER_OR_NUMBER}]", ""), ""), lambda c: c != "")
 
 
 def adds_marks(primary: Column, other: Column) -> Column:

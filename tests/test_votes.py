@@ -69,3 +69,19 @@ def test_vote_equals_sql_for_odd_letters(spark, tmp_path):
     spark.createDataFrame(docs, "doc_id long, text string, lang string").coalesce(1).write.parquet(str(tmp_path / "d"))
     next((tmp_path / "d").glob("*.parquet")).rename(tmp_path / "documents.parquet")
     assert rows_of(votes.vote_words(spark, str(tmp_path)).toPandas()) == rows_of(duck(votes.VOTE_SQL, str(tmp_path)))
+
+
+def test_vote_equals_sql_for_odd_rows(spark, tmp_path):
+    """No text or language, elisions in a row, spaces and line separators on which patterns differ, new letters."""
+    from compare import duck, rows_of
+    from sheafline.plans import votes
+
+    texts = [
+        (None, "en"), ("", "en"), (None, None), ("the house of l'amour b c", None), ("der Hund b c d e", "xx"), ("L'l’amour b c d. e", "fr"), ("l'un'l'\"amour b c d e", "it"), ("l'l'la b c d e f", "fr"),
+        ("lʼlʼamour b c d e", "fr"), ("lʼʼab l'b c d e", "ca"), ("the\x0bend a\x0bb c d e f", "en"), ("the end.\u2028 (b).\u0085 Dr.\u2029 d, e", "en"), ("a.\u2028 b.\u2028 c d e f", "xx"),
+        ("the \U00031350a \u0870. \U00016ac0 d e f", "en"), ("l'\ua7d1a b c d e", "fr"), ("\U00031350", "en"),
+    ]
+    docs = [(i, *texts[i % len(texts)]) for i in range(-160, 1680)] + [(None, "the end b c d e", "en")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").coalesce(1).write.parquet(str(tmp_path / "d"))
+    next((tmp_path / "d").glob("*.parquet")).rename(tmp_path / "documents.parquet")
+    assert rows_of(votes.vote_words(spark, str(tmp_path)).toPandas()) == rows_of(duck(votes.VOTE_SQL, str(tmp_path)))
